@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+_SPACE_NOT_U20 = SPACE_CLASS.replace(r"\x1c-\x20", r"\x1c-\x1f")
 WORD_CLASS = r"\p{L}\p{N}_"
 
 # One well-formed UTF-8 sequence whose bytes are written as the characters
@@ -49,8 +51,13 @@ def strip(c: Column) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    """Runs of whitespace become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE_CLASS}]+", " "))
+    """Runs of whitespace become one space; none at the ends.
+
+    The pattern passes over single spaces, which need no replacement.
+    """
+    return F.trim(
+        F.regexp_replace(c, f"[{_SPACE_NOT_U20}][{SPACE_CLASS}]*| [{SPACE_CLASS}]+", " ")
+    )
 
 
 def no_spaces(c: Column) -> Column:
@@ -72,7 +79,7 @@ def repair_text(c: Column, mode: str = "always") -> Column:
     the damage. ASCII text, the common case, is passed through untouched.
     """
     latin = F.regexp_replace(c, r"[^\x00-\x{FF}]", "")
-    valid = F.regexp_replace(latin, rf"((?:{UTF8_SEQUENCE})++)|(?s:.)", "$1")
+    valid = F.regexp_replace(latin, rf"((?:[\x00-\x7F]++|{UTF8_SEQUENCE})++)|(?s:.)", "$1")
     repaired = F.encode(valid, "ISO-8859-1").cast("string")
     if mode == "always":
         wanted = c.rlike(r"[^\x00-\x7F]")
@@ -93,6 +100,23 @@ def _entity_table() -> str:
     return json.dumps(table)
 
 
+def _stages(c: Column, *steps: Callable[[Column], Column]) -> Column:
+    """A one-element array with ``c`` passed through the steps.
+
+    Each step sees the result of the one before as a bound lambda variable.
+    Nesting the expressions instead would copy the whole inner expression for
+    every mention of its result, and evaluate each copy.
+    """
+    value = F.array(c)
+    for step in steps:
+        value = F.transform(value, step)
+    return value
+
+
+def _once(c: Column, *steps: Callable[[Column], Column]) -> Column:
+    return F.element_at(_stages(c, *steps), 1)
+
+
 def decode_entities(c: Column) -> Column:
     """Decode HTML entities, each exactly once (``&amp;lt;`` gives ``&lt;``).
 
@@ -101,60 +125,91 @@ def decode_entities(c: Column) -> Column:
     semicolon, as an HTML parser reports them.
     """
     table = F.from_json(F.lit(_entity_table()), "map<string,string>")
-
-    def decode_piece(piece: Column) -> Column:
-        head = F.regexp_extract(
-            piece, r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*);?", 0
+    entity = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*);?"
+
+    def find_head(piece: Column, index: Column) -> Column:
+        head = F.when(index > 0, F.regexp_extract(piece, entity, 0))
+        return F.struct(piece.alias("piece"), head.alias("head"))
+
+    def find_code(p: Column) -> Column:
+        name = F.rtrim(p["head"], F.lit(";"))
+        digits = F.regexp_extract(name, "^#[xX]?0*(.{1,8})$", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+        return F.struct(
+            F.substring(p["piece"], F.length(p["head"]) + 1, F.length(p["piece"])).alias("rest"),
+            p["piece"].alias("piece"),
+            name.alias("name"),
+            F.when(name.startswith("#"), number.try_cast("long")).alias("code"),
         )
-        name = F.regexp_replace(head, ";$", "")
-        rest = F.substring(piece, F.length(head) + 1, F.length(piece))
-        is_hex = name.rlike("^#[xX]")
-        digits = F.regexp_replace(name, "^#[xX]?0*", "")
-        code = F.when(
-            F.length(digits).between(1, 8),
-            F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits),
-        ).try_cast("long")
+
+    def decode_piece(p: Column) -> Column:
+        code = p["code"]
         usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         numeric = F.coalesce(
             F.try_element_at(table, F.concat(F.lit("#"), code.cast("string"))),
-            F.when(usable, char),
-            F.lit("�"),
+            F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")),
+            F.lit("\ufffd"),
+        )
+        char = F.when(p["name"].startswith("#"), numeric).otherwise(
+            F.coalesce(F.try_element_at(table, p["name"]), F.concat(F.lit("&"), p["name"]))
         )
-        named = F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name))
         return (
-            F.when(head == "", F.concat(F.lit("&"), piece))
-            .when(name.startswith("#"), F.concat(numeric, rest))
-            .otherwise(F.concat(named, rest))
+            F.when(p["name"].isNull(), p["piece"])
+            .when(p["name"] == "", F.concat(F.lit("&"), p["piece"]))
+            .otherwise(F.concat(char, p["rest"]))
         )
 
-    pieces = F.split(c, "&")
-    decoded = F.concat(
-        F.element_at(pieces, 1),
-        F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), decode_piece), ""),
-    )
-    return F.when(c.contains("&"), decoded).otherwise(c)
+    pieces = F.transform(F.transform(F.split(c, "&"), find_head), find_code)
+    return F.when(c.contains("&"), F.array_join(F.transform(pieces, decode_piece), "")).otherwise(c)
+
+
+def remove_markup(c: Column) -> Column:
+    """Tags, comments and hidden elements to spaces; plain text is not searched."""
+    return F.when(c.contains("<"), F.regexp_replace(c, MARKUP, " ")).otherwise(c)
 
 
 def html_to_text(c: Column) -> Column:
     """Visible text of an HTML fragment: text nodes stripped, joined by a space.
 
     Comments, declarations and the contents of script, style, template and
-    ruby annotations are left out. Text without markup skips the tag pattern.
+    ruby annotations are left out.
     """
-    bare = F.when(c.contains("<"), F.regexp_replace(c, MARKUP, " ")).otherwise(c)
-    return collapse_space(decode_entities(bare))
+    return _once(c, remove_markup, decode_entities, collapse_space)
 
 
 def finish_text(c: Column) -> Column:
     """Drop ``<emoji: ..>`` marks, collapse whitespace, blank symbol-only text."""
-    plain = collapse_space(F.regexp_replace(c, rf"<emoji:[{SPACE_CLASS}]*[^>]+>", ""))
-    return F.when(plain.rlike(r"[\p{L}\p{N}]"), plain).when(plain.isNotNull(), F.lit(""))
+    return _once(c, *_FINISH)
+
+
+def _drop_emoji_marks(c: Column) -> Column:
+    return F.regexp_replace(c, rf"<emoji:[{SPACE_CLASS}]*[^>]+>", "")
+
+
+def _blank_symbols(c: Column) -> Column:
+    return F.when(c.rlike(r"[\p{L}\p{N}]"), c).when(c.isNotNull(), F.lit(""))
+
+
+_FINISH = (_drop_emoji_marks, collapse_space, _blank_symbols)
+
+
+def _clean_stages(c: Column, repair: str) -> Column:
+    # Whitespace is collapsed once, by the last steps.
+    return _stages(c, lambda t: repair_text(t, repair), remove_markup, decode_entities, *_FINISH)
 
 
 def clean_text(c: Column, repair: str = "always") -> Column:
     """Repair, strip markup, drop emoji marks, collapse; null stays null."""
-    return finish_text(html_to_text(repair_text(c, repair)))
+    return F.element_at(_clean_stages(c, repair), 1)
+
+
+def clean_text_rows(c: Column, repair: str = "always") -> Column:
+    """A generator of the clean text: one row, or none where it is blank.
+
+    A filter on a computed column is pushed below its projection and repeats
+    the computation; generating the column cleans every text once.
+    """
+    return F.explode(F.filter(_clean_stages(c, repair), lambda t: ~is_blank(t)))
 
 
 def words(c: Column) -> Column:

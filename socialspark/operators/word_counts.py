@@ -24,13 +24,21 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def explode_words(df: DataFrame, tokens: Column, stop_words: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """``(*keep, word, is_first)``, one row per occurrence of a kept word."""
+def explode_words(
+    df: DataFrame, tokens: Column, stop_words: Sequence[str], keep: Sequence[str], count_rows: bool = False
+) -> DataFrame:
+    """``(*keep, word, is_first)``, one row per occurrence of a kept word.
+
+    With ``count_rows`` every input row also yields one empty word, so that a
+    count of rows comes out of the same aggregation as the counts of words.
+    """
+    if count_rows:
+        tokens = F.concat(F.array(F.lit("")), tokens)
     ordered = df.select(*keep, F.sort_array(tokens).alias("_tokens"))
-    shifted = F.concat(F.array(F.lit("")), F.col("_tokens"))
+    before_first = F.array(F.lit(None).cast("string"))
     flagged = F.zip_with(
         "_tokens",
-        shifted,
+        F.concat(before_first, F.col("_tokens")),
         lambda word, before: F.struct(
             word.alias("word"), F.when(word == before, 0).otherwise(1).alias("is_first")
         ),
@@ -137,14 +145,23 @@ def cluster_top_words(
     """
     stop_words = english_stop_words() if stop_words is None else stop_words
     texts = posts.where(~is_blank(F.col(text_col)))
-    sizes = texts.groupBy(cluster).agg(F.count(F.lit(1)).alias("_docs"))
     counted = (
-        explode_words(texts, letter_words(F.col(text_col)), stop_words, [cluster])
+        explode_words(texts, letter_words(F.col(text_col)), stop_words, [cluster], count_rows=True)
         .groupBy(cluster, "word")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("is_first").alias("_df"))
-        .where(F.col("_df") >= min_df)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("is_first").alias("_df"),
+            F.max(F.col("word") == "").alias("_is_row"),
+        )
+    )
+    # Both uses of `counted` need all its columns and filter on an aggregate,
+    # not on a key, so they stay the same plan up to the exchange and share it.
+    sizes = counted.where("_is_row").select(cluster, F.greatest("n", "_df").alias("_docs"))
+    kept = (
+        counted.where(~F.col("_is_row") & (F.col("_df") >= min_df))
+        .join(sizes, cluster)
+        .where(F.col("_df") <= max_df * F.col("_docs"))
     )
-    kept = counted.join(sizes, cluster).where(F.col("_df") <= max_df * F.col("_docs"))
     return top_per_key(kept, [cluster], [F.desc("n"), F.asc("word")], top_n, rank="rank").select(
         cluster, "rank", "word", "n"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from socialspark.constants import CLEAN_TEXT, CREATED_AT, POST_ID, STUDY_SINCE, STUDY_UNTIL
 from socialspark.functions.predicates import all_present, is_url, language_ok
-from socialspark.functions.text import clean_text, is_blank
+from socialspark.functions.text import clean_text_rows
 from socialspark.functions.timeutil import format_ts, in_month_range, next_month, parse_ts
 from socialspark.operators.ranking import first_per_key
 
@@ -58,9 +58,5 @@ def clean_posts(
         [POST_ID],
         [F.col("_ts").desc(), *[F.col(c).asc_nulls_last() for c in tie_break]],
     )
-    return (
-        latest.withColumn(CREATED_AT, format_ts(F.col("_ts")))
-        .drop("_ts")
-        .withColumn(CLEAN_TEXT, clean_text(F.col("content"), repair))
-        .where(~is_blank(F.col(CLEAN_TEXT)))
-    )
+    latest = latest.withColumn(CREATED_AT, format_ts(F.col("_ts"))).drop("_ts", CLEAN_TEXT)
+    return latest.select("*", clean_text_rows(F.col("content"), repair).alias(CLEAN_TEXT))
