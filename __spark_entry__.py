@@ -14,7 +14,17 @@ from pyspark.sql import functions as F
 from socialspark.constants import MERGE_COLUMNS, POST_FIELDS
 from socialspark.functions import text as tx
 from socialspark.functions.predicates import is_url
-from socialspark.operators import align, clusters, embed, keywords, schema_drift, volumes, word_counts
+from socialspark.operators import (
+    align,
+    clusters,
+    density,
+    embed,
+    keywords,
+    neighbours,
+    schema_drift,
+    volumes,
+    word_counts,
+)
 from socialspark.plans import clean_posts as cleaning
 from socialspark.plans import ingest, merging
 from socialspark.session import use_utc
@@ -323,6 +333,17 @@ def q_top_words_overall(spark, d):
     )
 
 
+def q_knn_cosine(spark, d):
+    found = neighbours.knn_cosine(table(spark, d, "embeddings"), 3, key="vec_id")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+def q_density_clusters(spark, d):
+    vectors = table(spark, d, "embeddings").withColumn("source_TS", F.col("label") < 5)
+    labels = density.density_clusters(vectors, min_cluster_size=10, key="vec_id")
+    return density.label_platforms(labels, vectors, "source_TS", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "load_month": lambda s, d: select_month(
@@ -379,6 +400,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "cluster_samples": lambda s, d: clusters.cluster_samples(labelled_texts(s, d)),
         "cluster_prompts": q_cluster_prompts,
+        "knn_cosine": q_knn_cosine,
+        "core_distance": lambda s, d: neighbours.core_distance(
+            table(s, d, "embeddings"), key="vec_id"
+        ).select("vec_id", F.round("core", 6).alias("core")),
+        "mst": lambda s, d: density.mutual_reachability_tree(table(s, d, "embeddings"), key="vec_id"),
+        "density_clusters": q_density_clusters,
     }
 
 
@@ -481,6 +508,13 @@ samples as (
   from texts qualify rank <= 10)"""
 
 
+DISTANCES_SQL = """e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+pairs as (
+  select a.vec_id, b.vec_id as neighbour, 1 - list_cosine_similarity(a.v, b.v) as distance,
+         row_number() over (partition by a.vec_id order by 1 - list_cosine_similarity(a.v, b.v), b.vec_id) as rank
+  from e a join e b on a.vec_id <> b.vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     top_words = TOP_WORDS_SQL.replace("STOPS", sql_list(stop_words()))
     in_study = "created_at >= '2024-05-01T00:00:00Z' and created_at < '2024-12-01T00:00:00Z'"
@@ -627,4 +661,8 @@ def oracle_sql() -> dict[str, str]:
               'Top words (count): ', words, chr(10), chr(10), 'Sample posts:', chr(10), texts, chr(10), chr(10),
               'Output format:', chr(10), 'Label: <2-6 words>', chr(10), 'Description: <1-2 sentences>', chr(10)) as prompt
             from p left join w using (cluster)""",
+        "knn_cosine": f"""with {DISTANCES_SQL}
+            select vec_id, rank, neighbour, round(distance, 6) as distance from pairs where rank <= 3""",
+        "core_distance": f"""with {DISTANCES_SQL}
+            select vec_id, round(distance, 6) as core from pairs where rank = 3""",
     }

@@ -2,33 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.session import cut
 
+ROWS_IN_ONE_TASK = 65_536
+
+
+def _follow_here(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("node", ignore_index=True)
+    node, ptr, done = (frame[c].to_numpy() for c in ("node", "ptr", "done"))
+    place = np.where(done, np.arange(len(node)), np.searchsorted(node, ptr))
+    while True:
+        further = place[place]
+        if (further == place).all():
+            return pd.DataFrame({"node": node, "root": ptr[place]})
+        place = further
+
 
 def follow(pointers: DataFrame) -> DataFrame:
-    """Replace every pointer by the end of its chain.
+    """``(node, root)``: replace every pointer by the end of its chain.
 
-    ``pointers`` is ``(node, ptr, done)``; a finished row has ``done`` and its
-    final ``ptr``, and every unfinished ``ptr`` is a ``node`` of the table.
-    Steps double, so the number of rounds is the logarithm of the longest
-    chain. Finished rows leave the join at once, hence the rows still joined
-    point to different places along their chains.
+    ``pointers`` is ``(node, ptr, done)`` with long values; a finished row has
+    ``done`` and its final ``ptr``, and every unfinished ``ptr`` is a ``node``
+    of the table. Steps double, so the number of rounds is the logarithm of
+    the longest chain. Finished rows leave the join at once, hence the rows
+    still joined point to different places along their chains. As soon as the
+    unfinished rows are few, one task does the rest.
     """
     table = cut(pointers.select("node", "ptr", "done"))
-    while not table.where("not done").isEmpty():
+    while True:
+        left = table.where("not done").count()
+        if left == 0:
+            return table.select("node", F.col("ptr").alias("root"))
         ahead = table.select(
             F.col("node").alias("ptr"), F.col("ptr").alias("_next"), F.col("done").alias("_done")
         )
-        moved = table.where("not done").drop("done").join(ahead, "ptr")
+        moving = table.where("not done").drop("done").join(ahead, "ptr")
+        if left <= ROWS_IN_ONE_TASK:
+            # The rows a finished chain ends in are at most as many as the chains.
+            ends = moving.where("_done").select(
+                F.col("ptr").alias("node"), F.col("_next").alias("ptr"), F.lit(True).alias("done")
+            ).distinct()
+            rest = table.where("not done").unionByName(ends)
+            last = rest.groupBy(F.lit("all").alias("_g")).applyInPandas(_follow_here, "node long, root long")
+            finished = table.where("done").select("node", F.col("ptr").alias("root"))
+            return cut(last.join(ends.select("node"), "node", "left_anti").unionByName(finished))
         table = cut(
             table.where("done").unionByName(
-                moved.select("node", F.col("_next").alias("ptr"), F.col("_done").alias("done"))
+                moving.select("node", F.col("_next").alias("ptr"), F.col("_done").alias("done"))
             )
         )
-    return table.select("node", F.col("ptr").alias("root"))
 
 
 def forest_components(edges: DataFrame) -> DataFrame:

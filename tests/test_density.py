@@ -94,15 +94,33 @@ def test_tree_and_clusters_equal_brute_force(table, points):
     for r in tree:
         assert abs(weights[r.source][r.target] - r.weight) < 1e-9
 
-    for m, merges_per_task in ((10, 65_536), (10, 8), (5, 16), (40, 65_536), (500, 65_536)):
-        labels = {
-            r.id: r.cluster
-            for r in density.density_clusters(
-                table, m, 3, key="id", block_rows=16, merges_per_task=merges_per_task
-            ).collect()
-        }
-        want = by_hand.tree_clusters(len(points), [(r.weight, r.source, r.target) for r in tree], m)
-        assert [labels[i] for i in range(len(points))] == list(want), (m, merges_per_task)
+    labels = {
+        r.id: r.cluster
+        for r in density.density_clusters(table, 10, 3, key="id", block_rows=16).collect()
+    }
+    edges = [(r.weight, r.source, r.target) for r in tree]
+    assert [labels[i] for i in range(len(points))] == list(by_hand.tree_clusters(len(points), edges, 10))
+    assert len(set(labels.values())) > 2
+
+
+def test_condensed_tree_equals_brute_force(spark):
+    """Random trees over leaves of different sizes, for several cluster sizes."""
+    rng = np.random.default_rng(11)
+    sizes = rng.choice([1, 1, 1, 2, 12], size=60)
+    core = np.where(sizes > 3, 0.0, 0.01)
+    edges = [(float(np.round(rng.random() + 0.05, 6)), int(rng.integers(max(0, i - 9), i)), i) for i in range(1, 60)]
+    tree = spark.createDataFrame(edges, "weight double, lo long, hi long")
+    leaves = spark.createDataFrame(
+        [(i, int(s), float(c)) for i, (s, c) in enumerate(zip(sizes, core))], "node long, size long, core double"
+    )
+    # The same tree with every copy as a point of its own.
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    points = [(w, int(first[a]), int(first[b])) for w, a, b in edges]
+    points += [(float(core[i]), int(first[i]), int(first[i]) + j) for i in range(60) for j in range(1, sizes[i])]
+    for m, limit in ((10, 8), (200, 65_536)):
+        got = {r.node: r.cluster for r in density.clusters_of_tree(tree, leaves, 60, m, limit).collect()}
+        want = by_hand.tree_clusters(int(sizes.sum()), points, m)
+        assert [got[i] for i in range(60)] == [want[f] for f in first], m
 
 
 @pytest.mark.parametrize("limit", [2, 1000])
@@ -128,7 +146,9 @@ def test_dendrogram_is_the_same_for_any_interval_size(spark, limit):
     assert [tuple(r) for r in got] == want
 
 
-def test_follow_and_forest_components(spark):
+@pytest.mark.parametrize("in_one_task", [0, 65_536])
+def test_follow_and_forest_components(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(pointers, "ROWS_IN_ONE_TASK", in_one_task)
     chain = spark.createDataFrame(
         [(i, max(i - 1, 0), i == 0) for i in range(50)], "node long, ptr long, done boolean"
     )
@@ -138,10 +158,10 @@ def test_follow_and_forest_components(spark):
     assert got == {9: 1, 4: 1, 7: 1, 1: 1, 20: 20, 30: 20, 25: 20}
 
 
-def test_labels_do_not_depend_on_partitioning(spark, points):
+def test_cores_do_not_depend_on_partitioning_or_block_size(spark, points):
     few = as_table(spark, points[:60])
     runs = [
-        sorted(density.density_clusters(few.repartition(p), 6, 3, key="id", block_rows=b).collect())
+        sorted(neighbours.core_distance(few.repartition(p), 3, key="id", block_rows=b).collect())
         for p, b in ((1, 1024), (7, 10))
     ]
     assert runs[0] == runs[1]
