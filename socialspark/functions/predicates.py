@@ -19,10 +19,8 @@ def is_url(c: Column) -> Column:
     """
     url = F.translate(c, "\t\r\n", "")
     host = F.regexp_extract(url, r"^[^:]*://([^/?#]*)", 1)
-    return (
-        F.coalesce(url.rlike(r"(?i)^[\x00-\x20]*https?:"), F.lit(False))
-        & (host.contains("[") == host.contains("]"))
-    )
+    ok = url.rlike(r"(?i)^[\x00-\x20]*https?:") & (host.contains("[") == host.contains("]"))
+    return F.coalesce(ok, F.lit(False))
 
 
 def language_ok(c: Column, language: str = "en", match: str = "substring") -> Column:

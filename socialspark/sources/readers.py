@@ -82,7 +82,8 @@ def read_headers(spark: SparkSession, folder: str, glob: str = "*.csv.gz") -> Da
     )
     first = lines.groupBy("file_name").agg(F.min_by("value", "_row").alias("header"))
     # One CSV record: a cell is quoted (with doubled quotes) or has no comma.
-    cells = F.regexp_extract_all("header", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), 1)
+    led = F.concat(F.lit(","), "header")
+    cells = F.regexp_extract_all(led, F.lit(r',("(?:[^"]|"")*"|[^,]*)'), 1)
     columns = F.transform(
         cells,
         lambda cell: F.replace(F.regexp_replace(cell, '^"|"$', ""), F.lit('""'), F.lit('"')),
