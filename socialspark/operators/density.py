@@ -116,8 +116,9 @@ def dendrogram(
             found = replaced.select(
                 F.col("node").alias("_key"), F.col("_merge").alias("_m"), F.col("_size").alias("_s")
             )
+            keyed = df.withColumn("_key", key + F.col(end))
             return (
-                df.withColumn("_key", key + F.col(end)).join(found, "_key", "left")
+                skew_join(keyed, found, ["_key"], total=n_nodes, how="left")
                 .withColumn(end, F.coalesce("_m", end))
                 .withColumn(f"{end}_size", F.coalesce("_s", f"{end}_size"))
                 .drop("_key", "_m", "_s")

@@ -52,13 +52,16 @@ def keyword_groups(
     """
     lowered = posts.withColumn("_lower", F.lower(F.col(text_col)))
 
+    def occurs(term: str) -> Column:
+        # A plain substring test, which most texts fail, comes before the pattern.
+        stem = term.rstrip("*").lower()
+        return F.col("_lower").contains(stem) & F.col("_lower").rlike(term_pattern(term))
+
     def holds(terms: Sequence) -> Column:
-        simple = [term_pattern(t) for t in terms if isinstance(t, str)]
-        tests = [F.col("_lower").rlike("|".join(simple))] if simple else []
-        for together in (t for t in terms if not isinstance(t, str)):
-            tests.append(
-                reduce(lambda a, b: a & b, [F.col("_lower").rlike(term_pattern(t)) for t in together])
-            )
+        tests = [
+            occurs(t) if isinstance(t, str) else reduce(lambda a, b: a & b, [occurs(x) for x in t])
+            for t in terms
+        ]
         return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
     return lowered.withColumns({name: holds(terms) for name, terms in groups.items()}).drop("_lower")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from socialspark.operators.skew import skew_join
 from socialspark.session import cut
 
 ROWS_IN_ONE_TASK = 65_536
@@ -29,9 +30,9 @@ def follow(pointers: DataFrame) -> DataFrame:
     ``pointers`` is ``(node, ptr, done)`` with long values; a finished row has
     ``done`` and its final ``ptr``, and every unfinished ``ptr`` is a ``node``
     of the table. Steps double, so the number of rounds is the logarithm of
-    the longest chain. Finished rows leave the join at once, hence the rows
-    still joined point to different places along their chains. As soon as the
-    unfinished rows are few, one task does the rest.
+    the longest chain. Finished rows leave the join, and a node that very many
+    rows point to is spread over tasks. As soon as the unfinished rows are
+    few, one task does the rest.
     """
     table = cut(pointers.select("node", "ptr", "done"))
     while True:
@@ -41,7 +42,7 @@ def follow(pointers: DataFrame) -> DataFrame:
         ahead = table.select(
             F.col("node").alias("ptr"), F.col("ptr").alias("_next"), F.col("done").alias("_done")
         )
-        moving = table.where("not done").drop("done").join(ahead, "ptr")
+        moving = skew_join(table.where("not done").drop("done"), ahead, ["ptr"], total=left)
         if left <= ROWS_IN_ONE_TASK:
             # The rows a finished chain ends in are at most as many as the chains.
             ends = moving.where("_done").select(
@@ -65,7 +66,7 @@ def forest_components(edges: DataFrame) -> DataFrame:
     followed to their ends, the ends are joined by the remaining edges, and
     so on until none remain.
     """
-    labels = None
+    labels, n_edges = None, edges.count()
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -80,14 +81,14 @@ def forest_components(edges: DataFrame) -> DataFrame:
             labels = roots
         else:
             step = roots.select(F.col("node").alias("root"), F.col("root").alias("_root"))
-            labels = cut(
-                labels.join(step, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
-            )
+            moved = skew_join(labels, step, ["root"], total=labels.count(), how="left")
+            labels = cut(moved.select("node", F.coalesce("_root", "root").alias("root")))
         to_u = roots.select(F.col("node").alias("u"), F.col("root").alias("_u"))
         to_v = roots.select(F.col("node").alias("v"), F.col("root").alias("_v"))
+        ends = skew_join(skew_join(edges, to_u, ["u"], total=n_edges), to_v, ["v"], total=n_edges)
         edges = cut(
-            edges.join(to_u, "u").join(to_v, "v").where("_u <> _v")
-            .select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+            ends.where("_u <> _v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
         )
-        if edges.isEmpty():
+        n_edges = edges.count()
+        if n_edges == 0:
             return labels

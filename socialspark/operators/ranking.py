@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from socialspark.operators.skew import hot_keys, skew_join
 from socialspark.session import cut
 
 
@@ -58,10 +59,10 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_index") ->
 
 def number_within(df: DataFrame, key: str, order: Sequence[str], name: str = "position") -> DataFrame:
     """0-based position of each row inside its key, however large the key is."""
-    numbered = number_rows(df, [key, *order], "_index")
-    starts = numbered.groupBy(key).agg(F.min("_index").alias("_start"))
-    return (
-        numbered.join(starts, key)
-        .withColumn(name, F.col("_index") - F.col("_start"))
-        .drop("_index", "_start")
+    numbered = cut(number_rows(df, [key, *order], "_index"))
+    starts = cut(
+        numbered.groupBy(key).agg(F.min("_index").alias("_start"), F.count(F.lit(1)).alias("_n"))
     )
+    total = starts.agg(F.sum("_n")).first()[0] or 0
+    placed = skew_join(numbered, starts.drop("_n"), [key], hot_keys(starts, [key], "_n", total))
+    return placed.withColumn(name, F.col("_index") - F.col("_start")).drop("_index", "_start")

@@ -19,13 +19,24 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], count: str, total: int) ->
     return counts.where(F.col(count) > max(1.0, total * HOT_FRACTION)).select(*keys)
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Inner join of ``left`` with ``right``, which is unique on ``keys``.
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    hot: DataFrame | None = None,
+    total: int | None = None,
+    how: str = "inner",
+) -> DataFrame:
+    """Join ``left`` with ``right``, which is unique on ``keys``.
 
     Rows of a hot key are spread over ``SALTS`` tasks by a hash of their other
     columns, and the one right-hand row of that key is repeated for each.
+    Without ``hot`` the hot keys are counted, given the ``total`` number of
+    rows of ``left``; the count combines before its exchange.
     """
     keys = list(keys)
+    if hot is None:
+        hot = hot_keys(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", total)
     # At most 1 / HOT_FRACTION rows, see hot_keys: safe to broadcast.
     flags = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
     others = [c for c in left.columns if c not in keys] or keys
@@ -39,4 +50,4 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataF
             F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         ),
     )
-    return spread.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"]).drop("_salt")
+    return spread.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"], how).drop("_salt")

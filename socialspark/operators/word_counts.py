@@ -1,9 +1,9 @@
 """Word frequencies: per month and platform, and per cluster.
 
-Occurrences and document frequency come out of one aggregation. Inside each
-row the tokens are sorted and every first occurrence is flagged, so that a
-document frequency is a sum instead of a distinct count, which would need the
-document id in the exchange.
+Occurrences and document frequency come out of one aggregation. A text yields
+its tokens and, marked, its distinct tokens, so that a document frequency is a
+sum instead of a distinct count, which would need the document id in the
+exchange.
 """
 
 from __future__ import annotations
@@ -27,23 +27,21 @@ def english_stop_words() -> list[str]:
 def explode_words(
     df: DataFrame, tokens: Column, stop_words: Sequence[str], keep: Sequence[str], count_rows: bool = False
 ) -> DataFrame:
-    """``(*keep, word, is_first)``, one row per occurrence of a kept word.
+    """``(*keep, word, is_doc)``: a row per occurrence (``is_doc`` 0) of a kept
+    word and one more per distinct word of the text (``is_doc`` 1).
 
-    With ``count_rows`` every input row also yields one empty word, so that a
+    With ``count_rows`` every input row also yields the empty word, so that a
     count of rows comes out of the same aggregation as the counts of words.
     """
     if count_rows:
         tokens = F.concat(F.array(F.lit("")), tokens)
-    ordered = df.select(*keep, F.sort_array(tokens).alias("_tokens"))
-    before_first = F.array(F.lit(None).cast("string"))
-    flagged = F.zip_with(
-        "_tokens",
-        F.concat(before_first, F.col("_tokens")),
-        lambda word, before: F.struct(
-            word.alias("word"), F.when(word == before, 0).otherwise(1).alias("is_first")
-        ),
+    found = df.select(*keep, tokens.alias("_tokens"))
+    both = F.array("_tokens", F.array_distinct("_tokens"))
+    rows = found.select(*keep, F.posexplode(both).alias("is_doc", "_words")).select(
+        *keep, "is_doc", F.explode("_words").alias("word")
     )
-    rows = ordered.select(*keep, F.inline(flagged)).where(F.col("word").isNotNull())
+    # Stated here, since joins on the word add it to some branches of a plan only.
+    rows = rows.where(F.col("word").isNotNull())
     return rows.where(~F.col("word").isin(list(stop_words))) if stop_words else rows
 
 
@@ -72,8 +70,11 @@ def monthly_word_freq(
     counted = (
         rows.groupBy(*by, "word")
         .agg(
-            F.sum("is_first").alias("df"),
-            *[F.count(F.when(F.col("month") == m, 1)).alias(c) for m, c in zip(months, columns)],
+            F.sum("is_doc").alias("df"),
+            *[
+                F.count(F.when((F.col("month") == m) & (F.col("is_doc") == 0), 1)).alias(c)
+                for m, c in zip(months, columns)
+            ],
         )
         .where(F.col("df") >= min_df)
     )
@@ -149,8 +150,8 @@ def cluster_top_words(
         explode_words(texts, letter_words(F.col(text_col)), stop_words, [cluster], count_rows=True)
         .groupBy(cluster, "word")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("is_first").alias("_df"),
+            F.count(F.when(F.col("is_doc") == 0, 1)).alias("n"),
+            F.sum("is_doc").alias("_df"),
             F.max(F.col("word") == "").alias("_is_row"),
         )
     )

@@ -117,16 +117,16 @@ def test_condensed_tree_equals_brute_force(spark):
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     points = [(w, int(first[a]), int(first[b])) for w, a, b in edges]
     points += [(float(core[i]), int(first[i]), int(first[i]) + j) for i in range(60) for j in range(1, sizes[i])]
-    for m, limit in ((10, 8), (200, 65_536)):
+    for m, limit in ((10, 16), (200, 65_536)):
         got = {r.node: r.cluster for r in density.clusters_of_tree(tree, leaves, 60, m, limit).collect()}
         want = by_hand.tree_clusters(int(sizes.sum()), points, m)
         assert [got[i] for i in range(60)] == [want[f] for f in first], m
 
 
-@pytest.mark.parametrize("limit", [2, 1000])
+@pytest.mark.parametrize("limit", [4, 1000])
 def test_dendrogram_is_the_same_for_any_interval_size(spark, limit):
     rng = np.random.default_rng(3)
-    n = 40
+    n = 24
     edges = [(float(rng.integers(1, 9)), int(rng.integers(0, i)), i) for i in range(1, n)]
     tree = spark.createDataFrame(edges, "weight double, lo long, hi long")
     sizes = spark.range(n).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("size"))
