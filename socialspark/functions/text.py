@@ -177,11 +177,6 @@ def html_to_text(c: Column) -> Column:
     return _once(c, remove_markup, decode_entities, collapse_space)
 
 
-def finish_text(c: Column) -> Column:
-    """Drop ``<emoji: ..>`` marks, collapse whitespace, blank symbol-only text."""
-    return _once(c, *_FINISH)
-
-
 def _drop_emoji_marks(c: Column) -> Column:
     return F.regexp_replace(c, rf"<emoji:[{SPACE_CLASS}]*[^>]+>", "")
 
@@ -199,7 +194,10 @@ def _clean_stages(c: Column, repair: str) -> Column:
 
 
 def clean_text(c: Column, repair: str = "always") -> Column:
-    """Repair, strip markup, drop emoji marks, collapse; null stays null."""
+    """Repair, strip markup, drop ``<emoji: ..>`` marks, collapse whitespace.
+
+    Text without a letter or digit becomes empty; null stays null.
+    """
     return F.element_at(_clean_stages(c, repair), 1)
 
 
