@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import zipfile
+import tempfile
 from collections.abc import Callable
-from functools import cache
-from pathlib import Path
+from functools import wraps
 
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from socialspark.constants import MERGE_COLUMNS
+from socialspark.constants import MERGE_COLUMNS, STOP_WORDS_ENGLISH
 from socialspark.functions import text as tx
 from socialspark.functions.predicates import is_url
 from socialspark.operators import (
@@ -27,9 +25,19 @@ from socialspark.operators import (
 )
 from socialspark.plans import clean_posts as cleaning
 from socialspark.plans import ingest, merging
-from socialspark.session import use_utc
+from socialspark.session import set_shared_folder, use_utc
 from socialspark.sources.readers import select_month
 
+try:  # the training-data operators and their pipeline can be left out
+    import corpus_pipeline
+    from socialspark.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "socialspark.llm"):
+        raise
+    corpus_pipeline = llm = None
+
+ENTRY_TABLES = "/root/testdata/sf0.001"
+
 # --- inputs derived from the given tables -------------------------------------------
 
 
@@ -180,15 +188,6 @@ SHAPES = {
 }
 
 
-@cache
-def stop_words() -> list[str]:
-    """Spark's English stop words, read from its own jar: needs no session."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    name = "org/apache/spark/ml/feature/stopwords/english.txt"
-    with zipfile.ZipFile(jar) as archive:
-        return archive.read(name).decode().split()
-
-
 # --- queries ------------------------------------------------------------------------
 
 
@@ -314,19 +313,19 @@ def q_silhouette(spark, d):
 def q_cluster_prompts(spark, d):
     texts = labelled_texts(spark, d)
     return clusters.cluster_prompts(
-        word_counts.cluster_top_words(texts, stop_words=stop_words()),
+        word_counts.cluster_top_words(texts, stop_words=STOP_WORDS_ENGLISH),
         clusters.cluster_samples(texts),
         instructions="Name this group.\n",
     )
 
 
 def q_monthly_word_freq(spark, d):
-    freq = word_counts.monthly_word_freq(posts(spark, d), ["platform"], "content", stop_words=stop_words())
+    freq = word_counts.monthly_word_freq(posts(spark, d), ["platform"], "content", stop_words=STOP_WORDS_ENGLISH)
     return freq.withColumn("freq", F.round("freq", 9))
 
 
 def q_top_words_overall(spark, d):
-    freq = word_counts.monthly_word_freq(posts(spark, d), ["platform"], "content", stop_words=stop_words())
+    freq = word_counts.monthly_word_freq(posts(spark, d), ["platform"], "content", stop_words=STOP_WORDS_ENGLISH)
     top = word_counts.top_words_overall(freq, ["TS", "BS"])
     return top.select(
         "word", "platform", "month", *[F.round(c, 9).alias(c) for c in ("total", "freq", "log_freq")]
@@ -344,7 +343,25 @@ def q_density_clusters(spark, d):
     return density.label_platforms(labels, vectors, "source_TS", "vec_id")
 
 
+def with_folder(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Give a session that names no shared folder one of its own: a local session only."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        set_shared_folder(spark, lambda: tempfile.mkdtemp(prefix="socialspark-"))
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = library_queries()
+    if llm is not None:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
+    return {name: with_folder(query) for name, query in found.items()}
+
+
+def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "load_month": lambda s, d: select_month(
             damaged(s, d).withColumnRenamed("content", "clean_content"), "2024-07"
@@ -396,7 +413,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             labelled_vectors(s, d), 10, key="vec_id"
         ),
         "cluster_top_words": lambda s, d: word_counts.cluster_top_words(
-            labelled_texts(s, d), stop_words=stop_words()
+            labelled_texts(s, d), stop_words=STOP_WORDS_ENGLISH
         ),
         "cluster_samples": lambda s, d: clusters.cluster_samples(labelled_texts(s, d)),
         "cluster_prompts": q_cluster_prompts,
@@ -411,7 +428,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def entry(spark: SparkSession) -> DataFrame:
     """Share of each platform's posts per month."""
-    return q_month_share(spark, "/root/testdata/sf0.001")
+    return q_month_share(spark, ENTRY_TABLES)
 
 
 # --- the same results in SQL ----------------------------------------------------------
@@ -477,7 +494,7 @@ def sql_word_freq() -> str:
 tokens as (
   select platform, substr(created_at, 1, 7) as month, doc_id, unnest({sql_words('content')}) as word
   from posts),
-kept as (select * from tokens where word not in ({sql_list(stop_words())}) and month in (select month from calendar)),
+kept as (select * from tokens where word not in ({sql_list(STOP_WORDS_ENGLISH)}) and month in (select month from calendar)),
 vocab as (
   select platform, word from kept group by platform, word having count(distinct doc_id) >= 20),
 counts as (select platform, month, word, count(*) as n from kept semi join vocab using (platform, word) group by all),
@@ -516,7 +533,16 @@ pairs as (
 
 
 def oracle_sql() -> dict[str, str]:
-    top_words = TOP_WORDS_SQL.replace("STOPS", sql_list(stop_words()))
+    found = library_sql()
+    if llm is not None:
+        found |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
+
+
+def library_sql() -> dict[str, str]:
+    top_words = TOP_WORDS_SQL.replace("STOPS", sql_list(STOP_WORDS_ENGLISH))
     in_study = "created_at >= '2024-05-01T00:00:00Z' and created_at < '2024-12-01T00:00:00Z'"
     merge_columns = ", ".join(f'"{c}"' for c in MERGE_COLUMNS)
     return {

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,27 +34,32 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, taking it from the session.
-
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a
-    local-mode session (tests) without that setting gets a temporary folder;
-    a cluster without one is refused, because a machine-local folder would
-    vanish together with its executor.
-    """
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named in ``spark.checkpoint.dir`` or set on the context, if any."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir"
+    return (
+        context.getCheckpointDir()
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
     )
-    if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="socialspark-checkpoint-")
-    context.setCheckpointDir(configured)
-    return configured
+
+
+def set_shared_folder(spark: SparkSession, own: Callable[[], str]) -> None:
+    """Let ``own`` choose the folder where the session names none.
+
+    Only for sessions whose executors see the driver's folders. A cluster has
+    to name one itself: a machine-local folder would vanish with its executor.
+    """
+    if shared_folder(spark) is None and spark.sparkContext.master.split("[")[0] == "local":
+        spark.sparkContext.setCheckpointDir(own())
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder, which the session has to name."""
+    folder = shared_folder(spark)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
