@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,10 @@ END_ID = 2
 REMEMBERED = 400_000
 
 
+#: Punctuation that stays one piece, whatever letters stand before it.
+TAIL = ".,;:!?"
+
+
 class WordTokenizer:
     """Ids of whole texts, tokenizing each distinct word once.
 
@@ -48,42 +54,87 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch
+        self._tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        self._ends = None
+        if suffix:
+            vocabulary = self._tokenizer.get_vocab()
+            self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
         self._code: dict[str, int] = {}
-        self._start = np.zeros(1, np.int64)
-        self._size = np.zeros(1, np.int64)
-        self._ids = np.zeros(0, np.uint32)
+        self._start = np.zeros(1 << 16, np.int64)
+        self._size = np.zeros(1 << 16, np.int64)
+        self._ids = np.zeros(1 << 18, np.uint32)
+        self._held = 0
+
+    def _encode(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in the order of their ids, the ids in a row, and how many each word has.
+
+        Letters, or letters and a tail of plain punctuation, are one or two pieces before the
+        merges, and each piece ends in a token that ends a word. Such words are encoded in
+        lines and told apart by these tokens. Others are encoded one by one.
+        """
+        plain: list[str] = []
+        pieces: list[int] = []
+        other: list[str] = []
+        for word in words:
+            core = word.rstrip(TAIL) if self._ends is not None else ""
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                plain.append(word)
+                pieces.append(1 + (core != word))
+            else:
+                other.append(word)
+        encode = self._tokenizer.encode_batch_fast
+        found = [e.ids for e in encode(other, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        if plain:
+            lines = [" ".join(plain[k : k + 100]) for k in range(0, len(plain), 100)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in encode(lines, add_special_tokens=False)])
+            stops = np.flatnonzero(self._ends[flat])[np.cumsum(pieces) - 1] + 1
+            ids, sizes = np.concatenate([ids, flat]), np.concatenate([sizes, np.diff(stops, prepend=0)])
+        return other + plain, ids, sizes
 
     def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self._encode(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        at, held = len(self._code), len(self._ids)
-        self._code.update(zip(words, range(at, at + len(words)), strict=True))
-        self._start = np.concatenate([self._start[:at], held + np.cumsum(sizes) - sizes])
-        self._size = np.concatenate([self._size[:at], sizes])
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        self._ids = np.concatenate([self._ids, flat])
-
-    def encode(self, texts: list[str | None], at_once: int = 64) -> Iterator[np.ndarray]:
+        words, flat, sizes = self._encode(words)
+        at, last = len(self._code), len(self._code) + len(words)
+        self._code.update(zip(words, range(at, last), strict=True))
+        if last > len(self._start):
+            self._start, self._size = (np.resize(x, 2 * last) for x in (self._start, self._size))
+        if self._held + len(flat) > len(self._ids):
+            self._ids = np.resize(self._ids, 2 * (self._held + len(flat)))
+        self._start[at:last] = self._held + np.cumsum(sizes) - sizes
+        self._size[at:last] = sizes
+        self._ids[self._held : self._held + len(flat)] = flat
+        self._held += len(flat)
+
+    def encode(self, texts: list[str | None], at_once: int = 256) -> Iterator[np.ndarray]:
         """The ids of each text, without special tokens."""
         for first in range(0, len(texts), at_once):
             split = [(t or "").replace("\n", " ").split(" ") for t in texts[first : first + at_once]]
-            distinct = dict.fromkeys(w for words in split for w in words)
-            new = [w for w in distinct if w not in self._code]
+            words = list(chain.from_iterable(split))
+            distinct = set(words)
+            new = distinct - self._code.keys()
             if len(self._code) + len(new) > REMEMBERED:
                 self._clear()
-                new = list(distinct)
+                new = distinct
             if new:
-                self._learn(new)
-            for words in split:
-                codes = np.fromiter(map(self._code.__getitem__, words), np.int64, len(words))
-                sizes = self._size[codes]
-                ends = np.cumsum(sizes)
-                place = np.arange(ends[-1]) + np.repeat(self._start[codes] - ends + sizes, sizes)
-                yield self._ids[place]
+                self._learn(list(new))
+            codes = np.fromiter(map(self._code.__getitem__, words), np.int32, len(words))
+            sizes = self._size[codes]
+            ends = np.cumsum(sizes)
+            place = np.repeat(self._start[codes] - ends + sizes, sizes)
+            place += np.arange(ends[-1])
+            yield from np.split(self._ids[place], ends[np.cumsum([len(x) for x in split])[:-1] - 1])
+
+
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, so that its later tasks know the words of the earlier ones."""
+    return WordTokenizer(path)
 
 
 def capacities(tokens: int, capacity: int) -> np.ndarray:
@@ -140,7 +191,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         names: list = []
         ids: list[np.ndarray] = []
         held, first = 0, TaskContext.get().partitionId() << 33
