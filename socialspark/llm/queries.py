@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from socialspark.llm import language_id, packing
+from socialspark.llm import language_id, mixing, ngram_join, packing, suffix_dedup
 from socialspark.llm.common import fold
 from socialspark.session import use_utc
 
@@ -22,6 +22,19 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Domains by the columns of ``labels``.
+DOMAIN = "case when toxic = 1 then 'toxic' when quality = 0 then 'poor' when quality = 1 then 'good' end"
+TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").selectExpr("doc_id", f"{DOMAIN} as domain")
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, word_tokenizer(), with_ids=False)
@@ -35,10 +48,23 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir)
+    known = {r[0] for r in labels.select("domain").distinct().collect()}
+    return mixing.mix(docs, labels, {d: w for d, w in TARGETS.items() if d in known})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_ngram_join": op4_ngram_join,
         "op5_packing": op5_packing,
         "op7_language_id": op7_language_id,
+        "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_mixing": op10_mixing,
     }
 
 
