@@ -109,9 +109,9 @@ def domain_posteriors(
     docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(id, n_tokens, posteriors)`` of every row; probabilities in the order of ``model.domains``."""
-    rows = docs.select(
-        F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.explode(_words(F.col(text_col))).alias("_word")
-    )
+    # numbered before the words are spread, so that words of a row share the number
+    numbered = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    rows = numbered.select(id_col, "_row", F.explode(_words(F.col("_text"))).alias("_word"))
     tokens = F.count_if(F.col("_word") != "").alias("n_tokens")
     if not model.domains:
         found = rows.groupBy("_row", id_col).agg(tokens)
