@@ -250,8 +250,9 @@ def _hash_windows(length: int):
     return run
 
 
-def _remove(length: int):
+def _remove(as_text: bool):
     """Rows of a document and its repeated spans: what is left of it."""
+    kind = pa.string() if as_text else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,8 +272,8 @@ def _remove(length: int):
                         at = end = s[1]
                 kept.append(data[at:])
                 left = b"".join(kept)
-                out.append((len(data), removed, runs, hashlib.sha256(left).hexdigest(), left))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+                out.append((len(data), removed, runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if as_text else left))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), *columns], ["_row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
@@ -285,7 +286,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
             _emit_anchors(length, gram), "gram long, class long, id long, crc long, at long, left int, right int"
         )
     )
-    busy = found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram")
+    # a table, so that nothing but the exchanges stands below the join and a hot gram can be split
+    busy = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram"))
     found = cut(found.join(busy, "gram"))
     classes = cut(
         found.groupBy("gram", "class").agg(
@@ -337,10 +339,12 @@ def remove_repeats(
     length: int = LENGTH,
     gram: int = GRAM,
     group: int = GROUP,
+    as_text: bool = False,
 ) -> DataFrame:
     """The columns ``keep`` (the id alone by default) and, per row, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept``.
 
-    ``kept`` are the remaining bytes, which may begin or end inside a character.
+    ``kept`` are the remaining bytes, which may begin or end inside a character; with
+    ``as_text`` a string without such characters.
     """
     columns = [F.col(c) for c in (keep or (id_col,))]
     keyed = docs.select(
@@ -353,6 +357,7 @@ def remove_repeats(
     joined = keyed.join(spans, ["_id", "_crc"], "left").select("_text", "spans", "_row")
     row = joined.schema["_row"].dataType.simpleString()
     out = joined.mapInArrow(
-        _remove(length), f"_row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        _remove(as_text),
+        f"_row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}",
     )
     return out.select("_row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
