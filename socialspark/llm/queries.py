@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from socialspark.llm import language_id, mixing, ngram_join, packing, suffix_dedup
+from socialspark.llm import (
+    context_tree,
+    hamming_search,
+    kmeans_tree,
+    language_id,
+    mixing,
+    ngram_join,
+    packing,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from socialspark.llm.common import fold
-from socialspark.session import use_utc
+from socialspark.session import ensure_checkpoint_dir, use_utc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +34,23 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archive(spark, folder, with_payload=False).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op2_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return kmeans_tree.kmeans_tree_search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.context_tree_scores(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+
+
 #: Domains by the columns of ``labels``.
 DOMAIN = "case when toxic = 1 then 'toxic' when quality = 0 then 'poor' when quality = 1 then 'good' end"
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
@@ -40,6 +69,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, word_tokenizer(), with_ids=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold("doc_id", 5) == 0
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 3) == 1
@@ -48,6 +84,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming_search.sign_codes(table(spark, sf_dir, "embeddings"))
+    return hamming_search.hamming_search(codes, codes.where("id % 20 = 0"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -59,14 +100,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op4_ngram_join": op4_ngram_join,
-        "op5_packing": op5_packing,
-        "op7_language_id": op7_language_id,
-        "op9_suffix_dedup": op9_suffix_dedup,
-        "op10_mixing": op10_mixing,
-    }
+    found = [
+        op1_warc,
+        op2_kmeans_tree,
+        op3_context_tree,
+        op4_ngram_join,
+        op5_packing,
+        op6_toxicity,
+        op7_language_id,
+        op8_hamming_search,
+        op9_suffix_dedup,
+        op10_mixing,
+    ]
+    return {query.__name__: query for query in found}
+
+
+WARC_SQL = """with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p where n >= 100 group by d)
+select page_id, n as payload_bytes, d as payload_digest,
+  case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to
+from p left join f using (d)"""
+
+HAMMING_SQL = f"""with e as (
+  select vec_id, list_sum(list_transform(range(1, 65), lambda i:
+    case when embedding[i] > 0 then cast(1 as hugeint) << (i - 1)::integer else 0 end))::hugeint::ubigint as code
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+r as (
+  select q.vec_id as query_id, c.vec_id, bit_count(xor(q.code, c.code)) as distance,
+    row_number() over (partition by q.vec_id order by bit_count(xor(q.code, c.code)), c.vec_id) as rank
+  from e q join e c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
+select query_id, cast(rank as int) as rank, vec_id, cast(distance as int) as distance from r where rank <= {hamming_search.K}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": WARC_SQL, "op8_hamming_search": HAMMING_SQL}
