@@ -161,7 +161,8 @@ def fit_rates(
     """``posteriors`` with a ``rate``, and the tokens each domain is expected to give.
 
     ``targets`` are weights of the domains. ``budget`` is the number of tokens they share,
-    all tokens by default; ``math.inf`` asks for the most that needs no rate above 1. The error of a
+    all tokens by default; with ``math.inf`` the domain of the greatest weight keeps all its tokens, and the
+    others get their weight relative to it, but no more than they have. The error of a
     domain counts relative to the tokens it has. Steps end when every domain
     is within ``tolerance`` of its target, or after ``steps``.
     """
@@ -183,9 +184,12 @@ def fit_rates(
     weight /= weight.sum()
     if budget is None:
         budget = total
-    elif math.isinf(budget):
-        budget = float(min(n / w for n, w in zip(natural, weight, strict=True) if w > 0))
-    goal, scale = weight * budget, np.maximum(natural, 1e-9 * total)
+    scale = np.maximum(natural, 1e-9 * total)
+    goal = weight * (0 if math.isinf(budget) else budget)
+    if math.isinf(budget):
+        main = int(weight.argmax())
+        goal = np.minimum(natural, weight * (natural[main] / weight[main]))
+        budget = float(goal.sum())
     moments = posteriors.agg(*[F.sum(tokens * p[i] * p[j]) for i in places for j in places]).first()
     hessian = np.array(moments, float).reshape(len(domains), -1) / np.sqrt(np.outer(scale, scale))
     step = 1.0 / np.linalg.eigvalsh(hessian).max()

@@ -64,6 +64,8 @@ def test_largest_budget_without_repeats(tables):
     docs, labels, _ = tables
     found = mixing.mix(docs, labels, {"good": 0.98, "poor": 0.015, "toxic": 0.005}, budget=math.inf).toPandas()
     assert found["rate"].max() < 1.01
+    good = found[np.array(found["posteriors"].tolist()).argmax(1) == 0]
+    assert good["rate"].min() > 0.99 and found["rate"].min() < 0.3
 
 
 def test_odd_rows(spark):
