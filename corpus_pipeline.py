@@ -1,25 +1,66 @@
-"""From raw documents to packed sequences: five stages, each over all that the one before kept."""
+"""From raw documents to packed sequences: five stages, each over all that the one before kept.
+
+``STAGES`` lists them; each takes ``(spark, docs, sf_dir)`` and all but the last return the
+columns of ``documents``. ``run`` applies them, writing each result to the shared folder.
+
+Rows without an id are never near-duplicates of anything and are mixed at rate 1. Of rows that share an id one stays.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from socialspark.llm import language_id, packing
-from socialspark.llm.queries import table, word_tokenizer
+from socialspark.llm import language_id, mixing, ngram_join, packing, suffix_dedup
+from socialspark.llm.queries import domain_labels, table, word_tokenizer
 from socialspark.session import cut
 
 #: Languages less likely than this reject a document.
 LEAST_SCORE = 0.5
+#: Weights of the domains after mixing; no document is repeated for them.
+TARGETS = {"good": 0.97, "poor": 0.025, "toxic": 0.005}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language."""
-    model = language_id.fit(docs)
-    found = language_id.predict(docs, model, keep=tuple(docs.columns))
+    found = language_id.predict(docs, language_id.fit(docs), keep=tuple(docs.columns))
     sure = (found["lang_pred"] != language_id.UNKNOWN) & (found["score"] >= LEAST_SCORE)
     return found.where(sure).select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group that n-gram similarity links."""
+    classes = ngram_join.ngram_join(docs)
+    kept = cut(classes.where("doc_id = class_id").select("doc_id").distinct())
+    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out long strings that occur more than once; documents of which nothing is left go."""
+    found = suffix_dedup.remove_repeats(docs, keep=tuple(docs.columns), as_text=True)
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
+    size = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return (
+        found.where(~changed | (F.trim("kept") != ""))
+        .withColumns({"text": text, "n_chars": size})
+        .select(*docs.columns)
+    )
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Thin out domains until their expected tokens have the target weights."""
+    labels = domain_labels(spark, sf_dir)
+    known = {r[0] for r in labels.join(docs.select("doc_id"), "doc_id", "left_semi").select("domain").distinct().collect()}
+    targets = {d: w for d, w in TARGETS.items() if d in known}
+    rates = mixing.mix(docs, labels.where(F.col("domain").isin(*targets)), targets, budget=math.inf)
+    dropped = rates.where("doc_id is not null and copies < 1").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document and their place in the sequences."""
     return packing.pack_documents(docs, word_tokenizer(), with_ids=False)
@@ -27,6 +68,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", remove_repeated_passages),
+    ("mixing", mix_domains),
     ("packing", pack),
 ]
 
