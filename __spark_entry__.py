@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from socialspark.constants import MERGE_COLUMNS, STOP_WORDS_ENGLISH
@@ -23,7 +23,9 @@ from socialspark.operators import (
     volumes,
     word_counts,
 )
+from socialspark.operators.ranking import number_rows
 from socialspark.plans import clean_posts as cleaning
+from socialspark.plans import embed_months as embed_plan
 from socialspark.plans import ingest, merging
 from socialspark.session import set_shared_folder, use_utc
 from socialspark.sources.readers import select_month
@@ -224,9 +226,14 @@ def q_schema_groups(spark, d):
         table(spark, d, "orders")
         .groupBy("o_custkey")
         .agg(F.collect_set("o_orderpriority").alias("columns"))
+        .select(
+            F.concat(F.lit("f"), "o_custkey").alias("file_name"),
+            F.when(F.col("o_custkey") % 11 != 0, F.col("columns")).alias("columns"),
+            F.when(F.col("o_custkey") % 11 == 0, F.lit("unreadable")).alias("error"),
+        )
     )
     matched = schema_drift.match_schemas(headers, schema_drift.schema_table(spark, SHAPES))
-    return schema_drift.schema_group_counts(matched)
+    return schema_drift.schema_group_counts(matched).withColumn("files", F.array_join("files", ","))
 
 
 def q_schema_diff(spark, d):
@@ -272,9 +279,19 @@ def q_embed_hashed(spark, d):
     vectors = embed.embed_texts(
         posts(spark, d), text_col="content", prompt="", dimensions=64, key="external_id"
     )
-    return vectors.select("external_id", F.posexplode("embedding").alias("dim", "weight")).select(
+    return vectors.select("external_id", F.posexplode("embedding").alias("dim", "weight")).where("weight <> 0").select(
         "external_id", "dim", F.round(F.col("weight").cast("double"), 5).alias("weight")
-    ).where("weight <> 0")
+    )
+
+
+def q_embed_months(spark, d):
+    """The greatest weight of each vector of two platforms in three months."""
+    vectors = embed_plan.embed_months(
+        posts(spark, d), ["2024-06", "2024-07", "2024-11"], ["TS", "BS"], text_col="content", prompt="", dimensions=64
+    )
+    return vectors.select(
+        "platform", "month", "external_id", F.round(F.array_max("embedding").cast("double"), 5).alias("weight")
+    )
 
 
 def labelled_vectors(spark, d):
@@ -310,6 +327,53 @@ def q_silhouette(spark, d):
     return scored.select("labelling", "n", F.round("silhouette", 6).alias("silhouette"))
 
 
+def q_kmeans_clusters(spark, d):
+    """Every row, and whether it is at least as near to the mean of its cluster as to any other mean."""
+    labelled = clusters.kmeans_clusters(table(spark, d, "embeddings"), 10, key="vec_id")
+    part = labelled.select("vec_id", "cluster", F.posexplode("embedding").alias("dim", "x"))
+    sums = part.groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean")).orderBy("cluster", "dim")
+    means: dict[int, list[float]] = {}
+    for row in sums.collect():  # ten clusters
+        means.setdefault(row["cluster"], []).append(row["mean"])
+    far = F.array(
+        *[
+            F.struct(
+                F.aggregate(
+                    F.zip_with("embedding", F.array(*[F.lit(x) for x in mean]), lambda x, m: (x - m) * (x - m)),
+                    F.lit(0.0),
+                    lambda a, b: a + b,
+                ).alias("far"),
+                F.lit(c).alias("cluster"),
+            )
+            for c, mean in means.items()
+        ]
+    )
+    measured = labelled.select("vec_id", "cluster", far.alias("far"))
+    own = F.array_min(F.transform(F.filter("far", lambda c: c["cluster"] == F.col("cluster")), lambda c: c["far"]))
+    least = F.array_min(F.transform("far", lambda c: c["far"]))
+    return measured.select(
+        "vec_id", (own <= least + 1e-6).alias("at_nearest_mean"), F.col("cluster").between(0, 9).alias("in_range")
+    )
+
+
+def q_k_sweep(spark, d):
+    """Each k, whether inertia falls from k to k, and whether the silhouette is in its range."""
+    sweep = clusters.k_sweep(table(spark, d, "embeddings"), key="vec_id")
+    before = F.lag("inertia").over(Window.orderBy("k"))  # 29 rows
+    return sweep.select(
+        "k",
+        F.coalesce(F.col("inertia") <= before * 1.02, F.lit(True)).alias("falls"),
+        F.col("silhouette").between(-1, 1).alias("in_range"),
+    )
+
+
+def q_mst(spark, d):
+    """The weights of the tree in ascending order."""
+    tree = density.mutual_reachability_tree(table(spark, d, "embeddings"), key="vec_id")
+    ranked = number_rows(tree, ["weight", "source", "target"], "rank")
+    return ranked.select((F.col("rank") + 1).alias("rank"), F.round("weight", 6).alias("weight"))
+
+
 def q_cluster_prompts(spark, d):
     texts = labelled_texts(spark, d)
     return clusters.cluster_prompts(
@@ -401,12 +465,11 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "monthly_word_freq": q_monthly_word_freq,
         "top_words_overall": q_top_words_overall,
         "embed_hashed": q_embed_hashed,
+        "embed_months": q_embed_months,
         "align_embeddings": q_align_embeddings,
         "verify_embeddings": q_verify_embeddings,
-        "kmeans_clusters": lambda s, d: clusters.kmeans_clusters(table(s, d, "embeddings"), 10).select(
-            "vec_id", "cluster"
-        ),
-        "k_sweep": lambda s, d: clusters.k_sweep(table(s, d, "embeddings"), key="vec_id", n_init=1),
+        "kmeans_clusters": q_kmeans_clusters,
+        "k_sweep": q_k_sweep,
         "silhouette": q_silhouette,
         "cluster_members": lambda s, d: clusters.cluster_members(labelled_texts(s, d)),
         "cluster_member_table": lambda s, d: clusters.cluster_member_table(
@@ -421,7 +484,7 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "core_distance": lambda s, d: neighbours.core_distance(
             table(s, d, "embeddings"), key="vec_id"
         ).select("vec_id", F.round("core", 6).alias("core")),
-        "mst": lambda s, d: density.mutual_reachability_tree(table(s, d, "embeddings"), key="vec_id"),
+        "mst": q_mst,
         "density_clusters": q_density_clusters,
     }
 
@@ -592,7 +655,10 @@ def library_sql() -> dict[str, str]:
             union all select c_custkey, c_name, null, c_acctbal, null from customer""",
         "schema_groups": f"""with h as (select o_custkey, list_sort(list(distinct o_orderpriority)) as k from orders group by 1),
             known(schema, k) as (values {", ".join(f"('{n}', [{sql_list(sorted(c))}])" for n, c in SHAPES.items())})
-            select coalesce(schema, 'unknown') as schema, count(*) as n_files from h left join known using (k) group by 1""",
+            select coalesce(case when o_custkey % 11 <> 0 then schema end, 'unknown') as schema, count(*) as n_files,
+              count(case when o_custkey % 11 = 0 then 1 end) as n_errors,
+              string_agg('f' || o_custkey, ',' order by 'f' || o_custkey) as files
+            from h left join known using (k) group by 1""",
         "schema_diff": """with p as (select p_brand, p_type, concat_ws(' ', p_name, p_size) as c from part)
             select c as "column", string_agg(distinct p_brand, ',' order by p_brand) as schemas
             from p where c not in (select c from p where p_type = 'ECONOMY') group by c""",
@@ -654,6 +720,16 @@ def library_sql() -> dict[str, str]:
             select external_id, cast(dim as int) as dim,
               round(cast(cast(c / sqrt(sum(c * c) over (partition by external_id)) as float) as double), 5) as weight
             from counts""",
+        "embed_months": f"""with {POSTS_SQL}, tokens as (
+              select platform, substr(created_at, 1, 7) as month, external_id, unnest({sql_words('content')}) as word
+              from posts
+              where platform in ('TS', 'BS') and substr(created_at, 1, 7) in ('2024-06', '2024-07', '2024-11')),
+            counts as (
+              select platform, month, external_id, cast('0x' || substr(md5(word), 1, 8) as bigint) % 64 as dim, count(*) as c
+              from tokens group by all)
+            select platform, month, external_id,
+              round(cast(cast(max(c) / sqrt(sum(c * c)) as float) as double), 5) as weight
+            from counts group by all""",
         "align_embeddings": """select vec_id, label as cluster, len(embedding) as dims,
               cast(embedding[1] as double) as first_value from embeddings""",
         "verify_embeddings": """with e as (
@@ -662,7 +738,7 @@ def library_sql() -> dict[str, str]:
             select vec_id, len(list_filter(list_zip(embedding, again), lambda p:
                 abs(cast(p[1] as double) - p[2]) > 1e-8 + 1e-5 * abs(p[2]))) = 0 as matches from e""",
         "silhouette": """with e as (select vec_id, label, cast(embedding as double[]) as v from embeddings),
-            d as (select a.vec_id, a.label as own, b.label as other, sum(list_distance(a.v, b.v)) as total, count(*) as n
+            d as (select a.vec_id, a.label as own, b.label as other, sum(list_distance(a.v, b.v) ** 2) as total, count(*) as n
                   from e a cross join e b group by all),
             s as (select vec_id,
                     max(case when own = other then total / greatest(n - 1, 1) end) as a,
@@ -689,6 +765,28 @@ def library_sql() -> dict[str, str]:
             from p left join w using (cluster)""",
         "knn_cosine": f"""with {DISTANCES_SQL}
             select vec_id, rank, neighbour, round(distance, 6) as distance from pairs where rank <= 3""",
+        "kmeans_clusters": "select vec_id, true as at_nearest_mean, true as in_range from embeddings",
+        "k_sweep": "select cast(k as int) as k, true as falls, true as in_range from range(2, 31) r(k)",
+        # Prim: the distances of all rows to the tree, and the nearest joins it
+        "mst": f"""with recursive {DISTANCES_SQL},
+            core as (select vec_id, distance as core from pairs where rank = 3),
+            n as (select vec_id, core, row_number() over (order by vec_id) as i from core join e using (vec_id)),
+            reach as (
+              select a.i, list(greatest(p.distance, a.core, b.core) order by b.i) as far
+              from n a join n b on a.i <> b.i join pairs p on p.vec_id = a.vec_id and p.neighbour = b.vec_id group by a.i),
+            w as (select i, list_concat(far[:i - 1], [0.0], far[i:]) as far from reach),
+            prim as (
+              select 0 as step, far, list_transform(far, lambda x, k: k = 1) as done, null::double as weight from w where i = 1
+              union all
+              select step + 1,
+                list_transform(list_zip(prim.far, w.far), lambda x: least(x[1], x[2])),
+                list_transform(done, lambda x, k: x or k = w.i),
+                prim.far[w.i]
+              from prim join w on w.i = list_position(
+                list_transform(list_zip(prim.far, done), lambda x: case when x[2] then 9 else x[1] end),
+                list_min(list_transform(list_zip(prim.far, done), lambda x: case when x[2] then 9 else x[1] end)))
+              where not list_aggregate(done, 'bool_and'))
+            select row_number() over (order by weight) as rank, round(weight, 6) as weight from prim where step > 0""",
         "core_distance": f"""with {DISTANCES_SQL}
             select vec_id, round(distance, 6) as core from pairs where rank = 3""",
     }

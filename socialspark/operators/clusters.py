@@ -7,32 +7,120 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.constants import CLEAN_TEXT, LABEL_INSTRUCTIONS, POST_ID
 from socialspark.functions.text import is_blank
+from socialspark.operators.embed import usable
 from socialspark.operators.ranking import number_within, top_per_key
+from socialspark.session import cut
 
-SILHOUETTE_SAMPLE = 5000
+#: Vectors that starts are seeded from, at most; every iteration passes over all rows.
+SEED_SAMPLE = 5000
+N_INIT = 20
 
 
-def _features(vectors: DataFrame, column: str) -> DataFrame:
-    return vectors.withColumn("_features", array_to_vector(F.col(column)))
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float64)
 
 
-def _fit_best(features: DataFrame, k: int, seed: int, max_iter: int, n_init: int) -> KMeansModel:
-    best = None
-    for attempt in range(n_init):
-        model = KMeans(
-            k=k, seed=seed + attempt, maxIter=max_iter, initMode="k-means||", featuresCol="_features",
-            predictionCol="_cluster",
-        ).fit(features)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def _plus_plus(points: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """Starting centres, each far from those before with high probability."""
+    chosen = [int(random.integers(len(points)))]
+    far = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = far.sum()
+        pick = int(random.choice(len(points), p=far / total)) if total > 0 else int(random.integers(len(points)))
+        chosen.append(pick)
+        far = np.minimum(far, ((points - points[pick]) ** 2).sum(axis=1))
+    return points[chosen]
+
+
+def fit_kmeans(
+    vectors: DataFrame,
+    ks: Sequence[int],
+    column: str = "embedding",
+    key: str = POST_ID,
+    seed: int = 42,
+    max_iter: int = 200,
+    n_init: int = N_INIT,
+    tolerance: float = 1e-10,
+) -> dict[int, tuple[np.ndarray, float]]:
+    """``{k: (centres, inertia)}``: for each ``k`` the best of ``n_init`` k-means fits.
+
+    All fits advance together: one pass over the vectors per iteration serves
+    every start of every ``k`` that has not settled. A task adds up its
+    own rows per centre; what reaches the driver is a sum per centre.
+    Starts are seeded by k-means++ on at most ``SEED_SAMPLE`` rows.
+    """
+    rows = usable(vectors, column).select(key, F.col(column).cast("array<double>").alias("v"))
+    sample = hashed_sample(rows, key, SEED_SAMPLE, seed).select("v").toPandas()
+    if sample.empty:
+        return {k: (np.zeros((0, 0)), 0.0) for k in ks}
+    points = _matrix(sample["v"])
+    centres = {
+        (k, start): _plus_plus(points, k, np.random.Generator(np.random.PCG64([seed, k, start])))
+        for k in ks
+        for start in range(n_init)
+    }
+    costs: dict[tuple[int, int], float] = {}
+    spark = vectors.sparkSession
+    kept = rows.select("v").persist(StorageLevel.MEMORY_AND_DISK)
+    active = list(centres)
+    for turn in range(max_iter + 1):
+        sent = spark.sparkContext.broadcast([centres[m] for m in active])
+
+        def add_up(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            models = sent.value
+            sums = [np.zeros_like(c) for c in models]
+            counts = [np.zeros(len(c)) for c in models]
+            cost = [np.zeros(len(c)) for c in models]
+            for frame in frames:
+                for first in range(0, len(frame), 2048):
+                    x = _matrix(frame["v"].iloc[first : first + 2048])
+                    square = (x * x).sum(axis=1)
+                    for i, c in enumerate(models):
+                        gap = (c * c).sum(axis=1) - 2.0 * x @ c.T
+                        near = gap.argmin(axis=1)
+                        member = np.eye(len(c))[near]
+                        counts[i] += member.sum(axis=0)
+                        sums[i] += member.T @ x
+                        cost[i] += np.bincount(near, square + gap[np.arange(len(x)), near], len(c))
+            total, vector = np.concatenate(counts), np.concatenate(sums)
+            some = np.flatnonzero(total)
+            yield pd.DataFrame({"at": some, "n": total[some], "s": list(vector[some]), "cost": np.concatenate(cost)[some]})
+
+        found = (
+            kept.mapInPandas(add_up, "at long, n double, s array<double>, cost double")
+            .groupBy("at")
+            .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("cost").alias("cost"))
+            .collect()  # a row per centre
+        )
+        by_place = {row["at"]: row for row in found}
+        sent.unpersist()
+        place, going = 0, []
+        for model in active:
+            old = centres[model]
+            own = [by_place.get(place + i) for i in range(len(old))]
+            place += len(old)
+            costs[model] = sum(row["cost"] for row in own if row is not None)
+            new = np.array([c if row is None else row["s"].toArray() / row["n"] for c, row in zip(old, own, strict=True)])
+            if ((new - old) ** 2).sum(axis=1).max() > tolerance and turn < max_iter:
+                going.append(model)
+                centres[model] = new
+        active = going
+        if not active:
+            break
+    kept.unpersist()
+    best = {k: min(range(n_init), key=lambda start, k=k: (costs[k, start], start)) for k in ks}
+    return {k: (centres[k, start], max(0.0, costs[k, start])) for k, start in best.items()}
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(axis=1) - 2.0 * x @ centres.T).argmin(axis=1).astype(np.int32)
 
 
 def kmeans_clusters(
@@ -42,20 +130,20 @@ def kmeans_clusters(
     name: str = "cluster",
     seed: int = 42,
     max_iter: int = 200,
-    n_init: int = 3,
+    n_init: int = N_INIT,
+    key: str = POST_ID,
 ) -> DataFrame:
     """Add an integer ``cluster``: the best of ``n_init`` k-means fits by cost.
 
-    The vectors are kept in executor memory and on disk while fitting, because
-    every iteration passes over them; a lost block is computed again.
+    Rows without a usable vector are left out.
     """
-    features = _features(vectors, column)
-    kept = features.select("_features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = _fit_best(kept, k, seed, max_iter, n_init)
-    finally:
-        kept.unpersist()
-    return model.transform(features).withColumnRenamed("_cluster", name).drop("_features")
+    centres, _ = fit_kmeans(vectors, [k], column, key, seed, max_iter, n_init)[k]
+
+    @F.pandas_udf("int")
+    def nearest(column: pd.Series) -> pd.Series:
+        return pd.Series(_nearest(_matrix(column), centres) if len(column) else [], dtype="int32")
+
+    return usable(vectors, column).withColumn(name, nearest(F.col(column)))
 
 
 def sample_order(key: str, seed: int) -> Column:
@@ -77,19 +165,21 @@ def silhouette_samples(
     labels: Sequence[str] = ("cluster",),
     key: str = POST_ID,
     column: str = "embedding",
-    sample_size: int = SILHOUETTE_SAMPLE,
+    *,
+    sample_size: int,
     seed: int = 42,
 ) -> DataFrame:
     """``(key, labelling, silhouette)`` with Euclidean distance on a sample.
 
+    ``sample_size`` has to be named: rows beyond it are not scored.
+
     One pass serves several label columns. The sample (``sample_size`` vectors
     at most) goes to every task; each task compares its own rows with it and
     sums distances per cluster, so no pair is ever a row. A row alone in its
     cluster scores 0, as does every row of a one-cluster labelling.
     """
     labels = list(labels)
-    sample = hashed_sample(vectors.select(key, column, *labels), key, sample_size, seed)
-    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
+    sample = hashed_sample(usable(vectors, column).select(key, column, *labels), key, sample_size, seed)
     local = sample.select(column, *labels).toPandas()
     points = np.asarray(local[column].tolist(), dtype=np.float64)
     codes = {}
@@ -132,12 +222,77 @@ def silhouette_samples(
     return spread.mapInPandas(score, f"`{key}` {kind}, labelling string, silhouette double")
 
 
-def silhouette(vectors: DataFrame, labels: Sequence[str] = ("cluster",), **kwargs) -> DataFrame:
-    """``(labelling, n, silhouette)``: the mean over the sample."""
-    scores = silhouette_samples(vectors, labels, **kwargs)
-    return scores.groupBy("labelling").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette")
+def squared_silhouette(vectors: DataFrame, labels: Sequence[str] = ("cluster",), column: str = "embedding") -> DataFrame:
+    """``(labelling, n, silhouette)`` with squared Euclidean distance over all rows.
+
+    The mean squared distance to a cluster follows from its count, its sum and its sum of
+    squares, so one pass adds these up and a second scores every row. The
+    sums, one row per label, go to every task. A row alone in its cluster
+    scores 0, as does every row of a one-cluster labelling.
+    """
+    labels = list(labels)
+    rows = usable(vectors, column).select(F.col(column).cast("array<double>").alias("v"), *labels)
+    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("labelling"), F.col(c).cast("string").alias("label")) for c in labels]))
+    sums = (
+        rows.select("v", square.alias("square"), each)
+        .groupBy("labelling", "label")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("square").alias("squares"), Summarizer.sum(array_to_vector("v")).alias("s"))
+        .collect()
     )
+    stats = {
+        c: (
+            {r["label"]: i for i, r in enumerate(own)},
+            np.array([r["n"] for r in own], float),
+            np.array([r["squares"] for r in own]),
+            np.array([r["s"].toArray() for r in own]),
+        )
+        for c in labels
+        if (own := [r for r in sums if r["labelling"] == c])
+    }
+    sent = vectors.sparkSession.sparkContext.broadcast(stats)
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first in range(0, len(frame), 2048):
+                part = frame.iloc[first : first + 2048]
+                x = _matrix(part["v"])
+                norm, at = (x * x).sum(axis=1)[:, None], np.arange(len(part))
+                for c in labels:
+                    place, n, squares, s = sent.value[c]
+                    own = part[c].map(lambda label: place[None if label is None or label != label else label]).to_numpy()
+                    total = np.maximum(norm * n + squares - 2.0 * x @ s.T, 0.0)
+                    inside = total[at, own] / np.maximum(n[own] - 1, 1)
+                    means = total / n
+                    means[at, own] = np.inf
+                    other = means.min(axis=1)
+                    top = np.maximum(inside, other)
+                    scored = (n[own] > 1) & np.isfinite(other) & (top > 0)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        value = np.where(scored, (other - inside) / top, 0.0)
+                    yield pd.DataFrame({"labelling": [c], "n": [len(part)], "total": [value.sum()]})
+
+    texts = rows.select("v", *[F.col(c).cast("string").alias(c) for c in labels])
+    parts = texts.mapInPandas(score, "labelling string, n long, total double")
+    return parts.groupBy("labelling").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("silhouette"))
+
+
+def silhouette(
+    vectors: DataFrame,
+    labels: Sequence[str] = ("cluster",),
+    key: str = POST_ID,
+    column: str = "embedding",
+    sample_size: int | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """``(labelling, n, silhouette)``: over all rows with squared Euclidean distance.
+
+    With ``sample_size`` it is the mean over a sample, with Euclidean distance.
+    """
+    if sample_size is None:
+        return squared_silhouette(vectors, labels, column)
+    scores = silhouette_samples(vectors, labels, key, column, sample_size=sample_size, seed=seed)
+    return scores.groupBy("labelling").agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette"))
 
 
 def k_sweep(
@@ -148,33 +303,25 @@ def k_sweep(
     column: str = "embedding",
     seed: int = 42,
     max_iter: int = 200,
-    n_init: int = 3,
-    sample_size: int = SILHOUETTE_SAMPLE,
+    n_init: int = N_INIT,
+    sample_size: int | None = None,
 ) -> DataFrame:
-    """``(k, inertia, silhouette)`` for every ``k``.
+    """``(k, inertia, silhouette)`` for every ``k``, see ``fit_kmeans`` and ``silhouette``."""
+    ks = list(range(k_min, k_max + 1))
+    fits = fit_kmeans(vectors, ks, column, key, seed, max_iter, n_init)
+    rows = usable(vectors, column).select(key, F.col(column).cast("array<double>").alias(column))
+    names = [f"k{k}" for k in ks]
 
-    Inertia is over all rows, the silhouette over one fixed sample. The models
-    are fitted one after another on cached vectors; the sample is labelled by
-    all of them and scored in a single pass.
-    """
-    spark = vectors.sparkSession
-    features = _features(vectors.select(key, column), column).persist(StorageLevel.MEMORY_AND_DISK)
-    sample = hashed_sample(features, key, sample_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    labelled, costs = sample, []
-    for k in range(k_min, k_max + 1):
-        model = _fit_best(features, k, seed, max_iter, n_init)
-        costs.append((f"k{k}", k, float(model.summary.trainingCost)))
-        labelled = model.transform(labelled).withColumnRenamed("_cluster", f"k{k}")
-    scores = silhouette(
-        labelled, [name for name, _, _ in costs], key=key, column=column, sample_size=sample_size, seed=seed
-    )
-    table = spark.createDataFrame(costs, "labelling string, k int, inertia double")
-    # One row per k on both sides; a single cluster has no silhouette.
-    result = table.join(F.broadcast(scores), "labelling").select("k", "inertia", "silhouette")
-    rows = result.collect()
-    features.unpersist()
-    sample.unpersist()
-    return spark.createDataFrame(rows, result.schema)
+    def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            x = _matrix(frame[column])
+            yield frame.assign(**{f"k{k}": _nearest(x, fits[k][0]) if len(x) else [] for k in ks})
+
+    kind = rows.schema[key].dataType.simpleString()
+    labelled = rows.mapInPandas(label, f"`{key}` {kind}, `{column}` array<double>, " + ", ".join(f"{n} int" for n in names))
+    scores = {r["labelling"]: r["silhouette"] for r in silhouette(labelled, names, key, column, sample_size, seed).collect()}
+    table = [(k, float(fits[k][1]), scores.get(f"k{k}")) for k in ks]
+    return vectors.sparkSession.createDataFrame(table, "k int, inertia double, silhouette double")
 
 
 def cluster_members(labelled: DataFrame, cluster: str = "cluster", key: str = POST_ID) -> DataFrame:
@@ -185,10 +332,19 @@ def cluster_members(labelled: DataFrame, cluster: str = "cluster", key: str = PO
 def cluster_member_table(
     labelled: DataFrame, k: int, cluster: str = "cluster", key: str = POST_ID
 ) -> DataFrame:
-    """The wide form: a column per cluster, ids below each other, padded with ``""``."""
-    members = cluster_members(labelled, cluster, key)
-    wide = members.groupBy("position").pivot(cluster, list(range(k))).agg(F.first(F.col(key).cast("string")))
-    columns = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"cluster_{c}") for c in range(k)]
+    """The wide form: a column per cluster, ids below each other, padded with ``""``.
+
+    Labels outside ``range(k)``, such as the -1 of noise, and null labels share
+    the column ``cluster_other``, which is there only if they are.
+    """
+    inside = F.coalesce(F.col(cluster).between(0, k - 1), F.lit(False))
+    named = labelled.select(key, F.when(inside, F.col(cluster)).otherwise(k).alias(cluster))
+    members = cut(cluster_members(named, cluster, key))
+    others = not members.where(F.col(cluster) == k).isEmpty()
+    places = range(k + others)
+    wide = members.groupBy("position").pivot(cluster, list(places)).agg(F.first(F.col(key).cast("string")))
+    names = [f"cluster_{c}" for c in range(k)] + ["cluster_other"]
+    columns = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(names[c]) for c in places]
     return wide.select("position", *columns)
 
 

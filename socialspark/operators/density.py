@@ -20,7 +20,8 @@ from socialspark.operators.spanning_tree import spanning_tree
 from socialspark.operators.vector_blocks import BLOCK_ROWS, build_blocks, group_vectors
 from socialspark.session import cut
 
-MERGES_PER_TASK = 65_536
+#: Edges of one task of the dendrogram; longer lists are halved first.
+MERGES_PER_TASK = 1024
 LEAST_DISTANCE = 1e-12  # keeps 1 / distance finite for equal points
 NOISE = -1
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,35 +10,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.constants import CLEAN_TEXT, EMBEDDING_DIMENSIONS, EMBEDDING_PROMPT, POST_ID
+from socialspark.functions.text import words
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
-def hashing_encoder(dimensions: int) -> Encoder:
-    """Counts of hashed words. A stand-in where no model is at hand."""
-    word = re.compile(r"\w{2,}")
-    bucket_of: dict[str, int] = {}
-
-    def bucket(token: str) -> int:
-        if token not in bucket_of:
-            if len(bucket_of) > 100_000:
-                bucket_of.clear()
-            bucket_of[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimensions
-        return bucket_of[token]
-
-    def encode(texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimensions))
-        for row, text in enumerate(texts):
-            hits = [bucket(t) for t in word.findall(text.lower())]
-            out[row] = np.bincount(hits, minlength=dimensions) if hits else 0.0
-        return out
-
-    return encode
+def hashed_embeddings(
+    posts: DataFrame, key: str, text_col: str, prompt: str, dimensions: int, normalize: bool, keep: Sequence[str]
+) -> DataFrame:
+    """Counts of hashed words, in DataFrame functions. A stand-in where no model is at hand."""
+    columns = [key, *keep]
+    numbered = posts.where(F.col(text_col).isNotNull()).select(
+        *columns, F.concat(F.lit(prompt), F.col(text_col)).alias("_text"), F.monotonically_increasing_id().alias("_row")
+    )
+    token = numbered.select(*columns, "_row", F.explode_outer(words(F.col("_text"))).alias("_word"))
+    place = (F.conv(F.substring(F.md5("_word"), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
+    counts = token.groupBy(*columns, "_row", place.alias("_place")).agg(F.count("_word").alias("_n"))
+    norm = F.sqrt(F.sum(F.col("_n") * F.col("_n")))
+    # one entry per dimension at most
+    listed = counts.groupBy(*columns, "_row").agg(
+        norm.alias("_norm"), F.collect_list(F.when(F.col("_n") > 0, F.struct("_place", "_n"))).alias("_list")
+    )
+    scale = F.when(F.lit(normalize) & (F.col("_norm") > 0), F.col("_norm")).otherwise(1.0)
+    filled = F.transform(
+        F.sequence(F.lit(0), F.lit(dimensions - 1)),
+        lambda d: (F.coalesce(F.element_at(F.map_from_entries("_list"), d), F.lit(0)) / scale).cast("float"),
+    )
+    return listed.select(*columns, filled.alias("embedding"), F.lit(True).alias("embed_ok"))
 
 
 def embed_texts(
     posts: DataFrame,
-    make_encoder: Callable[[int], Encoder] = hashing_encoder,
+    make_encoder: Callable[[int], Encoder] | None = None,
     key: str = POST_ID,
     text_col: str = CLEAN_TEXT,
     prompt: str = EMBEDDING_PROMPT,
@@ -52,7 +53,8 @@ def embed_texts(
 ) -> DataFrame:
     """``(key, *keep, embedding array<float>, embed_ok)``.
 
-    ``make_encoder(dimensions)`` runs once per Python worker and may load a
+    Without ``make_encoder`` the vectors are counts of hashed words, see
+    ``hashed_embeddings``. ``make_encoder(dimensions)`` runs once per Python worker and may load a
     model; its result maps a list of texts to a matrix. Texts arrive as Arrow
     batches and are encoded ``batch_size`` at a time. With ``on_error="nan"``
     a failing batch becomes NaN vectors flagged ``embed_ok = false`` and the
@@ -60,6 +62,8 @@ def embed_texts(
     """
     if on_error not in ("nan", "raise"):
         raise ValueError(f"unknown on_error {on_error!r}")
+    if make_encoder is None:
+        return hashed_embeddings(posts, key, text_col, prompt, dimensions, normalize, keep)
     columns = [key, *keep]
 
     def encode_chunk(encoder: Encoder, texts: list[str]) -> tuple[np.ndarray, bool]:
@@ -90,7 +94,8 @@ def embed_texts(
     return texts.mapInPandas(run, schema)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Vectors that may be clustered: encoded, without NaN."""
+def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Vectors that may be compared: encoded, not null, every component a finite number."""
     kept = vectors.where(F.col("embed_ok")) if "embed_ok" in vectors.columns else vectors
-    return kept.where(~F.exists("embedding", lambda x: F.isnan(x)))
+    fine = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return kept.where(F.col(column).isNotNull() & F.coalesce(fine, F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,18 +12,23 @@ from pyspark.sql import functions as F
 from socialspark.operators.skew import skew_join
 from socialspark.session import cut
 
-ROWS_IN_ONE_TASK = 65_536
-
 
-def _follow_here(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("node", ignore_index=True)
+def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Follow the chains of one partition as far as they stay inside it."""
+    held = list(frames)
+    if not held:
+        return
+    frame = pd.concat(held, ignore_index=True).sort_values("node", ignore_index=True)
     node, ptr, done = (frame[c].to_numpy() for c in ("node", "ptr", "done"))
-    place = np.where(done, np.arange(len(node)), np.searchsorted(node, ptr))
+    here = np.arange(len(node))
+    place = np.minimum(np.searchsorted(node, ptr), len(node) - 1)
+    place = np.where(done | (node[place] != ptr), here, place)
     while True:
         further = place[place]
         if (further == place).all():
-            return pd.DataFrame({"node": node, "root": ptr[place]})
+            break
         place = further
+    yield pd.DataFrame({"node": node, "ptr": ptr[place], "done": done[place]})
 
 
 def follow(pointers: DataFrame) -> DataFrame:
@@ -29,13 +36,15 @@ def follow(pointers: DataFrame) -> DataFrame:
 
     ``pointers`` is ``(node, ptr, done)`` with long values; a finished row has
     ``done`` and its final ``ptr``, and every unfinished ``ptr`` is a ``node``
-    of the table. Steps double, so the number of rounds is the logarithm of
-    the longest chain. Finished rows leave the join, and a node that very many
-    rows point to is spread over tasks. As soon as the unfinished rows are
-    few, one task does the rest.
+    of the table. In each round a partition first follows the chains inside
+    it, then one join doubles the steps of the others; so the number of rounds is at most
+    the logarithm of the longest chain, and one where adaptive execution
+    puts a small table into one partition. Finished rows leave the join, and a
+    node that very many rows point to is spread over tasks.
     """
-    table = cut(pointers.select("node", "ptr", "done"))
+    table = pointers.select("node", "ptr", "done")
     while True:
+        table = cut(table.repartition("node").mapInPandas(_contract, "node long, ptr long, done boolean"))
         left = table.where("not done").count()
         if left == 0:
             return table.select("node", F.col("ptr").alias("root"))
@@ -43,19 +52,8 @@ def follow(pointers: DataFrame) -> DataFrame:
             F.col("node").alias("ptr"), F.col("ptr").alias("_next"), F.col("done").alias("_done")
         )
         moving = skew_join(table.where("not done").drop("done"), ahead, ["ptr"], total=left)
-        if left <= ROWS_IN_ONE_TASK:
-            # The rows a finished chain ends in are at most as many as the chains.
-            ends = moving.where("_done").select(
-                F.col("ptr").alias("node"), F.col("_next").alias("ptr"), F.lit(True).alias("done")
-            ).distinct()
-            rest = table.where("not done").unionByName(ends)
-            last = rest.groupBy(F.lit("all").alias("_g")).applyInPandas(_follow_here, "node long, root long")
-            finished = table.where("done").select("node", F.col("ptr").alias("root"))
-            return cut(last.join(ends.select("node"), "node", "left_anti").unionByName(finished))
-        table = cut(
-            table.where("done").unionByName(
-                moving.select("node", F.col("_next").alias("ptr"), F.col("_done").alias("done"))
-            )
+        table = table.where("done").unionByName(
+            moving.select("node", F.col("_next").alias("ptr"), F.col("_done").alias("done"))
         )
 
 

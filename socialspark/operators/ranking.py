@@ -58,11 +58,15 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_index") ->
 
 
 def number_within(df: DataFrame, key: str, order: Sequence[str], name: str = "position") -> DataFrame:
-    """0-based position of each row inside its key, however large the key is."""
-    numbered = cut(number_rows(df, [key, *order], "_index"))
+    """0-based position of each row inside its key, however large the key is.
+
+    Rows with a null key are a group, too.
+    """
+    # a key that joins to itself even where it is null
+    numbered = cut(number_rows(df, [key, *order], "_index").withColumn("_group", F.struct(F.col(key))))
     starts = cut(
-        numbered.groupBy(key).agg(F.min("_index").alias("_start"), F.count(F.lit(1)).alias("_n"))
+        numbered.groupBy("_group").agg(F.min("_index").alias("_start"), F.count(F.lit(1)).alias("_n"))
     )
     total = starts.agg(F.sum("_n")).first()[0] or 0
-    placed = skew_join(numbered, starts.drop("_n"), [key], hot_keys(starts, [key], "_n", total))
-    return placed.withColumn(name, F.col("_index") - F.col("_start")).drop("_index", "_start")
+    placed = skew_join(numbered, starts.drop("_n"), ["_group"], hot_keys(starts, ["_group"], "_n", total))
+    return placed.withColumn(name, F.col("_index") - F.col("_start")).drop("_index", "_start", "_group")

@@ -65,8 +65,12 @@ def match_schemas(headers: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def schema_group_counts(matched: DataFrame) -> DataFrame:
-    """``(schema, n_files)``. The files themselves stay as rows of ``matched``."""
-    return matched.groupBy("schema").agg(F.count(F.lit(1)).alias("n_files"))
+    """``(schema, n_files, n_errors, files)``; an entry of ``files`` is a name, so a list is as long as its group."""
+    return matched.groupBy("schema").agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.count("error").alias("n_errors"),
+        F.sort_array(F.collect_list("file_name")).alias("files"),
+    )
 
 
 def schema_columns(known: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.operators.clusters import hashed_sample
+from socialspark.operators.embed import usable
 from socialspark.operators.ranking import number_rows
 from socialspark.operators.skew import hot_keys, skew_join
 from socialspark.session import cut
@@ -74,8 +75,11 @@ class VectorGroups:
 
 
 def group_vectors(vectors: DataFrame, key: str, column: str = "embedding") -> VectorGroups:
-    """Collapse equal vectors, so that copies cost one comparison, not many."""
-    vectors = vectors.select(key, F.col(column).cast("array<float>").alias("embedding"))
+    """Collapse equal vectors, so that copies cost one comparison, not many.
+
+    Rows without a usable vector are left out.
+    """
+    vectors = usable(vectors, column).select(key, F.col(column).cast("array<float>").alias("embedding"))
     counted = vectors.groupBy("embedding").agg(
         F.count(F.lit(1)).alias("size"), F.min(key).alias("_first")
     )

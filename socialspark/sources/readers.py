@@ -14,8 +14,11 @@ from socialspark.schemas import RAW_POST
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    """Files or folders; only ``*.parquet`` files of a folder are read."""
-    return spark.read.option("pathGlobFilter", "*.parquet").parquet(*paths)
+    """Files or folders; only ``*.parquet`` files of a folder are read.
+
+    Columns are the union over all files; what a file lacks is null.
+    """
+    return spark.read.option("pathGlobFilter", "*.parquet").option("mergeSchema", "true").parquet(*paths)
 
 
 def select_month(
@@ -46,21 +49,18 @@ def load_posts(spark: SparkSession, path: str, month: str | None = None, **kwarg
 def read_matching(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Parquet files of ``folder`` whose name matches a regular expression.
 
-    Adds ``file_name``. Spark prunes by file metadata, so other files are not
-    read. Raises ``ValueError`` when no file matches.
+    Adds ``file_name``. Columns are the union over the files. Only the matching
+    paths are read; their list is as long as the folder has files. Raises ``ValueError`` when no file matches.
     """
     found = (
         spark.read.format("binaryFile").load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
-        .where(F.col("file_name").rlike(pattern))
+        .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+        .where(F.col("file_name").rlike(pattern) & F.col("file_name").endswith(".parquet"))
     )
-    if found.isEmpty():
+    paths = [row.path for row in found.select("path").collect()]
+    if not paths:
         raise ValueError(f"no files matching {pattern} in {folder}")
-    return (
-        spark.read.option("pathGlobFilter", "*.parquet").parquet(folder)
-        .where(F.col("_metadata.file_name").rlike(pattern))
-        .select("*", F.col("_metadata.file_name").alias("file_name"))
-    )
+    return read_parquet(spark, *paths).select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
 def read_headers(spark: SparkSession, folder: str, glob: str = "*.csv.gz") -> DataFrame:

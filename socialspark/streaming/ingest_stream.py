@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,31 +41,41 @@ def stream_posts_bounded(raw: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def start_exact_ingest(
-    raw: DataFrame, table: str, checkpoint: str, available_now: bool = True
+    raw: DataFrame, table: str, checkpoint: str, available_now: bool = True, buckets: int = 64
 ) -> StreamingQuery:
     """Append posts not yet in the Parquet folder ``table``, exactly once.
 
-    A micro-batch is deduplicated, anti-joined with the batches before it and
-    written to its own ``batch_id`` folder. A batch repeated after a failure
-    overwrites that folder and ignores what it wrote before.
+    A micro-batch is deduplicated, anti-joined with what is stored and written to
+    its own folder, named after the checkpoint and the batch. So a batch repeated
+    after a failure overwrites its own folder only, and a query with a new
+    checkpoint adds to the table. Posts are stored by a hash of their uri, and a
+    batch reads only the buckets its own posts fall into.
     """
     spark = raw.sparkSession
+    run_id = "r" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = first_seen_posts(batch).select(*flat_post_columns())
-        if batch_id > 0:
-            stored = (
-                spark.read.schema(_with_batch(fresh)).parquet(table)
-                .where(F.col("batch_id") < batch_id)
-            )
-            fresh = new_rows_only(fresh, stored, ["uri"])
-        fresh.write.mode("overwrite").option("compression", "zstd").parquet(
-            f"{table}/batch_id={batch_id}"
+        bucket = F.pmod(F.xxhash64("uri"), F.lit(buckets)).cast("int")
+        fresh = first_seen_posts(batch).select(*flat_post_columns()).withColumn("uri_bucket", bucket)
+        stored = _stored(spark, table, fresh)
+        if stored is not None:
+            touched = [row.uri_bucket for row in fresh.select("uri_bucket").distinct().collect()]  # at most buckets
+            own = (F.col("run") == run_id) & (F.col("batch_id") == batch_id)
+            fresh = new_rows_only(fresh, stored.where(F.col("uri_bucket").isin(touched) & ~own), ["uri"])
+        fresh.write.mode("overwrite").option("compression", "zstd").partitionBy("uri_bucket").parquet(
+            f"{table}/run={run_id}/batch_id={batch_id}"
         )
 
     writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _with_batch(df: DataFrame):
-    return df.withColumn("batch_id", F.lit(0).cast("long")).schema
+def _stored(spark: SparkSession, table: str, like: DataFrame) -> DataFrame | None:
+    places = {"run": F.lit(""), "batch_id": F.lit(0).cast("long"), "uri_bucket": F.lit(0)}
+    schema = like.drop("uri_bucket").withColumns(places).schema
+    try:
+        return spark.read.schema(schema).parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
