@@ -7,7 +7,7 @@ is verified on the full sets of n-grams.
 
 Texts with the same words are one class before anything is compared. Pairs never
 become rows: candidates are dealt into blocks of about ``BLOCK`` classes, by the
-largest bucket they are in, and two blocks meet in a task once if any bucket reaches
+largest buckets that they are in or reach, and two blocks meet in a task once if any bucket reaches
 into both. The task checks all their candidate pairs in matrices and returns a row per class:
 how many links it has there, and its least companion. So a bucket that holds a third of all rows is many
 blocks over many tasks, and work on it is quadratic in its different texts only.
@@ -187,6 +187,33 @@ def _verify(n: int, threshold: float):
     return run
 
 
+def _blocks(members: DataFrame, size: int) -> DataFrame:
+    """``(node, block)``: blocks of about ``size`` nodes that share buckets where they can.
+
+    A node is at home in its largest bucket. A home of few nodes moves in with the
+    most popular home that any of its buckets reaches, so that a large group is a few
+    full blocks and not many small ones; the nodes of a small home stay together.
+    """
+    few = size // 4
+    home = members.groupBy("node").agg(F.max(F.struct("n", "band", "h")).alias("at")).select("node", F.xxhash64("at").alias("home"))
+    home = cut(home)
+    popular = home.groupBy("home").agg(F.count(F.lit(1)).alias("k"))
+    placed = cut(members.select("band", "h", "node").join(home.join(popular, "home"), "node"))
+    best = placed.groupBy("band", "h").agg(F.max(F.struct("k", "home")).alias("best"))
+    host = (
+        placed.where(F.col("k") <= few).select("band", "h", "home", "k").distinct()
+        .join(best, ["band", "h"])
+        .groupBy("home", "k").agg(F.max("best").alias("best"))
+        .select("home", F.when(F.col("best.k") > F.col("k"), F.col("best.home")).otherwise(F.col("home")).alias("host"))
+    )
+    hosted = cut(
+        home.join(popular, "home").join(host, "home", "left")
+        .select("node", F.coalesce("host", "home").alias("host"), F.when(F.col("k") <= few, F.xxhash64("home")).otherwise(F.xxhash64("node")).alias("mix"))
+    )
+    parts = hosted.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+    return hosted.join(parts, "host").select("node", F.xxhash64("host", F.pmod("mix", F.col("parts"))).alias("block"))
+
+
 def ngram_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -227,11 +254,7 @@ def ngram_join(
         .select("n", "at.band", "at.h")
     )
     members = cut(banded.join(buckets, ["band", "h"]))
-    home = members.groupBy("node").agg(F.max(F.struct("n", "band", "h")).alias("home"))
-    parts = F.ceil(F.col("home.n") / block)
-    homes = cut(
-        home.select("node", F.xxhash64("home.band", "home.h", F.pmod(F.xxhash64("node"), parts)).alias("block"))
-    )
+    homes = cut(_blocks(members, block))
     reach = members.join(homes, "node").groupBy("band", "h", "block").agg(F.count(F.lit(1)).alias("k"))
     other = reach.select("band", "h", F.col("block").alias("hi"), F.col("k").alias("_k"))
     pairs = (
