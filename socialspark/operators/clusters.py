@@ -91,7 +91,8 @@ def fit_kmeans(
                         cost[i] += np.bincount(near, square + gap[np.arange(len(x)), near], len(c))
             total, vector = np.concatenate(counts), np.concatenate(sums)
             some = np.flatnonzero(total)
-            yield pd.DataFrame({"at": some, "n": total[some], "s": list(vector[some]), "cost": np.concatenate(cost)[some]})
+            if len(some):
+                yield pd.DataFrame({"at": some, "n": total[some], "s": list(vector[some]), "cost": np.concatenate(cost)[some]})
 
         found = (
             kept.mapInPandas(add_up, "at long, n double, s array<double>, cost double")

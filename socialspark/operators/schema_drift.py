@@ -66,9 +66,10 @@ def match_schemas(headers: DataFrame, known: DataFrame) -> DataFrame:
 
 def schema_group_counts(matched: DataFrame) -> DataFrame:
     """``(schema, n_files, n_errors, files)``; an entry of ``files`` is a name, so a list is as long as its group."""
+    error = F.col("error") if "error" in matched.columns else F.lit(None)
     return matched.groupBy("schema").agg(
         F.count(F.lit(1)).alias("n_files"),
-        F.count("error").alias("n_errors"),
+        F.count(error).alias("n_errors"),
         F.sort_array(F.collect_list("file_name")).alias("files"),
     )
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from socialspark.functions.timeutil import format_ts, month_of, next_month, parse_ts
 from socialspark.plans.clean_posts import clean_posts, keep_latest
+from socialspark.plans import drifting_files
 from socialspark.plans.merging import merge_author_files, merge_sources
 from socialspark.constants import MERGE_COLUMNS
 from socialspark.operators.align import align, compare_embeddings
@@ -89,6 +90,36 @@ def test_author_files(spark, tmp_path):
         merge_author_files(spark, str(tmp_path), "nothing")
 
 
+def test_author_files_that_differ_in_columns(spark, tmp_path):
+    spark.createDataFrame([("a", 1)], "did string, v int").toPandas().to_parquet(tmp_path / "users_05.parquet")
+    spark.createDataFrame([("a", 2, "x"), ("b", 3, "y")], "did string, v int, w string").toPandas().to_parquet(tmp_path / "users_06.parquet")
+    got = merge_author_files(spark, str(tmp_path), r"users_.*\.parquet").orderBy("did").collect()
+    assert [(r.did, r.v, r.w) for r in got] == [("a", 1, None), ("b", 3, "y")]
+
+
+def test_a_folder_of_drifting_files(spark, tmp_path):
+    import gzip
+
+    files = {"a": "id,name\n1,x\n", "b": "name,id\ny,2\n", "c": 'id,name,extra\n3,"p,\nq",e\n', "d": "other\n4\n"}
+    for name, text in files.items():
+        with gzip.open(tmp_path / f"{name}.csv.gz", "wt") as f:
+            f.write(text)
+    (tmp_path / "bad.csv.gz").write_bytes(b"not gzip at all")
+    shapes = {"core": ["id", "name"], "more": ["extra", "id", "name"]}
+    groups = drifting_files.folder_groups(spark, str(tmp_path), schemas=shapes).collect()
+    assert sorted((r.schema, r.n_files, r.n_errors, r.files) for r in groups) == [
+        ("core", 2, 0, ["a.csv.gz", "b.csv.gz"]), ("more", 1, 0, ["c.csv.gz"]), ("unknown", 2, 1, ["bad.csv.gz", "d.csv.gz"])
+    ]
+    got = drifting_files.harmonize_folder(
+        spark, str(tmp_path), ["key", "name", "extra"], renames={"id": "key"}, schemas=shapes
+    )
+    assert got.columns == ["key", "name", "extra", "file_name", "schema"]
+    assert sorted(map(tuple, got.select("file_name", "key", "name", "extra", "schema").collect())) == [
+        ("a.csv.gz", "1", "x", None, "core"), ("b.csv.gz", "2", "y", None, "core"),
+        ("c.csv.gz", "3", "p,\nq", "e", "more"), ("d.csv.gz", None, None, None, "unknown"),
+    ]
+
+
 def test_headers_and_unreadable_files(spark, tmp_path):
     import gzip
 

@@ -146,9 +146,10 @@ def test_dendrogram_is_the_same_for_any_interval_size(spark, limit):
     assert [tuple(r) for r in got] == want
 
 
-@pytest.mark.parametrize("in_one_task", [0, 65_536])
-def test_follow_and_forest_components(spark, monkeypatch, in_one_task):
-    monkeypatch.setattr(pointers, "ROWS_IN_ONE_TASK", in_one_task)
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_follow_and_forest_components(spark, coalesce):
+    # with partitions kept apart, chains leave them and have to be joined
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     chain = spark.createDataFrame(
         [(i, max(i - 1, 0), i == 0) for i in range(50)], "node long, ptr long, done boolean"
     )
@@ -156,6 +157,7 @@ def test_follow_and_forest_components(spark, monkeypatch, in_one_task):
     edges = spark.createDataFrame([(9, 4), (4, 7), (7, 1), (20, 30), (30, 25)], "u long, v long")
     got = {r.node: r.root for r in pointers.forest_components(edges).collect()}
     assert got == {9: 1, 4: 1, 7: 1, 1: 1, 20: 20, 30: 20, 25: 20}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_cores_do_not_depend_on_partitioning_or_block_size(spark, points):

@@ -80,7 +80,7 @@ def test_streams_equal_the_batch(spark, tmp_path):
     )
     exact.awaitTermination(120)
     table = spark.read.parquet(str(tmp_path / "table"))
-    assert table.select("batch_id").distinct().count() == 3
+    assert table.select("run", "batch_id").distinct().count() == 3
     assert sorted(table.select(*POST_FIELDS).collect(), key=lambda r: r.uri) == want
 
     # A later run only adds what is new.
@@ -91,6 +91,15 @@ def test_streams_equal_the_batch(spark, tmp_path):
     again.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "table")).count() == 12
 
+    # A query that lost its checkpoint adds to the table, too.
+    land(tmp_path / "raw", [hit("u100")], "10.json")
+    fresh = start_exact_ingest(
+        stream_raw_posts(spark, folder, 1), str(tmp_path / "table"), str(tmp_path / "check3")
+    )
+    fresh.awaitTermination(120)
+    uris = [r.uri for r in spark.read.parquet(str(tmp_path / "table")).select("uri").collect()]
+    assert len(uris) == len(set(uris)) == 13
+
     bounded = stream_posts_bounded(stream_raw_posts(spark, folder, 1))
     query = (
         bounded.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check2"))
@@ -98,4 +107,4 @@ def test_streams_equal_the_batch(spark, tmp_path):
     )
     query.awaitTermination(120)
     got = spark.read.schema(bounded.schema).parquet(str(tmp_path / "bounded"))
-    assert got.count() == 12 and got.select(F.countDistinct("uri")).first()[0] == 12
+    assert got.count() == 13 and got.select(F.countDistinct("uri")).first()[0] == 13

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from socialspark.constants import KEYWORD_GROUPS, TAG_KEYWORDS, TS_KEYWORDS, X_COMMON_COLUMNS, X_KEYWORDS, X_SCHEMAS
-from socialspark.operators import clusters, embed, keywords, schema_drift, word_counts
+from socialspark.operators import clusters, embed, keywords, neighbours, schema_drift, word_counts
 from socialspark.sources.readers import read_embeddings
 from socialspark.sources.writers import write_embeddings
 
@@ -108,6 +108,14 @@ def test_members(spark):
     df = texts(spark, list("abcde"), cluster="cast(external_id % 2 as int)")
     wide = [tuple(r) for r in clusters.cluster_member_table(df, 3).orderBy("position").collect()]
     assert wide == [(0, "0", "1", ""), (1, "2", "3", ""), (2, "4", "", "")]
+    odd = texts(spark, list("abcdef"), cluster="cast(case external_id when 0 then -1 when 1 then null when 2 then 7 else 0 end as int)")
+    members = clusters.cluster_members(odd)
+    assert sorted((r.cluster if r.cluster is not None else -9, r.external_id, r.position) for r in members.collect()) == [
+        (-9, 1, 0), (-1, 0, 0), (0, 3, 0), (0, 4, 1), (0, 5, 2), (7, 2, 0)
+    ]
+    table = clusters.cluster_member_table(odd, 2).orderBy("position")
+    assert table.columns == ["position", "cluster_0", "cluster_1", "cluster_other"]
+    assert [tuple(r) for r in table.collect()] == [(0, "3", "", "0"), (1, "4", "", "1"), (2, "5", "", "2")]
 
 
 class Failing:
@@ -162,18 +170,36 @@ def test_kmeans(spark, vectors):
 
 def test_silhouette_equals_brute_force(spark, vectors):
     labelled = vectors.withColumn("odd", F.expr("case when external_id = 5 then 9 else external_id % 2 end"))
-    got = {r.labelling: r.silhouette for r in clusters.silhouette(labelled, ["truth", "odd"]).collect()}
+    names = ["truth", "odd"]
+    sampled = {r.labelling: r.silhouette for r in clusters.silhouette(labelled, names, sample_size=5000).collect()}
+    whole = {r.labelling: (r.n, r.silhouette) for r in clusters.silhouette(labelled, names).collect()}
     rows = labelled.orderBy("external_id").collect()
     x = np.array([r.embedding for r in rows], dtype=float)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    for name in ("truth", "odd"):
+    square = ((x[:, None] - x[None]) ** 2).sum(-1)
+
+    def by_hand(d, name):
         y, scores = np.array([r[name] for r in rows]), []
         for i in range(len(y)):
             same = (y == y[i]) & (np.arange(len(y)) != i)
             a = d[i][same].mean() if same.any() else None
             b = min(d[i][y == c].mean() for c in set(y) - {y[i]})
             scores.append(0 if a is None else (b - a) / max(a, b))
-        assert abs(got[name] - np.mean(scores)) < 1e-9
+        return np.mean(scores)
+
+    for name in names:
+        assert abs(sampled[name] - by_hand(np.sqrt(square), name)) < 1e-9
+        assert whole[name][0] == len(rows) and abs(whole[name][1] - by_hand(square, name)) < 1e-9
+
+
+def test_vectors_that_cannot_be_compared_are_left_out(spark, vectors):
+    odd = spark.createDataFrame(
+        [(900, [float("nan")] * 3, 0), (901, None, 0), (902, [1.0, None, 0.0], 0), (903, [float("inf")] * 3, 0)],
+        "external_id long, embedding array<float>, truth int",
+    )
+    both = vectors.unionByName(odd)
+    assert clusters.silhouette(both, ["truth"]).first().n == 90
+    assert clusters.kmeans_clusters(both, 3, n_init=2).count() == 90
+    assert neighbours.core_distance(both).count() == 90
 
 
 def test_k_sweep(spark, vectors):
