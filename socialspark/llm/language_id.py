@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DOCS_PER_LANG = 4000
-WORDS_PER_LANG = 30_000
-GRAMS_PER_LANG = 10_000
+DOCS_PER_LANG = 1000
+WORDS_PER_LANG = 10_000
+GRAMS_PER_LANG = 5_000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 WORD = "[\\p{L}\\p{M}]+"
@@ -40,10 +40,11 @@ REMEMBERED = 300_000
 
 @dataclass
 class LanguageModel:
-    """Languages, and for each order (0: whole words) the log frequencies of its entries."""
+    """Languages, and for each order (0: whole words) the places of its entries and their log frequencies."""
 
     languages: list[str]
-    tables: dict[int, dict[str, np.ndarray]]
+    entries: dict[int, dict[str, int]]
+    logs: dict[int, np.ndarray]
 
 
 def sample_of(docs: DataFrame, lang: str, key: str, per_lang: int) -> DataFrame:
@@ -98,48 +99,65 @@ def fit(
     )
     langs = sorted(kept["lang"].unique())
     at = {lang: i for i, lang in enumerate(langs)}
-    tables: dict[int, dict[str, np.ndarray]] = {}
+    entries: dict[int, dict[str, int]] = {}
+    logs: dict[int, np.ndarray] = {}
     for k in (0, *ORDERS):
         part = kept[kept["k"] == k]
-        entries = {e: i for i, e in enumerate(sorted(part["entry"].unique()))}
-        counts = np.zeros((len(entries), len(langs)))
-        counts[part["entry"].map(entries), part["lang"].map(at)] = part["n"]
-        logs = np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * max(len(entries), 1)))
-        tables[k] = dict(zip(entries, logs, strict=True))
-    return LanguageModel(langs, tables)
+        entries[k] = {e: i for i, e in enumerate(sorted(part["entry"].unique()))}
+        counts = np.zeros((len(entries[k]), len(langs)))
+        counts[part["entry"].map(entries[k]), part["lang"].map(at)] = part["n"]
+        logs[k] = np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * max(len(counts), 1)))
+    return LanguageModel(langs, entries, logs)
 
 
 class _Scorer:
-    """Scores texts in a task; remembers the scores of unseen words."""
+    """Scores texts in a task; remembers the log frequencies of the words it has met."""
 
     def __init__(self, model: LanguageModel) -> None:
-        self.model, self.backed = model, {}
+        self.model = model
         self.words = re.compile(r"[^\W\d_]+").findall
-        self.known = model.tables.get(0, {})
-
-    def back_off(self, word: str) -> np.ndarray:
-        found = self.backed.get(word)
-        if found is None:
-            marked = f"^{word}$"
-            found = np.zeros(len(self.model.languages))
-            for k in ORDERS:
-                table = self.model.tables[k]
-                hits = [table[g] for i in range(len(marked) - k + 1) if (g := marked[i : i + k]) in table]
-                if hits:
-                    found = np.mean(hits, axis=0)
-                    break
-            if len(self.backed) >= REMEMBERED:
-                self.backed.clear()
-            self.backed[word] = found
-        return found
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1 << 14, len(self.model.languages)))
+
+    def row_of(self, word: str) -> np.ndarray:
+        """Of a known word its own; of another the mean of its known n-grams of the greatest order that has any."""
+        entries, logs = self.model.entries, self.model.logs
+        if word in entries[0]:
+            return logs[0][entries[0][word]]
+        marked = f"^{word}$"
+        for k in ORDERS:
+            known = entries[k]
+            hits = [known[g] for i in range(len(marked) - k + 1) if (g := marked[i : i + k]) in known]
+            if hits:
+                return logs[k][hits].mean(axis=0)
+        return np.zeros(len(self.model.languages))
+
+    def _learn(self, words) -> None:
+        first = len(self.place)
+        if first + len(words) > len(self.rows):
+            more = np.zeros((2 * (first + len(words)), self.rows.shape[1]))
+            more[:first] = self.rows[:first]
+            self.rows = more
+        for i, word in enumerate(words, first):
+            self.place[word] = i
+            self.rows[i] = self.row_of(word)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         counts = Counter(self.words(text.lower()))
-        known, back = self.known, self.back_off
-        rows = np.array([known[w] if w in known else back(w) for w in counts])
-        total = np.fromiter(counts.values(), float, len(counts)) @ rows
+        new = counts.keys() - self.place.keys()
+        if len(self.place) + len(new) > REMEMBERED:
+            self._clear()
+            new = counts.keys()
+        if new:
+            self._learn(new)
+        n = len(counts)
+        rows = self.rows[np.fromiter(map(self.place.__getitem__, counts), np.int64, n)]
+        total = np.fromiter(counts.values(), float, n) @ rows
         total = np.exp(total - total.max())
         best = int(total.argmax())
         return self.model.languages[best], float(total[best] / total.sum())

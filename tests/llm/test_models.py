@@ -156,7 +156,8 @@ def test_languages(spark):
 
 
 def test_unseen_words_fall_back_to_shorter_grams():
-    model = language_id.LanguageModel(["aa", "bb"], {0: {}, 5: {}, 4: {}, 3: {"^ab": np.array([-1.0, -5])}, 2: {"zz": np.array([-9.0, -1])}, 1: {}})
+    entries = {0: {}, 5: {}, 4: {}, 3: {"^ab": 0}, 2: {"zz": 0}, 1: {}}
+    model = language_id.LanguageModel(["aa", "bb"], entries, {3: np.array([[-1.0, -5]]), 2: np.array([[-9.0, -1]])})
     scorer = language_id._Scorer(model)
     assert scorer("abzz")[0] == "aa"
     assert scorer("yzz")[0] == "bb"
