@@ -126,37 +126,69 @@ AUTHOR_FIELDS = [
     "pronouns", "verification",
 ]
 
-# Headers of the X exports. The 23 columns every export shares, then what each
-# of the six header shapes adds to them.
+# Headers of the X exports: the 23 columns every export shares, and the six header
+# shapes in the order of the files.
 X_COMMON_COLUMNS = [
     "conversationId", "conversationIdStr", "date", "epoch", "hashtags", "id", "id_str",
     "lang", "likeCount", "links", "media", "mentionedUsers", "quoteCount", "quotedTweet",
     "rawContent", "replyCount", "retweetCount", "retweetedTweet", "text", "type", "url",
     "user", "viewCount",
 ]
-_REPLY_COLUMNS = [
-    "retweetedTweetID", "retweetedUserID", "in_reply_to_screen_name",
-    "in_reply_to_status_id_str", "in_reply_to_user_id_str", "location", "cash_app_handle",
-]
-X_EXTRA_COLUMNS = {
-    "schema_1": ["", "_type", *_REPLY_COLUMNS],
-    "schema_2": ["", "username", *_REPLY_COLUMNS],
-    "schema_3": ["", "username", "0", *_REPLY_COLUMNS],
+X_SCHEMAS = {
+    "schema_1": [
+        "", "id", "text", "url", "epoch", "media", "retweetedTweet", "retweetedTweetID",
+        "retweetedUserID", "id_str", "lang", "rawContent", "replyCount", "retweetCount",
+        "likeCount", "quoteCount", "conversationId", "conversationIdStr", "hashtags",
+        "mentionedUsers", "links", "viewCount", "quotedTweet", "in_reply_to_screen_name",
+        "in_reply_to_status_id_str", "in_reply_to_user_id_str", "location", "cash_app_handle",
+        "user", "date", "_type", "type",
+    ],
+    "schema_2": [
+        "", "type", "id", "username", "text", "url", "epoch", "media", "retweetedTweet",
+        "retweetedTweetID", "retweetedUserID", "id_str", "lang", "rawContent", "replyCount",
+        "retweetCount", "likeCount", "quoteCount", "conversationId", "conversationIdStr",
+        "hashtags", "mentionedUsers", "links", "viewCount", "quotedTweet",
+        "in_reply_to_screen_name", "in_reply_to_status_id_str", "in_reply_to_user_id_str",
+        "location", "cash_app_handle", "user", "date",
+    ],
+    "schema_3": [
+        "", "type", "id", "username", "text", "url", "epoch", "media", "retweetedTweet",
+        "retweetedTweetID", "retweetedUserID", "id_str", "lang", "rawContent", "replyCount",
+        "retweetCount", "likeCount", "quoteCount", "conversationId", "conversationIdStr",
+        "hashtags", "mentionedUsers", "links", "viewCount", "quotedTweet",
+        "in_reply_to_screen_name", "in_reply_to_status_id_str", "in_reply_to_user_id_str",
+        "location", "cash_app_handle", "user", "0", "date",
+    ],
     "schema_4": [
-        "", "username", "in_reply_to_user_id_str.1", "location.1", "cash_app_handle.1",
-        "user.1", *_REPLY_COLUMNS,
+        "", "type", "id", "username", "text", "url", "epoch", "media", "retweetedTweet",
+        "retweetedTweetID", "retweetedUserID", "id_str", "lang", "rawContent", "replyCount",
+        "retweetCount", "likeCount", "quoteCount", "conversationId", "conversationIdStr",
+        "hashtags", "mentionedUsers", "links", "viewCount", "quotedTweet",
+        "in_reply_to_screen_name", "in_reply_to_status_id_str", "in_reply_to_user_id_str",
+        "location", "cash_app_handle", "user", "in_reply_to_user_id_str.1", "location.1",
+        "cash_app_handle.1", "user.1", "date",
     ],
     "schema_5": [
-        "username", "coordinates", "inReplyToTweetId", "inReplyToTweetIdStr",
-        "inReplyToUser", "source", "sourceUrl", "sourceLabel", "card", "cashtags", "place",
-        "epoch_dt",
+        "type", "id", "username", "text", "url", "epoch", "id_str", "lang", "rawContent",
+        "replyCount", "retweetCount", "likeCount", "quoteCount", "conversationId",
+        "conversationIdStr", "hashtags", "mentionedUsers", "links", "retweetedTweet",
+        "quotedTweet", "coordinates", "inReplyToTweetId", "inReplyToTweetIdStr",
+        "inReplyToUser", "source", "sourceUrl", "sourceLabel", "media", "card", "cashtags",
+        "viewCount", "place", "user", "epoch_dt", "date",
+    ],
+    "schema_6": [
+        "0", "type", "id", "username", "text", "url", "epoch", "media", "retweetedTweet",
+        "retweetedTweetID", "retweetedUserID", "id_str", "lang", "rawContent", "replyCount",
+        "retweetCount", "likeCount", "quoteCount", "conversationId", "conversationIdStr",
+        "hashtags", "mentionedUsers", "links", "viewCount", "quotedTweet",
+        "in_reply_to_screen_name", "in_reply_to_status_id_str", "in_reply_to_user_id_str",
+        "location", "cash_app_handle", "user", "date",
     ],
-    "schema_6": ["0", "username", *_REPLY_COLUMNS],
 }
 
-# --- end of fixed values ---
-
-X_SCHEMAS = {name: X_COMMON_COLUMNS + extra for name, extra in X_EXTRA_COLUMNS.items()}
+PROMPT_WORDS = "Top words (count): "
+PROMPT_POSTS = "Sample posts:"
+PROMPT_FORMAT = "Output format:\nLabel: <2-6 words>\nDescription: <1-2 sentences>\n"
 
 # Spark's English stop words, in its order.
 STOP_WORDS_ENGLISH = """
@@ -172,3 +204,5 @@ STOP_WORDS_ENGLISH = """
     shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
     what's when's where's who's why's would
 """.split()
+
+# --- end of fixed values ---

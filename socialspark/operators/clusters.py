@@ -12,7 +12,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from socialspark.constants import CLEAN_TEXT, LABEL_INSTRUCTIONS, POST_ID
+from socialspark.constants import (
+    CLEAN_TEXT,
+    LABEL_INSTRUCTIONS,
+    POST_ID,
+    PROMPT_FORMAT,
+    PROMPT_POSTS,
+    PROMPT_WORDS,
+)
 from socialspark.functions.text import is_blank
 from socialspark.operators.embed import usable
 from socialspark.operators.ranking import number_within, top_per_key
@@ -397,10 +404,10 @@ def cluster_prompts(
     prompt = F.concat(
         F.lit(f"{instructions}\nCluster: "),
         F.col(cluster).cast("string"),
-        F.lit("\n\nTop words (count): "),
+        F.lit(f"\n\n{PROMPT_WORDS}"),
         F.array_join(F.coalesce("_words", empty), ", "),
-        F.lit("\n\nSample posts:\n"),
+        F.lit(f"\n\n{PROMPT_POSTS}\n"),
         F.array_join(F.coalesce("_posts", empty), "\n"),
-        F.lit("\n\nOutput format:\nLabel: <2-6 words>\nDescription: <1-2 sentences>\n"),
+        F.lit(f"\n\n{PROMPT_FORMAT}"),
     )
     return both.select(cluster, prompt.alias("prompt"))
