@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,17 @@ REMEMBERED = 400_000
 
 #: Punctuation that stays one piece, whatever letters stand before it.
 TAIL = ".,;:!?"
+#: Plain words encoded together.
+LINE = 100
+
+
+def _is_plain(word: str) -> bool:
+    """Letters and a tail of plain punctuation, also as the tokenizer composes and lowers them."""
+    core = word.rstrip(TAIL)
+    if core.isascii():
+        return core.isalpha()
+    core = normalize("NFC", core)
+    return core.isalpha() and core.lower().isalpha()
 
 
 class WordTokenizer:
@@ -61,6 +73,9 @@ class WordTokenizer:
             vocabulary = self._tokenizer.get_vocab()
             self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self._ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            self._bytes = np.zeros(len(self._ends), np.int64)
+            for token, i in vocabulary.items():
+                self._bytes[i] = len(token.removesuffix(suffix))  # a character stands for a byte
         self._clear()
 
     def _clear(self) -> None:
@@ -75,28 +90,45 @@ class WordTokenizer:
 
         Letters, or letters and a tail of plain punctuation, are one or two pieces before the
         merges, and each piece ends in a token that ends a word. Such words are encoded in
-        lines and told apart by these tokens. Others are encoded one by one.
+        lines and told apart by these tokens. Others are encoded one by one, as are the words
+        of a line whose tokens do not fit them.
         """
         plain: list[str] = []
-        pieces: list[int] = []
         other: list[str] = []
         for word in words:
-            core = word.rstrip(TAIL) if self._ends is not None else ""
-            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
-                plain.append(word)
-                pieces.append(1 + (core != word))
-            else:
-                other.append(word)
+            (plain if self._ends is not None and _is_plain(word) else other).append(word)
         encode = self._tokenizer.encode_batch_fast
+        lines = [plain[k : k + LINE] for k in range(0, len(plain), LINE)]
+        told: list[str] = []
+        parts, lengths = [], []
+        for line, got in zip(lines, encode([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            flat = np.array(got.ids, np.int64)
+            sizes = self._told_apart(line, flat)
+            if sizes is None:
+                other += line
+                continue
+            told += line
+            parts.append(flat)
+            lengths.append(sizes)
         found = [e.ids for e in encode(other, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        if plain:
-            lines = [" ".join(plain[k : k + 100]) for k in range(0, len(plain), 100)]
-            flat = np.concatenate([np.array(e.ids, np.uint32) for e in encode(lines, add_special_tokens=False)])
-            stops = np.flatnonzero(self._ends[flat])[np.cumsum(pieces) - 1] + 1
-            ids, sizes = np.concatenate([ids, flat]), np.concatenate([sizes, np.diff(stops, prepend=0)])
-        return other + plain, ids, sizes
+        return told + other, np.concatenate([*parts, ids]).astype(np.uint32), np.concatenate([*lengths, sizes])
+
+    def _told_apart(self, line: list[str], flat: np.ndarray) -> np.ndarray | None:
+        """How many of the ids in ``flat`` each word of the line has; None unless they fit the words.
+
+        They do if as many tokens end words as there are pieces, and the tokens of each word
+        spell as many bytes as it has.
+        """
+        stops = np.flatnonzero(self._ends[flat]) + 1
+        pieces = np.cumsum([1 + (word[-1] in TAIL) for word in line])
+        if len(stops) != pieces[-1] or stops[-1] != len(flat):
+            return None
+        stops = stops[pieces - 1]
+        spelt = np.cumsum(self._bytes[flat])[stops - 1]
+        own = np.cumsum([len(w) if w.isascii() else len(normalize("NFC", w).lower().encode()) for w in line])
+        return np.diff(stops, prepend=0) if (spelt == own).all() else None
 
     def _learn(self, words: list[str]) -> None:
         words, flat, sizes = self._encode(words)

@@ -191,6 +191,32 @@ def test_packing_places_every_token_once(spark):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_words_that_decompose_do_not_shift_others():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = Tokenizer.from_file(path)
+    letters = [chr(c) for c in (*range(0x958, 0x960), 0x9DC, 0x9DD, 0x9DF, 0xA33, 0xA36, *range(0xA59, 0xA5C), 0xA5E, 0xFB1D, *range(0xFB2A, 0xFB4F)) if chr(c).isalpha()]
+    texts = [f"word number {i} स{x}क, and ব{x} {x}. İß ΣΑΣ e\u0301té straße" for i, x in enumerate(letters)]
+    texts += ["plain words only", "\u0938\u095c\u0915 \u09ac\u09dc", ""]
+    got = packing.WordTokenizer(path).encode(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_lines_that_do_not_fit_are_encoded_by_word(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "_is_plain", lambda word: bool(word))
+    texts = ["one two don't", "a1b2 three", "\u0938\u095c\u0915 four x!y", "x.1 12 five."]
+    for text, ids in zip(texts, packing.WordTokenizer(path).encode(texts), strict=True):
+        assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_costs_are_balanced():
     lengths = [random.Random(5).randint(1, 3000) for _ in range(400)]
     rows = packing.pack_window(lengths, 4096, 64)
