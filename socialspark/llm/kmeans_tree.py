@@ -7,17 +7,17 @@ reaches. A query visits leaves best-bin-first: a priority queue holds the branch
 distance to their centre, and the nearest is opened next.
 
 How many leaves are visited is calibrated: for a bounded sample of the queries the exact neighbours are found in all rows, and visits
-are widened until the leaves opened hold the target share of them. The same number is
-used for all queries, in one join of blocks of queries with blocks of leaf members; scores are
-exact inner products in double precision.
+are widened until the leaves opened hold the target share of them. Every query opens that
+number of leaves at least, and more while they hold fewer than ``k + 1`` rows, in one join of
+blocks of queries with blocks of leaf members; scores are exact inner products in double precision.
 
 Bounds: the tree is fitted on ``sample`` vectors at most, with ``calibrate`` queries at most;
 tree and calibration queries are sent to all tasks. Leaves grow with the table
 beyond that and are searched in blocks of ``BLOCK`` rows. Equal vectors are one with their smallest ids.
 
 Defined results: vectors that are null, empty or zero or hold a null or non-finite component
-take no part, nor do rows without an id; ties go to the smaller id; with fewer
-candidates than ``k`` in the leaves visited, all of these are returned, and a table of one leaf is
+take no part, nor do rows without an id; ties go to the smaller id; only if the
+table has fewer candidates than ``k`` are there fewer results, all of these; a table of one leaf is
 searched whole. Vectors must have equal length; other columns are ignored.
 """
 
@@ -97,6 +97,16 @@ class Tree:
             for far, child in zip((gaps * gaps).sum(axis=1).tolist(), below.tolist(), strict=True):
                 heapq.heappush(queue, (far, child))
 
+    def opened(self, query: np.ndarray, visits: int, rows: np.ndarray, least: int) -> list[int]:
+        """``visits`` leaves, best bin first, and more until they hold ``least`` of the ``rows`` by node."""
+        leaves, held = [], 0
+        for leaf in self.best_bins(query):
+            if len(leaves) >= visits and held >= least:
+                break
+            leaves.append(leaf)
+            held += int(rows[leaf])
+        return leaves
+
 
 def grow(points: np.ndarray, leaf: int, branches: int = BRANCHES, seed: int = 11) -> Tree:
     """Split nodes of more than ``leaf`` points by k-means."""
@@ -165,7 +175,7 @@ def kmeans_tree_search(
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for every row of ``queries``.
 
-    ``visits`` fixes the number of leaves and skips calibration.
+    ``visits`` fixes the least number of leaves and skips calibration.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -190,13 +200,16 @@ def kmeans_tree_search(
     placed = cut(index.select("vec", "ids").mapInArrow(to_leaves, "leaf long, vec array<double>, ids array<bigint>"))
     if visits is None:
         visits = _calibrated(distinct, placed, tree, k, recall, calibrate)
+    held = np.zeros(len(tree.value.children), np.int64)
+    for row in placed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():  # a row per leaf
+        held[row["leaf"]] = row["n"]
 
     def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             points = np.column_stack([_matrix(batch.column("vec")), np.zeros(batch.num_rows)])
-            leaves = [[n for n, _ in zip(tree.value.best_bins(p), range(visits))] for p in points]  # noqa: B905
+            leaves = [tree.value.opened(p, visits, held, k + 1) for p in points]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], [*batch.schema.names, "leaves"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,3 +79,16 @@ def test_tree_search_of_everything_is_exact(spark):
     assert got == {q: [i for _, i in x] for q, x in want.items()}
     assert kmeans_tree_search(table.limit(0), table.limit(0)).count() == 0
     assert kmeans_tree_search(table.where("vec_id < 3"), table.where("vec_id = 0"), k=7).count() == 2
+
+
+def test_tree_search_fills_all_ranks_from_small_leaves(spark):
+    r = np.random.default_rng(6)
+    dense = np.array([10.0] + [0.0] * 7) + r.normal(size=(400, 8)) * 0.1
+    far = np.array([0.0] * 7 + [-10.0]) + r.normal(size=(3, 8)) * 0.1
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*dense, *far])]
+    table = frame(spark, rows)
+    found = kmeans_tree_search(table, table, k=20, leaf=40, visits=1).toPandas()
+    assert set(found.groupby("query_id")["rank"].max()) == {20}
+    assert found["query_id"].nunique() == len(rows)
+    few = frame(spark, rows[-6:])
+    assert kmeans_tree_search(few, few, k=20, leaf=2, visits=1).count() == 6 * 5
