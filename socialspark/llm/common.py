@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from types import ModuleType
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,3 +12,20 @@ from pyspark.sql import functions as F
 def fold(key: str, folds: int) -> Column:
     """``crc32(key as text) mod folds``; 0 for a null key."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
+
+
+def worker_memory() -> dict:
+    """What a Python worker keeps from one task to the next.
+
+    Functions travel to the workers by value, and their globals with them, anew for each task; so this
+    hangs on the interpreter, under a name that no file has.
+    """
+    return sys.modules.setdefault("socialspark_worker_memory", ModuleType("socialspark_worker_memory")).__dict__
+
+
+def texts_of(column) -> list[str | None]:
+    """The texts of an Arrow column; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if b is None else b.decode("utf-8", "replace") for b in column.cast("binary").to_pylist()]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from socialspark.llm import (
+    byte_bpe,
     context_tree,
     hamming_search,
     kmeans_tree,
@@ -99,6 +100,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, labels, {d: w for d, w in TARGETS.items() if d in known})
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents")
+    return byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, with_ids=False, digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc,
@@ -111,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_hamming_search,
         op9_suffix_dedup,
         op10_mixing,
+        op11_byte_bpe,
     ]
     return {query.__name__: query for query in found}
 
