@@ -20,6 +20,7 @@ from socialspark.llm import (
     suffix_dedup,
     toxicity,
     warc,
+    whitening,
 )
 from socialspark.llm.common import fold
 from socialspark.session import ensure_checkpoint_dir, use_utc
@@ -108,6 +109,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, with_ids=False, digests=True)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc,
@@ -121,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_suffix_dedup,
         op10_mixing,
         op11_byte_bpe,
+        op13_whitening,
     ]
     return {query.__name__: query for query in found}
 
