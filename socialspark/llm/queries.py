@@ -12,6 +12,7 @@ from socialspark.llm import (
     byte_bpe,
     context_tree,
     hamming_search,
+    hard_negatives,
     kmeans_tree,
     language_id,
     mixing,
@@ -109,6 +110,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, with_ids=False, digests=True)
 
 
+#: Labels of the rows that take part in hard-negative mining.
+MINED_LABEL = "case when vec_id % 7 = 0 then (label + 1) % 10 else label end"
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.expr(MINED_LABEL))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -126,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_suffix_dedup,
         op10_mixing,
         op11_byte_bpe,
+        op12_hard_negatives,
         op13_whitening,
     ]
     return {query.__name__: query for query in found}
@@ -152,5 +162,26 @@ r as (
 select query_id, cast(rank as int) as rank, vec_id, cast(distance as int) as distance from r where rank <= {hamming_search.K}"""
 
 
+HARD_NEGATIVES_SQL = """with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+    cast(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) as bigint) as score
+  from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select * from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (
+  select p.anchor_id, p.id as positive_id, s.id as negative_id, p.score as positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same
+    and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC_SQL, "op8_hamming_search": HAMMING_SQL}
+    return {"op1_warc": WARC_SQL, "op8_hamming_search": HAMMING_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
