@@ -29,3 +29,12 @@ def texts_of(column) -> list[str | None]:
         return column.to_pylist()
     except UnicodeDecodeError:
         return [None if b is None else b.decode("utf-8", "replace") for b in column.cast("binary").to_pylist()]
+
+
+#: What counts as a word wherever texts are cut into words.
+WORD = "[\\p{L}\\p{M}]+"
+
+
+def words_of(text: Column) -> Column:
+    """The lower-case words of a text, in order; null for a null text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))

@@ -4,22 +4,21 @@
 to 1, with marks at the ends of words) of those words. ``predict`` gives every known
 word its log frequency in each language. An unseen word gets the mean log frequency of its known
 n-grams of the greatest order that has any. The sums over the words
-of the whole text, as probabilities, name the language.
+of the whole text, as probabilities, name the language. Both cut words by one expression; a
+batch looks up its distinct words together, by 64-bit hashes of words and n-grams.
 
 The model is bounded, so that it can be sent to every task: it is fitted on about
-``docs_per_lang`` texts of each language, chosen by a hash of their id, and keeps the
+``docs_per_lang`` texts of each language, chosen by a hash of id and text, and keeps the
 ``words_per_lang`` and, of each order, ``grams_per_lang`` most frequent entries.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; letters
 that no entry of the model covers give the smallest learned language with the probability of chance; without
 labelled texts everything is ``und``. Ids may be null or repeat. Other columns of the input are
-ignored.
+ignored, or carried in one struct, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,31 +26,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-DOCS_PER_LANG = 1000
-WORDS_PER_LANG = 10_000
-GRAMS_PER_LANG = 5_000
+from socialspark.llm.common import words_of
+from socialspark.llm.words import Letters, distinct_words, in_chunks, places_in
+
+DOCS_PER_LANG = 4000
+WORDS_PER_LANG = 30_000
+GRAMS_PER_LANG = 10_000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
-WORD = "[\\p{L}\\p{M}]+"
+MARKS = ("^", "$")
 SMOOTH = 0.5
-REMEMBERED = 300_000
 
 
 @dataclass
 class LanguageModel:
-    """Languages, and for each order (0: whole words) the places of its entries and their log frequencies."""
+    """Languages, and for each order (0: whole words) the sorted hashes of its entries and their log frequencies."""
 
     languages: list[str]
-    entries: dict[int, dict[str, int]]
+    hashes: dict[int, np.ndarray]
     logs: dict[int, np.ndarray]
 
-
-def sample_of(docs: DataFrame, lang: str, key: str, per_lang: int) -> DataFrame:
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of each word by language."""
+        out = np.zeros((len(words), len(self.languages)))
+        for first, part in in_chunks(words):
+            place = places_in(self.hashes[0], Letters(part).wholes())
+            known = place >= 0
+            out[first : first + len(part)][known] = self.logs[0][place[known]]
+            left = np.flatnonzero(~known)
+            for k in ORDERS:
+                if not len(left):
+                    break
+                spans, of = Letters([part[i] for i in left], MARKS).spans(k)
+                place = places_in(self.hashes[k], spans)
+                hit = place >= 0
+                counts = np.bincount(of[hit], minlength=len(left))
+                found = counts > 0
+                for lang in range(len(self.languages)):
+                    sums = np.bincount(of[hit], self.logs[k][place[hit], lang], len(left))
+                    out[first + left[found], lang] = sums[found] / counts[found]
+                left = left[~found]
+        return out
+
+
+def sample_of(docs: DataFrame, lang: str, key: list[str], per_lang: int) -> DataFrame:
     """About ``per_lang`` rows of each language, by a hash of ``key``: the same on every run."""
     counts = docs.groupBy(lang).agg(F.count(F.lit(1)).alias("n"))
     share = counts.select(lang, (F.lit(float(per_lang)) / F.col("n")).alias("_share"))
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return docs.join(F.broadcast(share), lang).where(draw < F.col("_share")).drop("_share")
 
 
@@ -69,12 +93,12 @@ def fit(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
     words = (
-        sample_of(rows, "lang", "id", docs_per_lang)
-        .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("entry"))
+        sample_of(rows, "lang", ["id", "text"], docs_per_lang)
+        .select("lang", F.explode(words_of(F.col("text"))).alias("entry"))
         .groupBy("lang", "entry")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    marked = F.concat(F.lit("^"), "entry", F.lit("$"))
+    marked = F.concat(F.lit(MARKS[0]), "entry", F.lit(MARKS[1]))
     spans = [
         F.transform(
             F.sequence(F.lit(1), F.greatest(F.length(marked) - (k - 1), F.lit(1))),
@@ -84,6 +108,7 @@ def fit(
     ]
     grams = (
         words.select("lang", "n", F.inline(F.concat(*spans)))
+        .where(F.length("entry") == F.col("k"))
         .groupBy("lang", "k", "entry")
         .agg(F.sum("n").alias("n"))
     )
@@ -95,92 +120,71 @@ def fit(
         .where(F.col("rank") <= max(words_per_lang, grams_per_lang))
         .where(F.col("rank") <= limit)
         .drop("rank")
-        .toPandas()
+        .toArrow()
     )
-    langs = sorted(kept["lang"].unique())
+    langs = sorted(x for x in kept["lang"].unique().to_pylist())
     at = {lang: i for i, lang in enumerate(langs)}
-    entries: dict[int, dict[str, int]] = {}
-    logs: dict[int, np.ndarray] = {}
+    order_of, lang_of = kept["k"].to_numpy(), np.array([at[x] for x in kept["lang"].to_pylist()], np.int64)
+    hashes, logs = {}, {}
     for k in (0, *ORDERS):
-        part = kept[kept["k"] == k]
-        entries[k] = {e: i for i, e in enumerate(sorted(part["entry"].unique()))}
-        counts = np.zeros((len(entries[k]), len(langs)))
-        counts[part["entry"].map(entries[k]), part["lang"].map(at)] = part["n"]
+        own = np.flatnonzero(order_of == k)
+        letters = Letters(kept["entry"].take(own).to_pylist())
+        found = letters.wholes() if k == 0 else letters.spans(k)[0]
+        hashes[k], place = np.unique(found, return_inverse=True)
+        counts = np.zeros((len(hashes[k]), len(langs)))
+        np.add.at(counts, (place, lang_of[own]), kept["n"].to_numpy()[own])
         logs[k] = np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * max(len(counts), 1)))
-    return LanguageModel(langs, entries, logs)
-
-
-class _Scorer:
-    """Scores texts in a task; remembers the log frequencies of the words it has met."""
-
-    def __init__(self, model: LanguageModel) -> None:
-        self.model = model
-        self.words = re.compile(r"[^\W\d_]+").findall
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.rows = np.zeros((1 << 14, len(self.model.languages)))
-
-    def row_of(self, word: str) -> np.ndarray:
-        """Of a known word its own; of another the mean of its known n-grams of the greatest order that has any."""
-        entries, logs = self.model.entries, self.model.logs
-        if word in entries[0]:
-            return logs[0][entries[0][word]]
-        marked = f"^{word}$"
-        for k in ORDERS:
-            known = entries[k]
-            hits = [known[g] for i in range(len(marked) - k + 1) if (g := marked[i : i + k]) in known]
-            if hits:
-                return logs[k][hits].mean(axis=0)
-        return np.zeros(len(self.model.languages))
-
-    def _learn(self, words) -> None:
-        first = len(self.place)
-        if first + len(words) > len(self.rows):
-            more = np.zeros((2 * (first + len(words)), self.rows.shape[1]))
-            more[:first] = self.rows[:first]
-            self.rows = more
-        for i, word in enumerate(words, first):
-            self.place[word] = i
-            self.rows[i] = self.row_of(word)
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        counts = Counter(self.words(text.lower()))
-        new = counts.keys() - self.place.keys()
-        if len(self.place) + len(new) > REMEMBERED:
-            self._clear()
-            new = counts.keys()
-        if new:
-            self._learn(new)
-        n = len(counts)
-        rows = self.rows[np.fromiter(map(self.place.__getitem__, counts), np.int64, n)]
-        total = np.fromiter(counts.values(), float, n) @ rows
-        total = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.model.languages[best], float(total[best] / total.sum())
+    return LanguageModel(langs, hashes, logs)
 
 
 def predict(
-    docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] | None = ("doc_id",)
 ) -> DataFrame:
-    """The columns ``keep``, ``lang_pred`` and ``score`` of every row, whole texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see fit
-    others = [c for c in keep if c != text_col]
+    """The columns ``keep``, ``lang_pred`` and ``score`` of every row, whole texts.
+
+    With ``keep=None`` all columns of the row are in the struct ``row`` instead.
+    """
+    plain = {"languages": model.languages, "hashes": model.hashes, "logs": model.logs}
+    sent = docs.sparkSession.sparkContext.broadcast(plain)  # bounded, see fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _Scorer(sent.value)
+        model = LanguageModel(**sent.value)
         for batch in batches:
-            found = [score(t.as_py()) for t in batch.column(0)]
-            columns = batch.columns if text_col in keep else batch.columns[1:]
-            langs = pa.array([x for x, _ in found], pa.string())
-            scores = pa.array([x for _, x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*columns, langs, scores], names)
-
-    rows = docs.select(text_col, *others)
-    passed = rows.schema if text_col in keep else rows.schema[1:]
-    names = [*[f.name for f in passed], "lang_pred", "score"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed)
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double").select(*keep, "lang_pred", "score")
+            words, places, starts = distinct_words(batch.column(1))
+            lettered = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
+            langs, scores = _best(model, model.rows(words), places, starts, lettered)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+
+    text = F.col(text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row")
+    rows = docs.select(row, words_of(text).alias("words"), text.rlike("\\p{L}").alias("lettered"))
+    names = ["row", "lang_pred", "score"]
+    schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    found = rows.mapInArrow(run, schema)
+    return found if keep is None else found.select(*[F.col(f"row.`{c}`") for c in keep], "lang_pred", "score")
+
+
+def _best(
+    model: LanguageModel, rows: np.ndarray, places: np.ndarray, starts: np.ndarray, lettered: np.ndarray
+) -> tuple[list[str], np.ndarray]:
+    """The likeliest language of each text, whose words lie between two ``starts``, and its probability."""
+    n = len(lettered)
+    langs, scores = [UNKNOWN] * n, np.zeros(n)
+    known = np.flatnonzero(lettered & (np.diff(starts) > 0)) if model.languages else np.zeros(0, np.int64)
+    if len(known):
+        sums = np.stack([_sums(rows[:, lang][places], starts)[known] for lang in range(rows.shape[1])], axis=1)
+        sums = np.exp(sums - sums.max(axis=1, keepdims=True))
+        best = sums.argmax(axis=1)
+        scores[known] = sums[np.arange(len(known)), best] / sums.sum(axis=1)
+        for i, b in zip(known.tolist(), best.tolist(), strict=True):
+            langs[i] = model.languages[b]
+    return langs, scores
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums between the starts, each by itself, so that a text's sum does not depend on its neighbours."""
+    out = np.zeros(len(starts) - 1)
+    full = np.flatnonzero(np.diff(starts) > 0)
+    if len(full):
+        out[full] = np.add.reduceat(values, starts[:-1][full])
+    return out

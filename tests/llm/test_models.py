@@ -6,10 +6,12 @@ from functools import cache
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from socialspark.llm import context_tree, language_id, packing, toxicity
 from socialspark.llm.common import fold
+from socialspark.llm.words import Letters
 
 
 def tree_by_hand(train, depth):
@@ -129,10 +131,39 @@ def test_pairs_of_terms_are_learned(spark):
 
 
 def test_machine_scores_pairs_once():
-    machine = toxicity.FactorizationMachine({}, 0.1, np.array([0.2, -0.3, 0.5]), np.array([[1.0, 2], [0.5, -1], [2, 0]]))
-    used = np.array([0, 1, 2])
+    machine = toxicity.FactorizationMachine(np.zeros(0), 0.1, np.array([0.2, -0.3, 0.5]), np.array([[1.0, 2], [0.5, -1], [2, 0]]))
     z = 0.1 + 0.4 + (0.5 - 2) + 2 + 1
-    assert machine.score(used) == pytest.approx(1 / (1 + math.exp(-z)))
+    got = machine.scores(np.array([1, 1, 1]), np.array([0, 1, 2]), 3)
+    assert got == pytest.approx([1 / (1 + math.exp(-0.1)), 1 / (1 + math.exp(-z)), 1 / (1 + math.exp(-0.1))])
+
+
+def test_toxicity_scores_as_by_hand(spark):
+    """The whole score again, a word, a term and a pair at a time."""
+    r = random.Random(6)
+    rows = toxic_rows(300)
+    docs = spark.createDataFrame([(i, t, 0) for i, t, _ in rows], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, terms=60)
+    place = {int(t): i for i, t in enumerate(model.terms)}
+    texts = [t for _, t, _ in rows[:40]] + [None, "", "DOLT, dolt! ÉTÉ", " ".join(r.choice(["dolt", "martians", "été"]) for _ in range(500))]
+    found = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    for i, got in found.collect():
+        terms = set()
+        for word in regex.findall(r"[\p{L}\p{M}]+", (texts[i] or "").lower()):
+            terms |= {int(t) for t in toxicity.word_terms([word])[0]}
+        own = sorted(place[t] for t in terms if t in place)
+        z = model.bias + sum(model.weights[p] for p in own)
+        z += sum(float(model.factors[p] @ model.factors[q]) for p in own for q in own if p < q)
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+
+
+def test_terms_that_tell_only_together_are_kept():
+    used, y = [], []
+    for i in range(400):  # 0 and 1 are in half of all rows each, and together in those of label 1
+        a, b = i % 2, i // 2 % 2
+        used.append(np.array([2, 3 + i % 5] + [0] * a + [1] * b, np.int64))
+        y.append(int(a and b))
+    assert set(toxicity._told_by_pairs(used, np.array(y), 8, 0, list(range(8)), 2)) == {0, 1}
 
 
 def test_languages(spark):
@@ -156,11 +187,76 @@ def test_languages(spark):
 
 
 def test_unseen_words_fall_back_to_shorter_grams():
-    entries = {0: {}, 5: {}, 4: {}, 3: {"^ab": 0}, 2: {"zz": 0}, 1: {}}
-    model = language_id.LanguageModel(["aa", "bb"], entries, {3: np.array([[-1.0, -5]]), 2: np.array([[-9.0, -1]])})
-    scorer = language_id._Scorer(model)
-    assert scorer("abzz")[0] == "aa"
-    assert scorer("yzz")[0] == "bb"
+    def hashed(k, *grams):
+        return Letters(list(grams)).spans(k)[0] if grams else np.zeros(0, np.uint64)
+
+    hashes = {0: hashed(1), 5: hashed(5), 4: hashed(4), 3: hashed(3, "^ab"), 2: hashed(2, "zz"), 1: hashed(1)}
+    none = np.zeros((0, 2))
+    logs = {0: none, 5: none, 4: none, 3: np.array([[-1.0, -5]]), 2: np.array([[-9.0, -1]]), 1: none}
+    model = language_id.LanguageModel(["aa", "bb"], hashes, logs)
+    assert model.rows(["abzz", "yzz", "q"]).tolist() == [[-1, -5], [-9, -1], [0, 0]]
+
+
+def test_language_scores_as_by_hand(spark):
+    """The whole back-off again with dictionaries, a word at a time, combining marks included."""
+    r = random.Random(7)
+    letters = {"aa": "abcé", "bb": "bcdñ", "cc": "कखगि"}
+    rows = []
+    for i in range(240):
+        lang = ["aa", "bb", "cc"][i % 3]
+        words = ["".join(r.choice(letters[lang]) for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 30))]
+        rows.append((i, " ".join(words).upper() if i % 7 == 0 else ", ".join(words), lang))
+    train, test = rows[:150], rows[150:]
+    docs = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, docs_per_lang=10_000, words_per_lang=40, grams_per_lang=50)
+
+    counts = {k: Counter() for k in (0, *language_id.ORDERS)}
+    for _, text, lang in train:
+        for word in regex.findall(r"[\p{L}\p{M}]+", text.lower()):
+            counts[0][lang, word] += 1
+            marked = f"^{word}$"
+            for k in language_id.ORDERS:
+                for at in range(len(marked) - k + 1):
+                    counts[k][lang, marked[at : at + k]] += 1
+    langs, logs = ["aa", "bb", "cc"], {}
+    for k, own in counts.items():
+        kept = {}
+        for lang in langs:
+            ranked = sorted((-n, entry.encode()) for (x, entry), n in own.items() if x == lang)
+            kept |= {(lang, e.decode()): -n for n, e in ranked[: 50 if k else 40]}
+        entries = {e for _, e in kept}
+        totals = [sum(n for (x, _), n in kept.items() if x == lang) for lang in langs]
+        logs[k] = {
+            e: np.array([math.log((kept.get((x, e), 0) + 0.5) / (t + 0.5 * len(entries))) for x, t in zip(langs, totals)])
+            for e in entries
+        }
+
+    def row_of(word):
+        if word in logs[0]:
+            return logs[0][word]
+        marked = f"^{word}$"
+        for k in language_id.ORDERS:
+            hits = [logs[k][marked[at : at + k]] for at in range(len(marked) - k + 1) if marked[at : at + k] in logs[k]]
+            if hits:
+                return np.mean(hits, axis=0)
+        return np.zeros(3)
+
+    found = language_id.predict(spark.createDataFrame(test, docs.schema), model, keep=("doc_id",)).toPandas().set_index("doc_id")
+    for i, text, _ in test:
+        total = sum(row_of(w) for w in regex.findall(r"[\p{L}\p{M}]+", text.lower()))
+        p = np.exp(total - total.max())
+        assert found["lang_pred"][i] == langs[int(p.argmax())]
+        assert found["score"][i] == pytest.approx(p.max() / p.sum(), rel=1e-9)
+
+
+def test_language_of_rows_with_clashing_columns_and_no_ids(spark):
+    rows = [(None, "der und die das" if i % 2 else "the and of to", "de" if i % 2 else "en", 7.0, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    model = language_id.fit(docs)
+    found = language_id.predict(docs, model, keep=None)
+    assert found.columns == ["row", "lang_pred", "score"]
+    assert found.where("row.lang <> lang_pred or row.score <> 7 or row.lang_pred <> 'x'").count() == 0
+    assert found.count() == 60
 
 
 def test_packing_places_every_token_once(spark):
