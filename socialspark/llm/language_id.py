@@ -1,7 +1,7 @@
 """Language identification: known words first, then shorter and shorter character n-grams.
 
 ``fit`` counts the words of labelled texts and the character n-grams (5 down
-to 1, with marks at the ends of words) of those words. ``predict`` gives every known
+to 1, with marks at the ends of words, which alone are no n-gram) of those words. ``predict`` gives every known
 word its log frequency in each language. An unseen word gets the mean log frequency of its known
 n-grams of the greatest order that has any. The sums over the words
 of the whole text, as probabilities, name the language. Both cut words by one expression; a
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -99,16 +99,15 @@ def fit(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     marked = F.concat(F.lit(MARKS[0]), "entry", F.lit(MARKS[1]))
-    spans = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(marked) - (k - 1), F.lit(1))),
-            lambda i, k=k: F.struct(F.lit(k).alias("k"), F.substring(marked, i, F.lit(k)).alias("entry")),
-        )
-        for k in ORDERS
-    ]
+
+    def spans_of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda at: F.struct(F.lit(k).alias("k"), F.substring(marked, at, F.lit(k)).alias("entry")))
+
+    spans = [spans_of(k) for k in ORDERS]
     grams = (
         words.select("lang", "n", F.inline(F.concat(*spans)))
-        .where(F.length("entry") == F.col("k"))
+        .where((F.length("entry") == F.col("k")) & ~F.col("entry").isin(*MARKS))
         .groupBy("lang", "k", "entry")
         .agg(F.sum("n").alias("n"))
     )
