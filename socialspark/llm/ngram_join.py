@@ -6,7 +6,7 @@ target recall; documents that share the hash of a band are candidates, and every
 is verified on the full sets of n-grams.
 
 Texts with the same words are one class before anything is compared. Pairs never
-become rows: candidates are dealt into blocks of about ``BLOCK`` classes, by the
+become rows: candidates are dealt into blocks of about ``BLOCK`` classes and ``BLOCK_BYTES`` of text (or one text, if it is longer), by the
 largest buckets that they are in or reach, and two blocks meet in a task once if any bucket reaches
 into both. The task checks all their candidate pairs in matrices and returns a row per class:
 how many links it has there, and its least companion. So a bucket that holds a third of all rows is many
@@ -14,8 +14,8 @@ blocks over many tasks, and work on it is quadratic in its different texts only.
 
 Defined results: null or empty texts, texts of white space and rows without an id have
 no n-grams and no links, and are their own class (``class_id`` is their id); texts with fewer than ``n`` words
-have one n-gram, of all their words. Rows that share an id belong together: if their
-texts differ, one of them stands for the id. Other columns are ignored.
+have one n-gram, of all their words. Ids may repeat: every row is compared by its own text, and classes are named by the
+least id in them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 BLOCK = 512
+BLOCK_BYTES = 4 << 20
 _CHUNK = 1 << 18
 
 
@@ -86,17 +87,21 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second, sigs = [], [], []
+            first, second, sigs, sizes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 grams = ngrams(text, n)
                 words = np.frombuffer(" ".join((text or "").lower().split()).encode("utf-8", "surrogatepass"), np.uint8)
                 ends = np.zeros(1, np.int64), np.array([len(words)])
                 first.append(Spans(words, 0).hash(*ends)[0].astype(np.int64))
                 second.append(Spans(words, 1).hash(*ends)[0].astype(np.int64))
+                sizes.append(len(words))
                 sigs.append(band_hashes(grams, bands, rows).astype(np.int64) if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-                ["id", "h1", "h2", "bands"],
+                [
+                    batch.column(0), batch.column(2), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
+                    pa.array(sigs, pa.list_(pa.int64())), pa.array(sizes, pa.int64()),
+                ],
+                ["id", "own", "h1", "h2", "bands", "bytes"],
             )
 
     return run
@@ -187,18 +192,19 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def _blocks(members: DataFrame, size: int) -> DataFrame:
-    """``(node, block)``: blocks of about ``size`` nodes that share buckets where they can.
+def _blocks(members: DataFrame, size: int, most_bytes: int) -> DataFrame:
+    """``(node, block)``: blocks of about ``size`` nodes and ``most_bytes`` of text that share buckets where they can.
 
     A node is at home in its largest bucket. A home of few nodes moves in with the
     most popular home that any of its buckets reaches, so that a large group is a few
     full blocks and not many small ones; the nodes of a small home stay together.
     """
     few = size // 4
-    home = members.groupBy("node").agg(F.max(F.struct("n", "band", "h")).alias("at")).select("node", F.xxhash64("at").alias("home"))
+    home = members.groupBy("node").agg(F.max(F.struct("n", "band", "h")).alias("at"), F.max("bytes").alias("bytes"))
+    home = home.select("node", F.xxhash64("at").alias("home"), "bytes")
     home = cut(home)
     popular = home.groupBy("home").agg(F.count(F.lit(1)).alias("k"))
-    placed = cut(members.select("band", "h", "node").join(home.join(popular, "home"), "node"))
+    placed = cut(members.select("band", "h", "node").join(home.drop("bytes").join(popular, "home"), "node"))
     best = placed.groupBy("band", "h").agg(F.max(F.struct("k", "home")).alias("best"))
     host = (
         placed.where(F.col("k") <= few).select("band", "h", "home", "k").distinct()
@@ -208,9 +214,10 @@ def _blocks(members: DataFrame, size: int) -> DataFrame:
     )
     hosted = cut(
         home.join(popular, "home").join(host, "home", "left")
-        .select("node", F.coalesce("host", "home").alias("host"), F.when(F.col("k") <= few, F.xxhash64("home")).otherwise(F.xxhash64("node")).alias("mix"))
+        .select("node", "bytes", F.coalesce("host", "home").alias("host"), F.when(F.col("k") <= few, F.xxhash64("home")).otherwise(F.xxhash64("node")).alias("mix"))
     )
-    parts = hosted.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+    enough = F.greatest(F.ceil(F.count(F.lit(1)) / size), F.ceil(F.sum("bytes") / most_bytes))
+    parts = hosted.groupBy("host").agg(enough.alias("parts"))
     return hosted.join(parts, "host").select("node", F.xxhash64("host", F.pmod("mix", F.col("parts"))).alias("block"))
 
 
@@ -222,6 +229,7 @@ def ngram_join(
     threshold: float = THRESHOLD,
     recall: float = RECALL,
     block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """A row per document: ``class_id``, ``n_links``, ``copy_of``, ``n_copies``.
 
@@ -232,14 +240,19 @@ def ngram_join(
     probability ``recall``, a more similar one with a higher.
     """
     bands, rows = banding(threshold, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signatures(n, bands, rows), "id long, h1 long, h2 long, bands array<long>"))
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("own"))
+    signed = cut(texts.mapInArrow(_signatures(n, bands, rows), "id long, own long, h1 long, h2 long, bands array<long>, bytes long"))
     classes = cut(
         signed.where("id is not null and bands is not null")
         .groupBy("h1", "h2")
-        .agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "id").alias("bands"))
+        .agg(
+            F.min(F.struct("id", "own")).alias("one"), F.count(F.lit(1)).alias("copies"),
+            F.min_by("bands", F.struct("id", "own")).alias("bands"), F.max("bytes").alias("bytes"),
+        )
+        .withColumn("node", F.xxhash64("h1", "h2"))
     )
-    banded = classes.select("node", F.posexplode("bands").alias("band", "h"))
+    banded = classes.select("node", "bytes", F.posexplode("bands").alias("band", "h"))
     buckets = (
         banded.groupBy("band", "h")
         .agg(
@@ -254,7 +267,7 @@ def ngram_join(
         .select("n", "at.band", "at.h")
     )
     members = cut(banded.join(buckets, ["band", "h"]))
-    homes = cut(_blocks(members, block))
+    homes = cut(_blocks(members, block, block_bytes))
     reach = members.join(homes, "node").groupBy("band", "h", "block").agg(F.count(F.lit(1)).alias("k"))
     other = reach.select("band", "h", F.col("block").alias("hi"), F.col("k").alias("_k"))
     pairs = (
@@ -265,10 +278,9 @@ def ngram_join(
         .distinct()
     )
     meets = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
-    held = classes.select("node", "copies", "bands").join(homes, "node")
+    held = classes.select("one.id", "one.own", "node", "copies", "bands").join(homes, "node")
     dealt = (
-        texts.withColumnRenamed("id", "node")
-        .join(held, "node")
+        texts.join(held, ["id", "own"])
         .join(meets, "block")
         .repartition("lo", "hi")
         .sortWithinPartitions("lo", "hi")
@@ -277,18 +289,21 @@ def ngram_join(
     links = cut(dealt.mapInArrow(_verify(n, threshold), "node long, root long, links long"))
     roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    least = F.col("one.id").alias("least")
+    linked = cut(roots.join(classes.select("node", least), "node"))
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("name")), "root").select("node", "name")
     known = (
-        classes.select("h1", "h2", "node", "copies")
+        classes.select("h1", "h2", "node", least, "copies")
         .join(counted, "node", "left")
-        .join(roots, "node", "left")
+        .join(named, "node", "left")
     )
     found = signed.withColumn("_in", F.expr("id is not null and bands is not null")).join(
         known.withColumn("_in", F.lit(True)), ["_in", "h1", "h2"], "left"
     )
     return found.select(
         F.col("id").alias(id_col),
-        F.coalesce("root", "node", "id").alias("class_id"),
+        F.coalesce("name", "least", "id").alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0)).alias("n_links"),
-        F.coalesce("node", "id").alias("copy_of"),
+        F.coalesce("least", "id").alias("copy_of"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
     )

@@ -66,6 +66,9 @@ def anchors(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.nda
         for start in range(0, len(data), _PIECE):
             stop = min(len(data), start + _PIECE)
             lo, hi = max(0, start - reach), min(len(data), stop + length)
+            if held and size + hi - lo > _PLACE:  # places have so many bits
+                yield _anchors_of(held, length, gram)
+                held, size = [], 0
             held.append((i, lo, start, stop, data[lo:hi]))
             size += hi - lo
             if size >= _PIECE:
@@ -106,7 +109,7 @@ def _anchors_of(pieces, length: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 def _emit_anchors(length: int, gram: int):
-    names = ["gram", "class", "id", "crc", "at", "left", "right"]
+    names = ["gram", "class", "id", "key", "at", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +117,7 @@ def _emit_anchors(length: int, gram: int):
                 rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(gh), pa.array(ch), batch.column("_id").take(rows), batch.column("_crc").take(rows),
+                        pa.array(gh), pa.array(ch), batch.column("_id").take(rows), batch.column("_key").take(rows),
                         pa.array(at), pa.array((at - first).astype(np.int32)), pa.array((at - last).astype(np.int32)),
                     ],
                     names,
@@ -280,10 +283,10 @@ def _remove(as_text: bool):
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """``(_id, _crc, spans)`` of the documents ``(_id, _crc, _text)`` that have repeated spans; spans may overlap."""
+    """``(_id, _key, spans)`` of the documents ``(_id, _key, _text)`` that have repeated spans; spans may overlap."""
     found = cut(
-        keyed.select("_id", "_crc", "_text").mapInArrow(
-            _emit_anchors(length, gram), "gram long, class long, id long, crc long, at long, left int, right int"
+        keyed.select("_id", "_key", "_text").mapInArrow(
+            _emit_anchors(length, gram), "gram long, class long, id long, key long, at long, left int, right int"
         )
     )
     # a table, so that nothing but the exchanges stands below the join and a hot gram can be split
@@ -291,18 +294,18 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     found = cut(found.join(busy, "gram"))
     classes = cut(
         found.groupBy("gram", "class").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "crc", "at")).alias("one"), F.max("left").alias("left"), F.max("right").alias("right")
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "at")).alias("one"), F.max("left").alias("left"), F.max("right").alias("right")
         )
     )
     sizes = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1")
     wanted = (
         classes.join(sizes, "gram")
-        .groupBy("one.id", "one.crc")
+        .groupBy("one.id", "one.key")
         .agg(F.collect_list(F.struct("gram", "class", (F.col("c") > group).alias("many"), "one.at", "left", "right")).alias("wanted"))
-        .select(F.col("id").alias("_id"), F.col("crc").alias("_crc"), "wanted")
+        .select(F.col("id").alias("_id"), F.col("key").alias("_key"), "wanted")
     )
     # one of the rows with this id and text is enough; others would add the same classes again
-    contexts = keyed.select("_id", "_crc", "_text").join(wanted, ["_id", "_crc"]).mapInArrow(_cut_out(length), _CONTEXT_SQL)
+    contexts = keyed.select("_id", "_key", "_text").join(wanted, ["_id", "_key"]).mapInArrow(_cut_out(length), _CONTEXT_SQL)
     contexts = cut(contexts.dropDuplicates(["gram", "class"]))
     sorted_out = (
         contexts.where("not many").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_groups(length), _RANGES_SQL)
@@ -321,14 +324,14 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     single = classes.where("n = 1").select("gram", "class").join(ranges, ["gram", "class"])
     hits = found.join(single.unionByName(whole), ["gram", "class"])
     spans = hits.select(
-        "id", "crc", "at", "left", "right", F.explode("ranges").alias("r")
+        "id", "key", "at", "left", "right", F.explode("ranges").alias("r")
     ).select(
         F.col("id").alias("_id"),
-        F.col("crc").alias("_crc"),
+        F.col("key").alias("_key"),
         (F.col("at") - F.coalesce("r.hi", "left")).alias("lo"),
         (F.col("at") - F.coalesce("r.lo", "right") + length).alias("hi"),
     )
-    return spans.groupBy("_id", "_crc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return spans.groupBy("_id", "_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def remove_repeats(
@@ -340,24 +343,27 @@ def remove_repeats(
     gram: int = GRAM,
     group: int = GROUP,
     as_text: bool = False,
+    in_struct: bool = False,
 ) -> DataFrame:
     """The columns ``keep`` (the id alone by default) and, per row, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept``.
 
     ``kept`` are the remaining bytes, which may begin or end inside a character; with
-    ``as_text`` a string without such characters.
+    ``as_text`` a string without such characters. With ``in_struct`` the columns ``keep`` are in the struct ``row``.
     """
     columns = [F.col(c) for c in (keep or (id_col,))]
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_crc"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"),
         F.col(text_col).alias("_text"),
         F.struct(*columns).alias("_row"),
     )
     spans = cut(repeated_spans(keyed, length, gram, group))
-    joined = keyed.join(spans, ["_id", "_crc"], "left").select("_text", "spans", "_row")
+    joined = keyed.join(spans, ["_id", "_key"], "left").select("_text", "spans", "_row")
     row = joined.schema["_row"].dataType.simpleString()
     out = joined.mapInArrow(
         _remove(as_text),
         f"_row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}",
     )
+    if in_struct:
+        return out.withColumnRenamed("_row", "row")
     return out.select("_row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -77,3 +77,21 @@ def test_odd_rows(spark):
     assert set(found.loc[found.doc_id.isin([1, 2]), "n_links"]) == {2}
     assert set(found.loc[found.doc_id.isna(), "n_links"]) == {0}
     assert ngram_join(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_compared_by_their_own_texts(spark):
+    a, b = "a b c d e f g", "u v w x y z t"
+    rows = [(5, a), (5, b), (6, a), (7, b), (5, None), (8, "q r s"), (8, "q r s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r.doc_id, r.class_id, r.n_links, r.copy_of, r.n_copies) for r in ngram_join(docs).collect())
+    assert found == [(5, 5, 0, 5, 1), (5, 5, 1, 5, 2), (5, 5, 1, 5, 2), (6, 5, 1, 5, 2), (7, 5, 1, 5, 2), (8, 8, 1, 8, 2), (8, 8, 1, 8, 2)]
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]  # by themselves the texts are four classes
+    found = {r.doc_id: r.class_id for r in ngram_join(spark.createDataFrame(numbered, docs.schema)).collect()}
+    assert found == {0: 0, 1: 1, 2: 0, 3: 1, 4: 4, 5: 5, 6: 5}
+
+
+def test_blocks_bounded_by_bytes_give_the_same(spark):
+    rows = corpus(3)
+    docs = spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, bands long").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join(docs, block_bytes=1500).toPandas().itertuples()}
+    assert got == by_hand(rows)

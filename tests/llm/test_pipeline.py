@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from socialspark.llm.suffix_dedup import LENGTH
@@ -104,3 +105,23 @@ def test_run_is_the_stages_and_odd_tables_pass(spark, tables, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     pipeline.table(spark, folder, "labels").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_and_clashing_columns(spark, tables):
+    folder, _ = tables
+    docs = pipeline.table(spark, folder, "documents")
+    clash = {c: F.lit(f"own {c}") for c in ("score", "lang_pred", "row", "kept", "n_removed", "n", "class_id", "copies", "domain", "_row", "words")}
+    again = docs.where("doc_id in (1, 2)").withColumn("doc_id", F.lit(0).cast("long"))  # ids with other texts
+    unnamed = docs.where("doc_id in (1, 5, 6)").withColumn("doc_id", F.lit(None).cast("long"))
+    odd = docs.where("doc_id not in (5, 6, 165, 166)").unionByName(again).unionByName(unnamed).withColumns(clash)
+    kept = {}
+    for name, stage in pipeline.STAGES:
+        odd = pipeline.cut(stage(spark, odd, folder))
+        if name != "packing":
+            assert odd.columns == [*docs.columns, *clash]
+            assert odd.where(" or ".join(f"`{c}` <> 'own {c}'" for c in clash)).count() == 0
+            kept[name] = odd.collect()
+    names = [r.doc_id for r in kept["near_duplicates"]]
+    texts = [r.text for r in kept["near_duplicates"]]
+    assert names.count(0) == 3 and 1 not in names and 2 not in names  # copies of 1 and 2 under a smaller id
+    assert names.count(None) == 2 and len(set(texts)) == len(texts)  # the copy of 1 goes, 5 and 6 have no other

@@ -104,3 +104,18 @@ def test_odd_rows(spark):
     assert found.loc[found.doc_id == 2, "n_removed"].item() == 0
     assert found.loc[found.doc_id == 3, "n_removed"].item() == 600
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_long_texts_together_keep_their_places():
+    """Two texts that fill a batch of pieces: places must not run over their bits."""
+    from socialspark.llm import suffix_dedup
+
+    r = np.random.default_rng(9)
+    texts = [r.integers(97, 123, n, np.uint8).tobytes() for n in ((1 << 21) - 1, (1 << 21) + 2000)]
+    both = [np.concatenate(x) for x in zip(*suffix_dedup.anchors(texts, suffix_dedup.LENGTH, suffix_dedup.GRAM))]
+    alone = []
+    for i, text in enumerate(texts):
+        parts = [np.concatenate(x) for x in zip(*suffix_dedup.anchors([text], suffix_dedup.LENGTH, suffix_dedup.GRAM))]
+        alone.append([np.full(len(parts[0]), i), *parts[1:]])
+    for got, *want in zip(both, *alone):
+        assert (got == np.concatenate(want)).all()
