@@ -3,7 +3,8 @@
 ``STAGES`` lists them; each takes ``(spark, docs, sf_dir)`` and all but the last return the
 columns of ``documents``. ``run`` applies them, writing each result to the shared folder.
 
-Rows without an id are never near-duplicates of anything and are mixed at rate 1. Of rows that share an id one stays.
+Every row is compared by its own text, whatever its id; rows without an id are mixed at rate 1. Tables may have more columns
+than ``documents``, of any name; they are carried along.
 """
 
 from __future__ import annotations
@@ -25,29 +26,31 @@ TARGETS = {"good": 0.97, "poor": 0.025, "toxic": 0.005}
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language."""
-    found = language_id.predict(docs, language_id.fit(docs), keep=tuple(docs.columns))
-    sure = (found["lang_pred"] != language_id.UNKNOWN) & (found["score"] >= LEAST_SCORE)
-    return found.where(sure).select(*docs.columns)
+    found = language_id.predict(docs, language_id.fit(docs), keep=None)
+    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return found.where(sure).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group that n-gram similarity links."""
-    classes = ngram_join.ngram_join(docs)
-    kept = cut(classes.where("doc_id = class_id").select("doc_id").distinct())
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keep the document with the least id of each group that n-gram similarity links; null ids come last."""
+    numbered = cut(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")))
+    classes = ngram_join.ngram_join(numbered.select("n", F.col("row.text").alias("text")), id_col="n")
+    first = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", "n")
+    named = numbered.select("n", first.alias("first")).join(classes.select("n", "class_id"), "n")
+    kept = cut(named.groupBy("class_id").agg(F.min_by("n", "first").alias("n")).select("n"))
+    return numbered.join(kept, "n", "left_semi").select("row.*")
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out long strings that occur more than once; documents of which nothing is left go."""
-    found = suffix_dedup.remove_repeats(docs, keep=tuple(docs.columns), as_text=True)
+    found = suffix_dedup.remove_repeats(docs, keep=tuple(docs.columns), as_text=True, in_struct=True)
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    size = F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return (
-        found.where(~changed | (F.trim("kept") != ""))
-        .withColumns({"text": text, "n_chars": size})
-        .select(*docs.columns)
+    new = {
+        "text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")),
+        "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars")),
+    }
+    return found.where(~changed | (F.trim("kept") != "")).select(
+        *[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns]
     )
 
 
