@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from socialspark.llm.common import words_of
-from socialspark.llm.words import Letters, distinct_words, in_chunks, places_in
+from socialspark.llm.words import Letters, distinct_words, in_chunks, parts_of, places_in
 
 DOCS_PER_LANG = 4000
 WORDS_PER_LANG = 30_000
@@ -148,7 +148,7 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(**sent.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             words, places, starts = distinct_words(batch.column(1))
             lettered = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
             langs, scores = _best(model, model.rows(words), places, starts, lettered)

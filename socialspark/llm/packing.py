@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 from unicodedata import normalize
 
@@ -31,27 +30,49 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from socialspark.llm.common import texts_of, worker_memory
+
 CAPACITY = 4096
 WINDOW_TOKENS = 4_000_000
 WIDTH = 1024
 END_ID = 2
-#: Words whose ids a task remembers; a full memory is emptied.
-REMEMBERED = 400_000
-
+#: Words whose ids a worker remembers; a full memory is emptied.
+REMEMBERED = 300_000
 
 #: Punctuation that stays one piece, whatever letters stand before it.
 TAIL = ".,;:!?"
 #: Plain words encoded together.
-LINE = 100
+LINE = 400
+
+
+def plain_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words are letters and a tail of plain punctuation, as the tokenizer composes and lowers them.
+
+    Also how many pieces each is before the merges, and how many bytes the tokenizer makes of it.
+    """
+    n = len(words)
+    cores = [w.rstrip(TAIL) for w in words]
+    plain = np.fromiter(map(str.isalpha, cores), bool, n)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    pieces = 1 + (sizes > np.fromiter(map(len, cores), np.int64, n))
+    for i in np.flatnonzero(~np.fromiter(map(str.isascii, words), bool, n)).tolist():
+        core = normalize("NFC", cores[i])
+        plain[i] = core.isalpha() and core.lower().isalpha()
+        sizes[i] = len(normalize("NFC", words[i]).lower().encode("utf-8", "surrogatepass"))
+    return plain, pieces, sizes
 
 
-def _is_plain(word: str) -> bool:
-    """Letters and a tail of plain punctuation, also as the tokenizer composes and lowers them."""
-    core = word.rstrip(TAIL)
-    if core.isascii():
-        return core.isalpha()
-    core = normalize("NFC", core)
-    return core.isalpha() and core.lower().isalpha()
+class _Codes(dict):
+    """Numbers of words; a new word gets the next one and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
+        return code
 
 
 class WordTokenizer:
@@ -79,83 +100,83 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self._code: dict[str, int] = {}
+        self._code = _Codes()
         self._start = np.zeros(1 << 16, np.int64)
         self._size = np.zeros(1 << 16, np.int64)
         self._ids = np.zeros(1 << 18, np.uint32)
-        self._held = 0
+        self._known = self._held = 0
 
-    def _encode(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words in the order of their ids, the ids in a row, and how many each word has.
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and where those of each word start and how many they are.
 
         Letters, or letters and a tail of plain punctuation, are one or two pieces before the
         merges, and each piece ends in a token that ends a word. Such words are encoded in
         lines and told apart by these tokens. Others are encoded one by one, as are the words
         of a line whose tokens do not fit them.
         """
-        plain: list[str] = []
-        other: list[str] = []
-        for word in words:
-            (plain if self._ends is not None and _is_plain(word) else other).append(word)
+        plain, pieces, spelt = plain_words(words)
+        if self._ends is None:
+            plain[:] = False
+        own = np.flatnonzero(plain)
+        lines = [own[k : k + LINE] for k in range(0, len(own), LINE)]
+        other = np.flatnonzero(~plain).tolist()
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        parts, held = [], 0
         encode = self._tokenizer.encode_batch_fast
-        lines = [plain[k : k + LINE] for k in range(0, len(plain), LINE)]
-        told: list[str] = []
-        parts, lengths = [], []
-        for line, got in zip(lines, encode([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        joined = [" ".join([words[i] for i in line.tolist()]) for line in lines]
+        for line, got in zip(lines, encode(joined, add_special_tokens=False), strict=True):
             flat = np.array(got.ids, np.int64)
-            sizes = self._told_apart(line, flat)
-            if sizes is None:
-                other += line
+            told = self._told_apart(pieces[line], spelt[line], flat)
+            if told is None:
+                other += line.tolist()
                 continue
-            told += line
-            parts.append(flat)
-            lengths.append(sizes)
-        found = [e.ids for e in encode(other, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        return told + other, np.concatenate([*parts, ids]).astype(np.uint32), np.concatenate([*lengths, sizes])
-
-    def _told_apart(self, line: list[str], flat: np.ndarray) -> np.ndarray | None:
-        """How many of the ids in ``flat`` each word of the line has; None unless they fit the words.
+            sizes[line] = told
+            starts[line] = held + np.cumsum(told) - told
+            parts.append(flat.astype(np.uint32))
+            held += len(flat)
+        found = [e.ids for e in encode([words[i] for i in other], add_special_tokens=False)]
+        told = np.fromiter(map(len, found), np.int64, len(found))
+        sizes[other], starts[other] = told, held + np.cumsum(told) - told
+        parts.append(np.fromiter(chain.from_iterable(found), np.uint32, int(told.sum())))
+        return np.concatenate(parts), starts, sizes
+
+    def _told_apart(self, pieces: np.ndarray, spelt: np.ndarray, flat: np.ndarray) -> np.ndarray | None:
+        """How many of the ids in ``flat`` each word of a line has; None unless they fit the words.
 
         They do if as many tokens end words as there are pieces, and the tokens of each word
         spell as many bytes as it has.
         """
         stops = np.flatnonzero(self._ends[flat]) + 1
-        pieces = np.cumsum([1 + (word[-1] in TAIL) for word in line])
+        pieces = np.cumsum(pieces)
         if len(stops) != pieces[-1] or stops[-1] != len(flat):
             return None
         stops = stops[pieces - 1]
-        spelt = np.cumsum(self._bytes[flat])[stops - 1]
-        own = np.cumsum([len(w) if w.isascii() else len(normalize("NFC", w).lower().encode()) for w in line])
-        return np.diff(stops, prepend=0) if (spelt == own).all() else None
+        bytes_so_far = np.cumsum(self._bytes[flat])[stops - 1]
+        return np.diff(stops, prepend=0) if (bytes_so_far == np.cumsum(spelt)).all() else None
 
     def _learn(self, words: list[str]) -> None:
-        words, flat, sizes = self._encode(words)
-        at, last = len(self._code), len(self._code) + len(words)
-        self._code.update(zip(words, range(at, last), strict=True))
+        flat, starts, sizes = self._encode(words)
+        at, last = self._known, self._known + len(words)
         if last > len(self._start):
             self._start, self._size = (np.resize(x, 2 * last) for x in (self._start, self._size))
         if self._held + len(flat) > len(self._ids):
             self._ids = np.resize(self._ids, 2 * (self._held + len(flat)))
-        self._start[at:last] = self._held + np.cumsum(sizes) - sizes
+        self._start[at:last] = self._held + starts
         self._size[at:last] = sizes
         self._ids[self._held : self._held + len(flat)] = flat
-        self._held += len(flat)
+        self._known, self._held = last, self._held + len(flat)
 
-    def encode(self, texts: list[str | None], at_once: int = 256) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str | None], at_once: int = 512) -> Iterator[np.ndarray]:
         """The ids of each text, without special tokens."""
         for first in range(0, len(texts), at_once):
+            if self._known > REMEMBERED:
+                self._clear()
             split = [(t or "").replace("\n", " ").split(" ") for t in texts[first : first + at_once]]
             words = list(chain.from_iterable(split))
-            distinct = set(words)
-            new = distinct - self._code.keys()
-            if len(self._code) + len(new) > REMEMBERED:
-                self._clear()
-                new = distinct
-            if new:
-                self._learn(list(new))
             codes = np.fromiter(map(self._code.__getitem__, words), np.int32, len(words))
+            if self._code.new:
+                self._learn(self._code.new)
+                self._code.new = []
             sizes = self._size[codes]
             ends = np.cumsum(sizes)
             place = np.repeat(self._start[codes] - ends + sizes, sizes)
@@ -163,10 +184,12 @@ class WordTokenizer:
             yield from np.split(self._ids[place], ends[np.cumsum([len(x) for x in split])[:-1] - 1])
 
 
-@cache
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for each Python worker, so that its later tasks know the words of the earlier ones."""
-    return WordTokenizer(path)
+    memory = worker_memory()
+    if ("packing", path) not in memory:
+        memory["packing", path] = WordTokenizer(path)
+    return memory["packing", path]
 
 
 def capacities(tokens: int, capacity: int) -> np.ndarray:
@@ -251,8 +274,7 @@ def pack_documents(
 
         for batch in batches:
             id_type = batch.column(0).type
-            texts = batch.column(1)
-            for name, got in zip(batch.column(0).to_pylist(), words.encode(texts.to_pylist()), strict=True):
+            for name, got in zip(batch.column(0).to_pylist(), words.encode(texts_of(batch.column(1))), strict=True):
                 names.append(name)
                 ids.append(np.append(got, np.uint32(end_id)))
                 held += len(ids[-1])

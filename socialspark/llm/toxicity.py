@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.llm.common import words_of
-from socialspark.llm.words import Letters, distinct_words, in_chunks
+from socialspark.llm.words import Letters, distinct_words, in_chunks, parts_of
 from socialspark.session import cut
 
 SAMPLE_DOCS = 20_000
@@ -144,7 +144,7 @@ def fit(
     sample = F.broadcast(known.where(draw < sample_docs / max(total, 1)))  # bounded by sample_docs
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             rows, found = distinct_terms(batch.column(1))
             starts = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(starts, pa.array(found.astype(np.int32)))
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = FactorizationMachine(**sent.value)
         place = machine.places()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             scores = machine.scores(*distinct_terms(batch.column(1), place), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
 

@@ -12,6 +12,8 @@ from socialspark.llm.hashing import mix
 _FACTORS = np.random.Generator(np.random.PCG64(20250117)).integers(0, 1 << 62, 64, np.uint64) * np.uint64(4) + np.uint64(1)
 #: Words whose spans are hashed at once.
 AT_ONCE = 1 << 16
+#: Rows of a batch whose words are held as numbers at once.
+ROWS = 1024
 
 
 def distinct_words(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -22,6 +24,12 @@ def distinct_words(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), starts
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of ``ROWS`` rows."""
+    for first in range(0, batch.num_rows, ROWS):
+        yield batch.slice(first, ROWS)
+
+
 class Letters:
     """The code points of words in a row, each word between two marks if asked."""
 
