@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from socialspark.llm.neighbour_lists import BLOCK, blocks, expand, merge, usable, with_ids
+from socialspark.llm.neighbour_lists import BLOCK, blocks, expand, first_ids, merge, usable, with_ids
 from socialspark.session import cut
 
 K = 10
@@ -116,12 +116,18 @@ def _look_up(radius: int, k: int):
                     for i, (a, b) in enumerate(zip(turns[:-1], turns[1:], strict=True)):
                         if a == b:
                             continue
-                        # all codes at the distance of the k+1-st code: ties are settled by ids
-                        last = distance[min(a + k, b - 1)]
-                        b = a + int(np.searchsorted(distance[a:b], last, side="right"))
-                        ids = sorted((int(d), x) for d, j in zip(distance[a:b], c[a:b], strict=True) for x in row["block"][j]["ids"])
+                        take = k
+                        while True:
+                            # all codes at the distance of the k+1-st code: ties are settled by ids
+                            last = distance[min(a + take, b - 1)]
+                            stop = a + int(np.searchsorted(distance[a:b], last, side="right"))
+                            ids = sorted((int(d), x) for d, j in zip(distance[a:stop], c[a:stop], strict=True) for x in row["block"][j]["ids"])
+                            ids = first_ids(ids, k + 1)
+                            if len(ids) > k or stop == b:
+                                break
+                            take *= 4  # an id with several codes among the nearest
                         keys.append(asked[first + i])
-                        best.append([{"distance": d, "id": x} for d, x in ids[: k + 1]])
+                        best.append([{"distance": d, "id": x} for d, x in ids])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(best, _BEST)], ["code", "best"])
 
     return run

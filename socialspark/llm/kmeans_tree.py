@@ -16,8 +16,8 @@ tree and calibration queries are sent to all tasks. Leaves grow with the table
 beyond that and are searched in blocks of ``BLOCK`` rows. Equal vectors are one with their smallest ids.
 
 Defined results: vectors that are null, empty or zero or hold a null or non-finite component
-take no part, nor do rows without an id; ties go to the smaller id; only if the
-table has fewer candidates than ``k`` are there fewer results, all of these; a table of one leaf is
+take no part, nor do rows without an id; an id with several vectors is one candidate, at its nearest; ties go to the smaller id; only if the
+table has fewer different candidates than ``k`` are there fewer results, all of these; a table of one leaf is
 searched whole. Vectors must have equal length; other columns are ignored.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from socialspark.llm.neighbour_lists import BLOCK, blocks, expand, merge, usable, with_ids
+from socialspark.llm.neighbour_lists import BLOCK, blocks, expand, first_ids, merge, usable, with_ids
 from socialspark.session import cut
 
 K = 20
@@ -42,6 +42,8 @@ RECALL = 0.97
 BRANCHES = 16
 LEAF = 256
 QUERIES = 512
+#: Neighbours that a task holds before it drops all but the nearest of each query, or passes them on.
+HELD = 1 << 20
 
 
 def lengthen(vectors: np.ndarray, norm: float) -> np.ndarray:
@@ -146,19 +148,67 @@ def best_in_block(queries: np.ndarray, vectors: np.ndarray, ids: list[list[int]]
     rough = queries @ vectors.T
     out = []
     for query, row in zip(queries, rough, strict=True):
-        if len(row) > k + 1:
-            edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-            near = np.flatnonzero(row >= edge - 1e-9 * max(1.0, abs(edge)))
-        else:
-            near = np.arange(len(row))
-        exact = (vectors[near] * query).sum(axis=1)
-        found = sorted((-float(s), x) for s, j in zip(exact, near, strict=True) for x in ids[j])
-        out.append(found[: k + 1])
+        take = k + 1
+        while True:
+            if len(row) > take:
+                edge = np.partition(row, len(row) - take)[len(row) - take]
+                near = np.flatnonzero(row >= edge - 1e-9 * max(1.0, abs(edge)))
+            else:
+                near = np.arange(len(row))
+            exact = (vectors[near] * query).sum(axis=1)
+            found = first_ids(sorted((-float(s), x) for s, j in zip(exact, near, strict=True) for x in ids[j]), k + 1)
+            if len(found) > k or len(near) == len(row):
+                break
+            take *= 4  # an id with several vectors among the nearest
+        out.append(found)
     return out
 
 
-def _as_structs(lists: list[list[tuple[float, int]]]) -> pa.Array:
-    return pa.array([[{"far": s, "id": x} for s, x in row] for row in lists], _BEST)
+class Best:
+    """The ``k + 1`` nearest of every query that a task has met, with different ids."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.far, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, lists: list[list[tuple[float, int]]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = [pair for found in lists for pair in found]
+        far, ids = np.array([f for f, _ in flat], float), np.array([i for _, i in flat], np.int64)
+        self.parts.append((np.repeat(keys, sizes), far, ids))
+        self.waiting += len(flat)
+        if self.waiting >= HELD:
+            self.shrink()
+
+    def shrink(self) -> None:
+        keys, far, ids = (np.concatenate(x) for x in zip((self.keys, self.far, self.ids), *self.parts, strict=True))
+        for by_id in (True, False):  # an id once for each query, then the nearest
+            order = np.lexsort((far, ids, keys) if by_id else (ids, far, keys))
+            keys, far, ids = keys[order], far[order], ids[order]
+            if by_id:
+                first = np.ones(len(keys), bool)
+                first[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            else:
+                starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
+                sizes = np.diff(np.append(starts, len(keys)))
+                first = np.arange(len(keys)) - np.repeat(starts, sizes) <= self.k
+            keys, far, ids = keys[first], far[first], ids[first]
+        self.keys, self.far, self.ids = keys, far, ids
+        self.parts, self.waiting = [], 0
+
+    def flush(self) -> pa.RecordBatch:
+        self.shrink()
+        starts = np.flatnonzero(np.diff(self.keys, prepend=self.keys[:1] - 1)) if len(self.keys) else np.zeros(0, np.int64)
+        values = pa.StructArray.from_arrays([pa.array(self.far), pa.array(self.ids)], ["far", "id"])
+        lists = pa.ListArray.from_arrays(np.append(starts, len(self.keys)).astype(np.int32), values)
+        batch = pa.RecordBatch.from_arrays([pa.array(self.keys[starts]), lists], ["key", "best"])
+        self.clear()
+        return batch
 
 
 def kmeans_tree_search(
@@ -189,18 +239,19 @@ def kmeans_tree_search(
 
     picked = index.orderBy(F.xxhash64(F.element_at("ids", 1)), F.element_at("ids", 1)).limit(sample).select("vec").toPandas()
     points = lengthen(np.array(picked["vec"].tolist()), longest)
-    tree = spark.sparkContext.broadcast(grow(points, max(8, round(leaf * len(points) / size))))  # bounded by sample
+    grown = grow(points, max(8, round(leaf * len(points) / size)))
+    tree = spark.sparkContext.broadcast({"children": grown.children, "centres": grown.centres})  # bounded by sample
 
     def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaves = tree.value.leaf_of(lengthen(_matrix(batch.column("vec")), longest))
+                leaves = Tree(**tree.value).leaf_of(lengthen(_matrix(batch.column("vec")), longest))
                 yield pa.RecordBatch.from_arrays([pa.array(leaves), *batch.columns], ["leaf", *batch.schema.names])
 
     placed = cut(index.select("vec", "ids").mapInArrow(to_leaves, "leaf long, vec array<double>, ids array<bigint>"))
     if visits is None:
-        visits = _calibrated(distinct, placed, tree, k, recall, calibrate)
-    held = np.zeros(len(tree.value.children), np.int64)
+        visits = _calibrated(distinct, placed, grown, k, recall, calibrate)
+    held = np.zeros(len(grown.children), np.int64)
     for row in placed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():  # a row per leaf
         held[row["leaf"]] = row["n"]
 
@@ -209,15 +260,19 @@ def kmeans_tree_search(
             if not batch.num_rows:
                 continue
             points = np.column_stack([_matrix(batch.column("vec")), np.zeros(batch.num_rows)])
-            leaves = [tree.value.opened(p, visits, held, k + 1) for p in points]
+            leaves = [Tree(**tree.value).opened(p, visits, held, k + 1) for p in points]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], [*batch.schema.names, "leaves"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k)
         for batch in batches:
             for members, queries in zip(batch.column("block"), batch.column("asked"), strict=True):
                 members, queries = members.values, queries.values
-                best = best_in_block(_matrix(queries.field("vec")), _matrix(members.field("vec")), members.field("ids").to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([queries.field("key"), _as_structs(best)], ["key", "best"])
+                found = best_in_block(_matrix(queries.field("vec")), _matrix(members.field("vec")), members.field("ids").to_pylist(), k)
+                best.add(queries.field("key").to_numpy(), found)
+                if len(best.keys) > HELD:  # bounded, however many queries there are
+                    yield best.flush()
+        yield best.flush()
 
     routed = distinct.select("key", "vec").mapInArrow(to_bins, "key long, vec array<double>, leaves array<bigint>")
     routed = routed.select("key", "vec", F.explode("leaves").alias("leaf"))
@@ -230,7 +285,7 @@ def kmeans_tree_search(
     )
 
 
-def _calibrated(distinct: DataFrame, placed: DataFrame, tree, k: int, recall: float, calibrate: int) -> int:
+def _calibrated(distinct: DataFrame, placed: DataFrame, tree: Tree, k: int, recall: float, calibrate: int) -> int:
     """Leaves to visit for the target recall on a sample of the queries."""
     some = distinct.orderBy(F.xxhash64("key"), "key").limit(calibrate).select("key", "vec").toPandas()
     if not len(some):
@@ -254,7 +309,7 @@ def _calibrated(distinct: DataFrame, placed: DataFrame, tree, k: int, recall: fl
     truth = {r["key"]: [x["leaf"] for x in r["best"]] for r in merge(lists, "key", k).collect()}
     needed = []
     for key, query in zip(keys, asked, strict=True):
-        rank = {n: i + 1 for i, n in enumerate(tree.value.best_bins(np.append(query, 0.0)))}
+        rank = {n: i + 1 for i, n in enumerate(tree.best_bins(np.append(query, 0.0)))}
         needed += [rank[n] for n in truth[key]]
     needed.sort()
     visits = 1

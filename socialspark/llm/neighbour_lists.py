@@ -44,10 +44,22 @@ def blocks(rows: DataFrame, by: list[str], columns: list[str], spread: Column, s
 
 
 def merge(lists: DataFrame, key: str, k: int) -> DataFrame:
-    """The ``k + 1`` least of the lists ``best`` of structs, per key."""
-    return lists.groupBy(key).agg(
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best")
-    )
+    """The ``k + 1`` least of the lists ``best`` of structs with ``id``, per key; each id once, where it is least."""
+    each = lists.select(key, F.explode("best").alias("_near")).groupBy(key, F.col("_near.id").alias("_id")).agg(F.min("_near").alias("_near"))
+    merged = each.groupBy(key).agg(F.slice(F.array_sort(F.collect_list("_near")), 1, k + 1).alias("best"))
+    return merged
+
+
+def first_ids(pairs: list[tuple], n: int) -> list[tuple]:
+    """The first ``n`` of the sorted pairs ``(…, id)`` with different ids."""
+    out, seen = [], set()
+    for pair in pairs:
+        if pair[-1] not in seen:
+            seen.add(pair[-1])
+            out.append(pair)
+            if len(out) == n:
+                break
+    return out
 
 
 def expand(queries: DataFrame, found: DataFrame, key: str, k: int) -> DataFrame:

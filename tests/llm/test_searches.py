@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -92,3 +94,43 @@ def test_tree_search_fills_all_ranks_from_small_leaves(spark):
     assert found["query_id"].nunique() == len(rows)
     few = frame(spark, rows[-6:])
     assert kmeans_tree_search(few, few, k=20, leaf=2, visits=1).count() == 6 * 5
+
+
+def repeated(seed=6):
+    """Ids that many different vectors share, some of them nearest to a query."""
+    r = np.random.default_rng(seed)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(300, 8)))]
+    for i in (7, 40, 41, 60):
+        rows += [(i, [float(x) for x in np.array(rows[20][1]) + 0.01 * r.normal(size=8)]) for _ in range(90)]
+    return rows
+
+
+def nearest_ids(rows, k, far):
+    out = {}
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        found = set()
+        for own in (v for i, v in rows if i == q):
+            best: dict = {}
+            for i, v in rows:
+                if i != q:
+                    best[i] = min(best.get(i, math.inf), far(own, v))
+            found.add(tuple(sorted((d, i) for i, d in best.items())[:k]))
+        out[q] = found
+    return out
+
+
+def test_an_id_with_many_vectors_is_one_candidate(spark):
+    rows = repeated()
+    one = [(i, v) for i, v in rows if i % 20 or i in (0, 20)]  # queries with one vector
+    table = frame(spark, one)
+    found = kmeans_tree_search(table, table.where("vec_id % 20 = 0"), k=6, leaf=20, visits=1000).toPandas()
+    want = nearest_ids(one, 6, lambda a, b: -float(np.dot(a, b)))
+    for q, part in found.groupby("query_id"):
+        got = [i for _, i in sorted(zip(part["rank"], part["vec_id"]))]
+        assert got == [i for _, i in next(iter(want[q]))]
+    codes = sign_codes(table)
+    found = hamming_search(codes, codes.where("id % 20 = 0"), k=6, block=50).toPandas()
+    want = nearest_ids(one, 6, lambda a, b: int(((np.array(a) > 0) != (np.array(b) > 0)).sum()))
+    for q, part in found.groupby("query_id"):
+        got = [(d, i) for _, d, i in sorted(zip(part["rank"], part["distance"], part["vec_id"]))]
+        assert got == list(next(iter(want[q])))
