@@ -118,6 +118,45 @@ DAMAGED_SQL = f"""{REPOSTED_SQL}, damaged as (
 SEARCHES = ["la", "the", "der"]
 
 
+def lloyd_sql(passes: int, batch_rows: int | None) -> str:
+    """k-means from the first ten rows, pass by pass; with ``batch_rows`` by batches and learning rates."""
+    steps = ["""points as (
+      select vec_id, unnest(generate_series(1, len(embedding))) as i, unnest(embedding)::double as x,
+        ('0x' || substr(md5(vec_id || ':42'), 1, 8))::bigint as h from embeddings),
+    size as (select count(*) as n from embeddings),
+    c0 as (
+      select dense_rank() over (order by vec_id) - 1 as c, i, x, 0.0::double as given from points
+      where vec_id in (select vec_id from embeddings order by vec_id limit 10))"""]
+    for t in range(passes + 1):
+        steps.append(f"""far{t} as (select p.vec_id, c.c, sum((p.x - c.x) * (p.x - c.x)) as d from points p join c{t} c using (i) group by 1, 2),
+    near{t} as (select vec_id, arg_min(c, (d, c)) as c, min(d) as d from far{t} group by 1)""")
+        if t == passes:
+            break
+        if batch_rows is None:
+            steps.append(f"""m{t} as (select n.c, p.i, avg(p.x) as x from near{t} n join points p using (vec_id) group by 1, 2),
+    c{t + 1} as (select c.c, c.i, coalesce(m.x, c.x) as x, 0.0::double as given from c{t} c left join m{t} m using (c, i))""")
+        else:
+            batches = f"greatest(1, (select (n + {batch_rows - 1}) // {batch_rows} from size))"
+            turn = f"{t} % least({batches}, {passes})"
+            steps.append(f"""m{t} as (
+      select n.c, p.i, sum(p.x) as s, count(*) as k from near{t} n join points p using (vec_id)
+      where p.h % {batches} = {turn} group by 1, 2),
+    c{t + 1} as (
+      select c.c, c.i, c.x + (coalesce(m.s, 0) - coalesce(m.k, 0) * c.x) / greatest(c.given + coalesce(m.k, 0), 1) as x,
+        c.given + coalesce(m.k, 0) as given from c{t} c left join m{t} m using (c, i))""")
+    return f"""with {", ".join(steps)},
+    k as (select c, count(*) as n from near{passes} group by 1),
+    apart as (
+      select a.vec_id, b.c, sum((p.x - q.x) * (p.x - q.x)) as s from near{passes} a join points p on p.vec_id = a.vec_id
+      join points q on q.i = p.i join near{passes} b on b.vec_id = q.vec_id group by 1, 2),
+    own as (select a.vec_id, s.s / greatest(k.n - 1, 1) as inside, k.n from near{passes} a join apart s on s.vec_id = a.vec_id and s.c = a.c join k on k.c = a.c),
+    other as (select a.vec_id, min(s.s / k.n) as outside from near{passes} a join apart s on s.vec_id = a.vec_id and s.c <> a.c join k on k.c = s.c group by 1),
+    score as (select avg(case when n = 1 or greatest(inside, outside) = 0 then 0 else (outside - inside) / greatest(inside, outside) end) as silhouette
+      from own join other using (vec_id))
+    select vec_id, cast(c as int) as cluster, round((select silhouette from score), 6) as silhouette,
+      round((select sum(d) from near{passes}), 4) as inertia from near{passes}"""
+
+
 def raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as nested search hits, once per matching search."""
     turns = table(spark, sf_dir, "conversations")
@@ -356,6 +395,21 @@ def q_kmeans_clusters(spark, d):
     )
 
 
+def fitted(spark, d, **how):
+    """Labels of a k-means fit that begins with the first ten rows, the inertia of their means and the mean silhouette."""
+    vectors = table(spark, d, "embeddings")
+    initial = [r["embedding"] for r in vectors.orderBy("vec_id").limit(10).collect()]
+    fits = clusters.fit_kmeans(vectors, [10], key="vec_id", initial=initial, **how)
+    labelled = clusters.kmeans_clusters(vectors, 10, key="vec_id", initial=fits[10][0], max_iter=0)
+    scored = clusters.silhouette(labelled, ["cluster"], "vec_id", "embedding")
+    return labelled.select("vec_id", "cluster").crossJoin(  # one row
+        F.broadcast(scored.select(F.round("silhouette", 6).alias("silhouette")))
+    ).withColumn("inertia", F.round(F.lit(fits[10][1]), 4))
+
+
+FULL_PASSES, BATCH_PASSES, BATCH_ROWS = 12, 8, 64
+
+
 def q_k_sweep(spark, d):
     """Each k, whether inertia falls from k to k, and whether the silhouette is in its range."""
     sweep = clusters.k_sweep(table(spark, d, "embeddings"), key="vec_id")
@@ -470,6 +524,10 @@ def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "verify_embeddings": q_verify_embeddings,
         "kmeans_clusters": q_kmeans_clusters,
         "k_sweep": q_k_sweep,
+        "kmeans_full_batch": lambda s, d: fitted(s, d, max_iter=FULL_PASSES),
+        "kmeans_mini_batch": lambda s, d: fitted(
+            s, d, method="mini-batch", max_iter=BATCH_PASSES, batch_size=BATCH_ROWS, patience=None
+        ),
         "silhouette": q_silhouette,
         "cluster_members": lambda s, d: clusters.cluster_members(labelled_texts(s, d)),
         "cluster_member_table": lambda s, d: clusters.cluster_member_table(
@@ -767,6 +825,8 @@ def library_sql() -> dict[str, str]:
             select vec_id, rank, neighbour, round(distance, 6) as distance from pairs where rank <= 3""",
         "kmeans_clusters": "select vec_id, true as at_nearest_mean, true as in_range from embeddings",
         "k_sweep": "select cast(k as int) as k, true as falls, true as in_range from range(2, 31) r(k)",
+        "kmeans_full_batch": lloyd_sql(FULL_PASSES, None),
+        "kmeans_mini_batch": lloyd_sql(BATCH_PASSES, BATCH_ROWS),
         # Prim: the distances of all rows to the tree, and the nearest joins it
         "mst": f"""with recursive {DISTANCES_SQL},
             core as (select vec_id, distance as core from pairs where rank = 3),

@@ -6,8 +6,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,27 +26,150 @@ from socialspark.operators.embed import usable
 from socialspark.operators.ranking import number_within, top_per_key
 from socialspark.session import cut
 
-#: Vectors that starts are seeded from, at most; every iteration passes over all rows.
-SEED_SAMPLE = 5000
 N_INIT = 20
+#: Rows of a mini-batch, and passes without a better mean cost after which a start has settled.
+BATCH_SIZE = 2048
+PATIENCE = 10
+#: Rounds of seeding.
+SEED_ROUNDS = 3
+_ROWS = 4096
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def _plus_plus(points: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
-    """Starting centres, each far from those before with high probability."""
-    chosen = [int(random.integers(len(points)))]
+def _points(column: pa.Array) -> Iterator[np.ndarray]:
+    """Vectors of an Arrow column as matrices of a few thousand rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    for first in range(0, len(flat), _ROWS):
+        yield flat[first : first + _ROWS]
+
+
+class _Centres:
+    """The centres of several models, compared with points in one product."""
+
+    def __init__(self, models: Sequence[np.ndarray]) -> None:
+        self.sizes = [len(m) for m in models]
+        self.all = np.concatenate(models)
+        self.square = (self.all * self.all).sum(axis=1)
+
+    def gaps(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each model the nearest centre of every point, and the squared distance to it."""
+        gap = self.square - 2.0 * x @ self.all.T
+        square = (x * x).sum(axis=1)
+        at, rows = 0, np.arange(len(x))
+        for size in self.sizes:
+            own = gap[:, at : at + size]
+            near = own.argmin(axis=1)
+            yield near, np.maximum(square + own[rows, near], 0.0)
+            at += size
+
+
+def _sums(rows: DataFrame, models: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """One pass: for each model the rows, sums and costs of its centres, which is all that reaches the driver."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast([np.asarray(m) for m in models])  # bounded by starts and centres
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = _Centres(sent.value)
+        total = np.zeros(len(centres.all))
+        cost, sums = np.zeros(len(centres.all)), np.zeros_like(centres.all)
+        for batch in batches:
+            for x in _points(batch.column(0)):
+                at = 0
+                for size, (near, far) in zip(centres.sizes, centres.gaps(x), strict=True):
+                    counts = np.bincount(near, minlength=size)
+                    used = np.flatnonzero(counts)
+                    order = np.argsort(near, kind="stable")
+                    sums[at + used] += np.add.reduceat(x[order], (np.cumsum(counts) - counts)[used])
+                    total[at : at + size] += counts
+                    cost[at : at + size] += np.bincount(near, far, size)
+                    at += size
+        some = np.flatnonzero(total)
+        vectors = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * sums.shape[1], pa.array(sums[some].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some]), vectors, pa.array(cost[some])], ["at", "n", "s", "cost"])
+
+    found = (
+        rows.select("v").mapInArrow(add_up, "at long, n double, s array<double>, cost double")
+        .groupBy("at")
+        .agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"), F.sum("cost").alias("cost"))
+        .toArrow()  # a row per centre
+    )
+    sent.unpersist()
+    every = sum(len(m) for m in models)
+    n, cost, sums = np.zeros(every), np.zeros(every), np.zeros((every, len(models[0][0])))
+    if len(found):
+        at = found["at"].to_numpy()
+        n[at], cost[at] = found["n"].to_numpy(), found["cost"].to_numpy()
+        sums[at] = found["s"].combine_chunks().flatten().to_numpy().reshape(len(at), -1)
+    cuts = np.cumsum([len(m) for m in models])[:-1]
+    return list(zip(np.split(n, cuts), np.split(sums, cuts), np.split(cost, cuts), strict=True))
+
+
+def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """``k`` of the weighted points, each far from those before with high probability."""
+    chosen = [int(random.choice(len(points), p=weights / weights.sum()))]
     far = ((points - points[chosen[0]]) ** 2).sum(axis=1)
     while len(chosen) < k:
-        total = far.sum()
-        pick = int(random.choice(len(points), p=far / total)) if total > 0 else int(random.integers(len(points)))
+        chance = far * weights
+        total = chance.sum()
+        pick = int(random.choice(len(points), p=chance / total)) if total > 0 else int(random.integers(len(points)))
         chosen.append(pick)
         far = np.minimum(far, ((points - points[pick]) ** 2).sum(axis=1))
     return points[chosen]
 
 
+def seed_centres(rows: DataFrame, ks: Sequence[int], key: str, seed: int, n_init: int) -> dict[tuple[int, int], np.ndarray]:
+    """Starting centres ``{(k, start): centres}`` by k-means|| over all rows ``(key, v)``.
+
+    Every start begins with one row and in each of ``SEED_ROUNDS`` rounds draws about ``2 * max(ks)`` more, with
+    probabilities in proportion to the squared distance from those drawn before. All starts draw in the same passes. A
+    last pass weighs the rows drawn by the rows nearest to them, and tasks reduce them to ``k`` for each ``k`` and start.
+    """
+    spark, most = rows.sparkSession, 2 * max(ks)
+    unit = lambda *with_: F.pmod(F.xxhash64(F.col(key), F.lit(seed), *map(F.lit, with_)), F.lit(1 << 30))
+    first = rows.agg(*[F.min_by("v", F.struct(unit(start), F.col(key))).alias(f"s{start}") for start in range(n_init)]).first()
+    drawn = [np.array([first[f"s{start}"]]) for start in range(n_init)]
+    for turn in range(SEED_ROUNDS):
+        costs = np.array([cost.sum() for _, _, cost in _sums(rows, drawn)])
+        chance = np.divide(most, costs, out=np.zeros(n_init), where=costs > 0)
+        sent = spark.sparkContext.broadcast((drawn, chance))  # bounded by starts, rounds and ks
+
+        def draw(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            models, chance = sent.value
+            centres = _Centres(models)
+            for batch in batches:
+                units = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(models)) / float(1 << 30)
+                for at, x in enumerate(_points(batch.column(0))):
+                    own = units[at * _ROWS : at * _ROWS + len(x)]
+                    for start, (_, far) in enumerate(centres.gaps(x)):
+                        some = x[own[:, start] < far * chance[start]]
+                        if len(some):
+                            vectors = pa.array(list(some), pa.list_(pa.float64()))
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), start)), vectors], ["start", "v"])
+
+        units = F.array(*[unit(start, turn + 1) for start in range(n_init)])
+        more = rows.select("v", units.alias("units")).mapInArrow(draw, "start long, v array<double>").collect()  # about n_init * most
+        for start in range(n_init):
+            own = sorted(r["v"] for r in more if r["start"] == start)
+            drawn[start] = np.concatenate([drawn[start], own]) if own else drawn[start]
+    weights = [n for n, _, _ in _sums(rows, drawn)]
+    sent = spark.sparkContext.broadcast((drawn, weights))
+
+    def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn, weights = sent.value
+        for frame in frames:
+            for k, start in zip(frame["k"], frame["start"], strict=True):
+                random = np.random.Generator(np.random.PCG64([seed, k, start]))
+                centres = _plus_plus(drawn[start], weights[start], k, random)
+                yield pd.DataFrame({"k": [k], "start": [start], "centres": [centres.ravel()]})
+
+    todo = spark.createDataFrame([(k, start) for k in ks for start in range(n_init)], "k long, start long").repartition("k", "start")
+    found = todo.mapInPandas(reduce, "k long, start long, centres array<double>").collect()
+    return {(r["k"], r["start"]): np.array(r["centres"]).reshape(r["k"], -1) for r in found}
+
+
 def fit_kmeans(
     vectors: DataFrame,
     ks: Sequence[int],
@@ -55,76 +179,103 @@ def fit_kmeans(
     max_iter: int = 200,
     n_init: int = N_INIT,
     tolerance: float = 1e-10,
+    method: str = "full",
+    batch_size: int = BATCH_SIZE,
+    patience: int | None = PATIENCE,
+    initial: np.ndarray | None = None,
 ) -> dict[int, tuple[np.ndarray, float]]:
     """``{k: (centres, inertia)}``: for each ``k`` the best of ``n_init`` k-means fits.
 
     All fits advance together: one pass over the vectors per iteration serves
     every start of every ``k`` that has not settled. A task adds up its
     own rows per centre; what reaches the driver is a sum per centre.
-    Starts are seeded by k-means++ on at most ``SEED_SAMPLE`` rows.
+    Starts are seeded over all rows, see ``seed_centres``; ``initial`` gives the centres of a single start instead.
+
+    ``method="mini-batch"`` lets a pass read one batch of about ``batch_size`` rows only, which a hash of the key
+    deals out, the same on every run. A centre moves towards the mean of its rows of the batch by their share in all rows it has
+    been given so far. A start has settled when the smoothed cost of its batches has not fallen for ``patience``
+    passes (None: after ``max_iter`` passes). The costs that choose the best start are those of all rows.
     """
+    if method not in ("full", "mini-batch"):
+        raise ValueError(f"unknown method {method}")
     rows = usable(vectors, column).select(key, F.col(column).cast("array<double>").alias("v"))
-    sample = hashed_sample(rows, key, SEED_SAMPLE, seed).select("v").toPandas()
-    if sample.empty:
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # few files: every pass would leave cores idle
+        rows = rows.repartition(cores, key)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    n = rows.count()
+    if not n:
         return {k: (np.zeros((0, 0)), 0.0) for k in ks}
-    points = _matrix(sample["v"])
-    centres = {
-        (k, start): _plus_plus(points, k, np.random.Generator(np.random.PCG64([seed, k, start])))
-        for k in ks
-        for start in range(n_init)
-    }
+    starts = 1 if initial is not None else n_init
+    centres = {(ks[0], 0): np.asarray(initial, float)} if initial is not None else seed_centres(rows, ks, key, seed, n_init)
+    if method == "full":
+        costs = _full_batch(rows, centres, max_iter, tolerance)
+    else:
+        _mini_batch(rows, centres, n, key, seed, max_iter, batch_size, patience)
+        every = list(centres)
+        costs = {m: float(cost.sum()) for m, (_, _, cost) in zip(every, _sums(rows, [centres[m] for m in every]), strict=True)}
+    rows.unpersist()
+    best = {k: min(range(starts), key=lambda start: (costs[k, start], start)) for k in ks}
+    return {k: (centres[k, start], max(0.0, costs[k, start])) for k, start in best.items()}
+
+
+def _full_batch(rows: DataFrame, centres: dict[tuple[int, int], np.ndarray], max_iter: int, tolerance: float) -> dict[tuple[int, int], float]:
+    """Move the centres to the means of their rows until they rest; the cost of each model."""
     costs: dict[tuple[int, int], float] = {}
-    spark = vectors.sparkSession
-    kept = rows.select("v").persist(StorageLevel.MEMORY_AND_DISK)
     active = list(centres)
     for turn in range(max_iter + 1):
-        sent = spark.sparkContext.broadcast([centres[m] for m in active])
-
-        def add_up(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            models = sent.value
-            sums = [np.zeros_like(c) for c in models]
-            counts = [np.zeros(len(c)) for c in models]
-            cost = [np.zeros(len(c)) for c in models]
-            for frame in frames:
-                for first in range(0, len(frame), 2048):
-                    x = _matrix(frame["v"].iloc[first : first + 2048])
-                    square = (x * x).sum(axis=1)
-                    for i, c in enumerate(models):
-                        gap = (c * c).sum(axis=1) - 2.0 * x @ c.T
-                        near = gap.argmin(axis=1)
-                        member = np.eye(len(c))[near]
-                        counts[i] += member.sum(axis=0)
-                        sums[i] += member.T @ x
-                        cost[i] += np.bincount(near, square + gap[np.arange(len(x)), near], len(c))
-            total, vector = np.concatenate(counts), np.concatenate(sums)
-            some = np.flatnonzero(total)
-            if len(some):
-                yield pd.DataFrame({"at": some, "n": total[some], "s": list(vector[some]), "cost": np.concatenate(cost)[some]})
-
-        found = (
-            kept.mapInPandas(add_up, "at long, n double, s array<double>, cost double")
-            .groupBy("at")
-            .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("cost").alias("cost"))
-            .collect()  # a row per centre
-        )
-        by_place = {row["at"]: row for row in found}
-        sent.unpersist()
-        place, going = 0, []
-        for model in active:
+        going = []
+        for model, (n, sums, cost) in zip(active, _sums(rows, [centres[m] for m in active]), strict=True):
             old = centres[model]
-            own = [by_place.get(place + i) for i in range(len(old))]
-            place += len(old)
-            costs[model] = sum(row["cost"] for row in own if row is not None)
-            new = np.array([c if row is None else row["s"].toArray() / row["n"] for c, row in zip(old, own, strict=True)])
+            costs[model] = float(cost.sum())
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], old)
             if ((new - old) ** 2).sum(axis=1).max() > tolerance and turn < max_iter:
                 going.append(model)
                 centres[model] = new
         active = going
         if not active:
             break
-    kept.unpersist()
-    best = {k: min(range(n_init), key=lambda start, k=k: (costs[k, start], start)) for k in ks}
-    return {k: (centres[k, start], max(0.0, costs[k, start])) for k, start in best.items()}
+    return costs
+
+
+def batch_number(key: str, seed: int, batches: int) -> Column:
+    """The mini-batch of a row, by a hash of its key."""
+    hashed = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long"), F.lit(batches))
+
+
+def _mini_batch(
+    rows: DataFrame, centres: dict[tuple[int, int], np.ndarray], n: int, key: str, seed: int, max_iter: int, batch_size: int,
+    patience: int | None,
+) -> None:
+    """Move the centres by one batch after the other; each pass reads the folder of its batch."""
+    batches = max(1, -(-n // batch_size))
+    used = min(batches, max_iter)
+    dealt = rows.select("v", batch_number(key, seed, batches).alias("batch")).where(F.col("batch") < used)
+    dealt = cut(dealt, by=["batch"])
+    alpha = min(1.0, 2.0 * batch_size / (n + 1))
+    given = {m: np.zeros(len(c)) for m, c in centres.items()}
+    smooth: dict[tuple[int, int], float] = {}
+    least, idle = dict.fromkeys(centres, np.inf), dict.fromkeys(centres, 0)
+    active = list(centres)
+    for turn in range(max_iter):
+        found = _sums(dealt.where(F.col("batch") == turn % used).select("v"), [centres[m] for m in active])
+        going = []
+        for model, (count, sums, cost) in zip(active, found, strict=True):
+            given[model] += count
+            step = (sums - count[:, None] * centres[model]) / np.maximum(given[model], 1)[:, None]
+            centres[model] = centres[model] + step
+            if patience is not None and count.sum():
+                mean = cost.sum() / count.sum()
+                smooth[model] = mean if model not in smooth else (1 - alpha) * smooth[model] + alpha * mean
+                idle[model] = 0 if smooth[model] < least[model] else idle[model] + 1
+                least[model] = min(least[model], smooth[model])
+                if idle[model] >= patience:
+                    continue
+            going.append(model)
+        active = going
+        if not active:
+            break
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -140,12 +291,18 @@ def kmeans_clusters(
     max_iter: int = 200,
     n_init: int = N_INIT,
     key: str = POST_ID,
+    method: str = "full",
+    batch_size: int = BATCH_SIZE,
+    patience: int | None = PATIENCE,
+    initial: np.ndarray | None = None,
 ) -> DataFrame:
-    """Add an integer ``cluster``: the best of ``n_init`` k-means fits by cost.
+    """Add an integer ``cluster``: the best of ``n_init`` k-means fits by cost, see ``fit_kmeans``.
 
     Rows without a usable vector are left out.
     """
-    centres, _ = fit_kmeans(vectors, [k], column, key, seed, max_iter, n_init)[k]
+    centres, _ = fit_kmeans(
+        vectors, [k], column, key, seed, max_iter, n_init, method=method, batch_size=batch_size, patience=patience, initial=initial
+    )[k]
 
     @F.pandas_udf("int")
     def nearest(column: pd.Series) -> pd.Series:
@@ -313,10 +470,12 @@ def k_sweep(
     max_iter: int = 200,
     n_init: int = N_INIT,
     sample_size: int | None = None,
+    method: str = "full",
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """``(k, inertia, silhouette)`` for every ``k``, see ``fit_kmeans`` and ``silhouette``."""
     ks = list(range(k_min, k_max + 1))
-    fits = fit_kmeans(vectors, ks, column, key, seed, max_iter, n_init)
+    fits = fit_kmeans(vectors, ks, column, key, seed, max_iter, n_init, method=method, batch_size=batch_size)
     rows = usable(vectors, column).select(key, F.col(column).cast("array<double>").alias(column))
     names = [f"k{k}" for k in ks]
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,17 +62,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder, read it back.
 
     This ends the lineage like ``checkpoint()`` does and likewise survives the
     loss of executors. Unlike it, the new plan starts without the constraints
     of the old one, which in loops grow from round to round until planning
     takes longer than the work, and readers fetch only the columns they use.
-    Tables of one application share a folder named after it.
+    Tables of one application share a folder named after it. ``by`` names partition columns,
+    which come last; a filter on them reads only the folders it needs.
     """
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/socialspark-{spark.sparkContext.applicationId}"
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not by:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    df.repartition(*by).write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.select(*[c for c in df.columns if c not in by], *by).schema).parquet(path)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from socialspark.constants import KEYWORD_GROUPS, TAG_KEYWORDS, TS_KEYWORDS, X_COMMON_COLUMNS, X_KEYWORDS, X_SCHEMAS
+from socialspark.constants import KEYWORD_GROUPS, POST_ID, TAG_KEYWORDS, TS_KEYWORDS, X_COMMON_COLUMNS, X_KEYWORDS, X_SCHEMAS
 from socialspark.operators import clusters, embed, keywords, neighbours, schema_drift, word_counts
 from socialspark.sources.readers import read_embeddings
 from socialspark.sources.writers import write_embeddings
@@ -207,3 +207,45 @@ def test_k_sweep(spark, vectors):
     assert [r.k for r in rows] == [2, 3, 4]
     assert rows[0].inertia > rows[1].inertia > rows[2].inertia
     assert max(rows, key=lambda r: r.silhouette).k == 3
+
+
+def test_mini_batches_come_near_the_full_fit(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    full = clusters.fit_kmeans(vectors, [5, 10], key="vec_id", n_init=5)
+    small = clusters.fit_kmeans(vectors, [5, 10], key="vec_id", n_init=5, method="mini-batch", batch_size=256)
+    for k in (5, 10):
+        assert full[k][1] <= small[k][1] * (1 + 1e-9) or small[k][1] < full[k][1] * 1.05
+        assert small[k][1] < 1.05 * full[k][1]
+    again = clusters.fit_kmeans(vectors.repartition(7), [5], key="vec_id", n_init=5, method="mini-batch", batch_size=256)
+    assert again[5][1] == pytest.approx(clusters.fit_kmeans(vectors, [5], key="vec_id", n_init=5, method="mini-batch", batch_size=256)[5][1], rel=1e-6)
+
+
+def test_a_pass_reads_its_batch_only(spark, monkeypatch):
+    read = []
+    real = clusters._sums
+
+    def noted(rows, models):
+        read.append(rows.count())
+        return real(rows, models)
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    monkeypatch.setattr(clusters, "_sums", noted)
+    clusters.fit_kmeans(vectors, [3], key="vec_id", n_init=2, method="mini-batch", batch_size=200, max_iter=10, patience=None)
+    passes = read[clusters.SEED_ROUNDS + 1 : -1]
+    assert len(passes) == 10 and max(passes) < 300 and sum(passes) == 2000 and read[-1] == 2000
+
+
+def test_seeds_come_from_all_rows(spark):
+    """A group of few rows far away is drawn, however rare it is."""
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(20_000)] + [(20_000 + i, [900.0 + i, 0.0, 0.0, 0.0]) for i in range(2)]
+    table = spark.createDataFrame(rows, f"{POST_ID} long, embedding array<double>").repartition(4)
+    centres = clusters.seed_centres(table.select(POST_ID, F.col("embedding").alias("v")), [2, 3], POST_ID, 1, 4)
+    assert set(centres) == {(k, s) for k in (2, 3) for s in range(4)}
+    assert all(c[:, 0].max() > 800 for c in centres.values())
+
+
+def test_unknown_methods_and_empty_tables(spark, vectors):
+    with pytest.raises(ValueError, match="unknown method"):
+        clusters.fit_kmeans(vectors, [2], method="other")
+    assert clusters.fit_kmeans(vectors.limit(0), [2], method="mini-batch")[2][1] == 0.0
