@@ -167,3 +167,59 @@ def test_cores_do_not_depend_on_partitioning_or_block_size(spark, points):
         for p, b in ((1, 1024), (7, 10))
     ]
     assert runs[0] == runs[1]
+
+
+def _chosen_by_hand(rows):
+    """The same selection, one cluster after the other from the leaves up."""
+    children, stability, parent = {}, {}, {}
+    for cluster, up, value in rows:
+        children.setdefault(up, []).append(cluster)
+        stability[cluster], parent[cluster] = value, up
+    order, stack = [], list(children[None])
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += children.get(node, [])
+    value, picked = {}, set()
+    for node in reversed(order):
+        below = sum(value[c] for c in children.get(node, []))
+        value[node] = max(stability[node], below)
+        if parent[node] is not None and below <= stability[node]:
+            picked.add(node)
+    chosen = {}
+    for node in order:
+        above = chosen.get(parent[node])
+        chosen[node] = above if above is not None else node if node in picked else None
+    return chosen
+
+
+def _tree(seed, n, deep):
+    """``n`` splits of a random or of the newest cluster; whole stabilities, so that ties are exact."""
+    rng = np.random.default_rng(seed)
+    rows, leaves = [(0, None, 0.0)], [0]
+    for _ in range(n):
+        at = len(leaves) - 1 if deep else int(rng.integers(len(leaves)))
+        up = leaves.pop(at)
+        for _ in range(2):
+            leaves.append(len(rows))
+            rows.append((len(rows), up, float(rng.integers(1, 6 if deep else 12))))
+    return rows
+
+
+@pytest.mark.parametrize("seed, n, deep", [(1, 1, False), (2, 60, False), (3, 300, False), (4, 200, True)])
+def test_selected_clusters_equal_the_level_by_level_ones(spark, seed, n, deep):
+    rows = _tree(seed, n, deep)
+    table = spark.createDataFrame(rows, "cluster long, parent long, stability double")
+    got = {r.cluster: r.chosen for r in density._select_clusters(table).collect()}
+    assert got == _chosen_by_hand(rows)
+
+
+def test_a_chain_of_ten_thousand_clusters_takes_few_rounds(spark, monkeypatch):
+    rows = _tree(5, 5000, deep=True)
+    rounds = []
+    real = density.cut
+    monkeypatch.setattr(density, "cut", lambda df: rounds.append(1) or real(df))
+    table = spark.createDataFrame(rows, "cluster long, parent long, stability double")
+    got = {r.cluster: r.chosen for r in density._select_clusters(table).collect()}
+    assert len(rows) == 10_001 and got == _chosen_by_hand(rows)
+    assert len(rounds) < 40
