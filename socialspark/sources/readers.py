@@ -11,6 +11,7 @@ from socialspark.constants import CLEAN_TEXT, CREATED_AT, POST_ID
 from socialspark.functions.predicates import all_present
 from socialspark.functions.timeutil import in_month_range, next_month, parse_ts
 from socialspark.schemas import RAW_POST
+from socialspark.sources.heads import read_footers, read_headers  # noqa: F401
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
@@ -63,41 +64,6 @@ def read_matching(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return read_parquet(spark, *paths).select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
-def read_headers(spark: SparkSession, folder: str, glob: str = "*.csv.gz") -> DataFrame:
-    """``(file_name, columns, error)``: the header of every delimited file.
-
-    A compressed file is one split, so its lines arrive in order and the line
-    with the least row id is the header. Lines are reduced to one candidate
-    per file before the exchange. A file that cannot be read, or is empty,
-    is kept with null ``columns`` and an ``error``.
-    """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
-    )
-    lines = (
-        spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").text(folder)
-        .select("value", F.col("_metadata.file_name").alias("file_name"))
-        .withColumn("_row", F.monotonically_increasing_id())
-    )
-    first = lines.groupBy("file_name").agg(F.min_by("value", "_row").alias("header"))
-    # One CSV record: a cell is quoted (with doubled quotes) or has no comma.
-    led = F.concat(F.lit(","), "header")
-    cells = F.regexp_extract_all(led, F.lit(r',("(?:[^"]|"")*"|[^,]*)'), 1)
-    columns = F.transform(
-        cells,
-        lambda cell: F.replace(F.regexp_replace(cell, '^"|"$', ""), F.lit('""'), F.lit('"')),
-    )
-    return (
-        files.join(first, "file_name", "left")
-        .select(
-            "file_name",
-            columns.alias("columns"),
-            F.when(F.col("header").isNull(), F.lit("unreadable or empty")).alias("error"),
-        )
-    )
-
-
 def read_raw_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Landed search pages, one JSON object per hit, with the declared schema."""
     return spark.read.schema(RAW_POST).json(folder)
