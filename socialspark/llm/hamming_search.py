@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +48,6 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return usable(vectors, id_col, vector_col).mapInArrow(run, "id long, code binary")
 
 
-@cache
 def masks(bits: int, radius: int) -> np.ndarray:
     """All values of ``bits`` bits with exactly ``radius`` set."""
     values = np.arange(1 << bits, dtype=np.uint32)
@@ -67,15 +65,16 @@ def _as_matrix(codes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
 
 
-def candidates(queries: np.ndarray, values: np.ndarray, head: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs ``(query, code)`` whose segment values differ in exactly ``radius`` bits.
+def candidates(
+    queries: np.ndarray, values: np.ndarray, head: int, radius: int, probes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``(query, code)`` whose segment values differ in exactly ``radius`` bits, by ``probes``, their ``masks``.
 
     ``values`` all begin with the bits ``head``. Values are looked up one by
     one, or all compared if there are fewer of them than lookups.
     """
     order = np.argsort(values, kind="stable")
     present, starts, counts = np.unique(values[order], return_index=True, return_counts=True)
-    probes = masks(SEGMENT, radius)
     if len(probes) > len(present):
         q, at = np.nonzero(np.bitwise_count(queries[:, None] ^ present[None, :]) == radius)
     else:
@@ -97,6 +96,7 @@ _BEST = pa.list_(pa.struct([("distance", pa.int32()), ("id", pa.int64())]))
 
 def _look_up(radius: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = masks(SEGMENT, radius)  # once a task
         for batch in batches:
             for row in batch.select(["segment", "head", "block", "asked"]).to_pylist():
                 codes = _as_matrix([x["code"] for x in row["block"]])
@@ -106,7 +106,7 @@ def _look_up(radius: int, k: int):
                 values, wanted = segment_values(codes)[:, segment], segment_values(matrix)[:, segment]
                 keys, best = [], []
                 for first in range(0, len(asked), 64):
-                    q, c = candidates(wanted[first : first + 64], values, row["head"], radius)
+                    q, c = candidates(wanted[first : first + 64], values, row["head"], radius, probes)
                     distance = np.bitwise_count(matrix[first + q] ^ codes[c]).sum(axis=1, dtype=np.int32)
                     near = distance <= limit[first + q]
                     q, c, distance = q[near], c[near], distance[near]
