@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,8 @@ def embed_texts(
     normalize: bool = True,
     on_error: str = "nan",
     keep: Sequence[str] = (),
+    profile: ResourceProfile | None = None,
+    by_length: bool = False,
 ) -> DataFrame:
     """``(key, *keep, embedding array<float>, embed_ok)``.
 
@@ -59,6 +62,10 @@ def embed_texts(
     batches and are encoded ``batch_size`` at a time. With ``on_error="nan"``
     a failing batch becomes NaN vectors flagged ``embed_ok = false`` and the
     run goes on; with ``"raise"`` it fails the task.
+
+    With ``profile`` the encoding stage asks for these resources, such as a GPU a task, and no other stage
+    does. With ``by_length`` the texts of an Arrow batch are encoded shortest first, so
+    that the texts of a chunk are about equally long and an encoder that pads wastes little.
     """
     if on_error not in ("nan", "raise"):
         raise ValueError(f"unknown on_error {on_error!r}")
@@ -83,6 +90,8 @@ def embed_texts(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder(dimensions)
         for frame in frames:
+            if by_length:
+                frame = frame.sort_values(text_col, key=lambda texts: texts.str.len(), kind="stable")
             for start in range(0, len(frame), batch_size):
                 chunk = frame.iloc[start : start + batch_size]
                 vectors, ok = encode_chunk(encoder, chunk[text_col].tolist())
@@ -91,7 +100,7 @@ def embed_texts(
     texts = posts.select(*columns, text_col).where(F.col(text_col).isNotNull())
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*columns).schema]
     schema = ", ".join([*fields, "embedding array<float>", "embed_ok boolean"])
-    return texts.mapInPandas(run, schema)
+    return texts.mapInPandas(run, schema, profile=profile)
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:

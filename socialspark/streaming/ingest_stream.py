@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from socialspark.constants import POST_FIELDS
 from socialspark.functions.timeutil import parse_ts
 from socialspark.operators.align import new_rows_only
-from socialspark.plans.ingest import first_seen_posts, flat_post_columns
+from socialspark.plans.ingest import SEEN_ORDER, first_seen_posts, flat_post_columns
 from socialspark.schemas import RAW_POST
 
 
@@ -79,3 +81,80 @@ def _stored(spark: SparkSession, table: str, like: DataFrame) -> DataFrame | Non
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _seen_once(order: list[str], fields: list[str], keep_for_ms: int | None) -> StatefulProcessor:
+    class SeenOnce(StatefulProcessor):
+        """The first row of a key that has not been seen, none afterwards. The state is a flag per key."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self._seen = handle.getValueState("seen", "seen boolean", keep_for_ms)
+
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            if self._seen.exists():
+                return
+            self._seen.update((True,))
+            # one row is held at a time; nulls go first, as in a sort
+            first = min(rows, key=lambda r: [(r[c] is not None, r[c]) for c in order])
+            yield Row(**{f: first[f] for f in fields})
+
+        def close(self) -> None:
+            pass
+
+    return SeenOnce()
+
+
+def posts_seen_once(raw: DataFrame, keep_for_ms: int | None = None) -> DataFrame:
+    """A stream of flat posts, each uri once, by state that Spark keeps in its state store.
+
+    A micro-batch reads and writes the flags of its own uris only, whatever has been stored before; repeats within a
+    batch give the first keyword, page and place. Without ``keep_for_ms`` flags are kept for ever, so no
+    uri comes twice. With it a flag expires that long after its uri was emitted, by processing time, which bounds
+    the state; a later repeat is emitted again. Rows without a uri are dropped.
+    """
+    if keep_for_ms is not None and keep_for_ms <= 0:
+        raise ValueError("keep_for_ms must be positive")
+    places = [F.col(c).alias(f"_{c}") for c in SEEN_ORDER]
+    flat = raw.where(F.length("uri") > 0).select(*places, *flat_post_columns()).select(
+        *[f"_{c}" for c in SEEN_ORDER], *POST_FIELDS
+    )
+    schema = flat.select(*POST_FIELDS).schema
+    processor = _seen_once([f"_{c}" for c in SEEN_ORDER], POST_FIELDS, keep_for_ms)
+    mode = "None" if keep_for_ms is None else "ProcessingTime"
+    return flat.groupBy("uri").transformWithState(processor, schema, "Append", mode)
+
+
+def start_managed_ingest(
+    raw: DataFrame, table: str, checkpoint: str, keep_for_ms: int | None = None, available_now: bool = True
+) -> StreamingQuery:
+    """Append ``posts_seen_once`` to the Parquet folder ``table``, exactly once, without ever reading it.
+
+    What has been seen lives in the checkpoint, so table and checkpoint belong together: to add to a table
+    whose checkpoint is lost use ``start_exact_ingest``. The state is spread over as many tasks as
+    ``spark.sql.shuffle.partitions`` said when the checkpoint was made, in RocksDB, off the heap.
+    """
+    conf = raw.sparkSession.conf
+    own = {_STATE_STORE: _ROCKSDB}
+    if available_now:
+        own[_IDLE_BATCHES] = "false"  # flags that may still expire would keep the query running without input
+    before = {name: conf.get(name, None) for name in own}
+    for name, value in own.items():
+        conf.set(name, value)
+    try:
+        writer = (
+            posts_seen_once(raw, keep_for_ms).writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", checkpoint).option("compression", "zstd")
+        )
+        # the query takes a copy of the settings as it starts
+        return (writer.trigger(availableNow=True) if available_now else writer).start(table)
+    finally:
+        for name, value in before.items():
+            if value is None:
+                conf.unset(name)
+            else:
+                conf.set(name, value)

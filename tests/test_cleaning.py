@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from socialspark.constants import MERGE_COLUMNS
 from socialspark.operators.align import align, compare_embeddings
 from socialspark.operators.ranking import number_rows, number_within
 from socialspark.operators.skew import hot_keys, skew_join
-from socialspark.operators.volumes import month_counts, month_share
+from socialspark.operators import volumes
+from socialspark.operators.volumes import month_counts, month_share, update_month_counts
 from socialspark.sources import readers, writers
 
 COLUMNS = "external_id string, url string, author_username string, content string, clean_content string, created_at string, lang string"
@@ -173,6 +176,45 @@ def test_volumes(spark):
     assert all(r.share is None and r.n == 0 for r in shares if r.platform == "BS")
 
 
+def test_month_counts_are_updated_by_file(spark, tmp_path, monkeypatch):
+    folder, state = tmp_path / "posts of a year", str(tmp_path / "state")
+    folder.mkdir()
+    scanned = []
+    read = volumes.read_parquet
+    monkeypatch.setattr(volumes, "read_parquet", lambda s, *paths: scanned.append(sorted(p[-9:] for p in paths)) or read(s, *paths))
+
+    def put(name, rows):
+        schema = pa.schema([("platform", pa.string()), ("created_at", pa.string())])
+        pq.write_table(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema), folder / name)
+
+    def agrees(by):
+        got = update_month_counts(spark, str(folder), f"{state}-{len(by)}", by=by)
+        want = month_counts(read(spark, str(folder)), by=by)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.schema["n"].dataType == want.schema["n"].dataType
+
+    with pytest.raises(ValueError, match="no Parquet files"):
+        update_month_counts(spark, str(folder), state)
+    put("a.parquet", [("TS", "2024-05-03T00:00:00Z"), ("TS", "2024-06-09T00:00:00Z"), (None, "2024-05-01T00:00:00Z")])
+    put("b.parquet", [("BS", "bad"), ("TS", "2024-05-04T00:00:00Z"), ("TS", None)])
+    put("e.parquet", [])
+    for by in ((), ("platform",)):
+        agrees(by)
+        agrees(by)
+    assert scanned == [["a.parquet", "b.parquet", "e.parquet"]] * 2  # the second calls scan nothing
+    scanned.clear()
+    put("c.parquet", [("BS", "2024-11-30T23:59:59Z"), ("BS", "2023-01-01T00:00:00Z")])
+    put("a.parquet", [("TS", "2024-07-03T00:00:00Z")])
+    agrees(("platform",))
+    assert scanned == [["a.parquet", "c.parquet"]]
+    (folder / "b.parquet").unlink()
+    agrees(("platform",))
+    assert len(scanned) == 1
+    agrees(())
+    # counts that no manifest names, as a run leaves that fails between the two, do not count
+    spark.read.parquet(f"{state}-1/counts").withColumn("run", F.lit("zz")).write.mode("append").parquet(f"{state}-1/counts")
+    agrees(("platform",))
+
+
 def test_numbering_and_skewed_join(spark):
     df = spark.range(1000).select(F.col("id"), F.when(F.col("id") < 700, "hot").otherwise((F.col("id") % 5).cast("string")).alias("key"))
     numbered = {r.id: r.row_index for r in number_rows(df.repartition(5), ["id"]).collect()}

@@ -1,12 +1,18 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from socialspark.constants import AUTHOR_FIELDS, POST_FIELDS
 from socialspark.plans import ingest
 from socialspark.sources.readers import read_raw_posts
 from socialspark.sources.writers import write_authors, write_flat_posts
-from socialspark.streaming.ingest_stream import start_exact_ingest, stream_posts_bounded, stream_raw_posts
+from socialspark.streaming.ingest_stream import (
+    start_exact_ingest,
+    start_managed_ingest,
+    stream_posts_bounded,
+    stream_raw_posts,
+)
 
 
 def hit(uri, kw_pos=0, page=0, pos=0, did="did:a", created="2024-05-02T00:00:00Z", **more):
@@ -108,3 +114,48 @@ def test_streams_equal_the_batch(spark, tmp_path):
     query.awaitTermination(120)
     got = spark.read.schema(bounded.schema).parquet(str(tmp_path / "bounded"))
     assert got.count() == 13 and got.select(F.countDistinct("uri")).first()[0] == 13
+
+
+def test_seen_posts_as_managed_state(spark, tmp_path):
+    folder = land(tmp_path / "raw", [*HITS, hit("u9", like_count=None, likeCount=None)], "0.json")
+    land(tmp_path / "raw", [hit("u3", did=""), hit("u7"), hit("u7", kw_pos=0, page=-1, did="did:top")], "1.json")
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "check")
+
+    def run(**more):
+        query = start_managed_ingest(stream_raw_posts(spark, folder, 1), table, checkpoint, **more)
+        assert query.awaitTermination(60)
+        assert query.exception() is None
+        return query
+
+    def stored():
+        return sorted(spark.read.parquet(table).select(*POST_FIELDS).collect(), key=lambda r: r.uri)
+
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    run()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == store
+    want = sorted(ingest.flatten_posts(read_raw_posts(spark, folder)).collect(), key=lambda r: r.uri)
+    # the copies of a uri in other files agree in content
+    assert [r.uri for r in stored()] == [r.uri for r in want] and stored() == want
+
+    # after a restart only new uris are added, and the plan reads the landed pages alone
+    land(tmp_path / "raw", [hit("u1"), hit("u50"), hit("")], "2.json")
+    query = run()
+    assert [r.uri for r in stored()] == sorted([*[r.uri for r in want], "u50"])
+    plan = query._jsq.explainInternal(True)
+    scans = [line for line in plan.splitlines() if "Scan" in line]
+    assert "TransformWithState" in plan and scans and not any(table in line for line in scans)
+    run()
+    assert len(stored()) == len(want) + 1
+
+
+def test_managed_state_may_expire(spark, tmp_path):
+    folder = land(tmp_path / "raw", [hit("u1")], "0.json")
+    for n in range(2):
+        query = start_managed_ingest(
+            stream_raw_posts(spark, folder, 1), str(tmp_path / "table"), str(tmp_path / "check"), keep_for_ms=1
+        )
+        assert query.awaitTermination(60)
+        land(tmp_path / "raw", [hit("u1")], f"{n + 1}.json")
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+    with pytest.raises(ValueError, match="positive"):
+        start_managed_ingest(stream_raw_posts(spark, folder), "t", "c", keep_for_ms=0)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import functions as F
 
 from socialspark.constants import KEYWORD_GROUPS, POST_ID, TAG_KEYWORDS, TS_KEYWORDS, X_COMMON_COLUMNS, X_KEYWORDS, X_SCHEMAS
@@ -141,6 +142,30 @@ def test_failing_batches_become_nan(spark):
         embed.embed_texts(df, Failing, prompt="", batch_size=2, dimensions=4, on_error="raise").collect()
 
 
+class Recording(Failing):
+    """Refuses chunks whose texts differ in length by more than one."""
+
+    def __call__(self, values):
+        if max(map(len, values)) - min(map(len, values)) > 1:
+            raise RuntimeError("padded")
+        return super().__call__(values)
+
+
+def test_encoding_by_length_and_with_a_profile(spark):
+    df = texts(spark, ["a" * n for n in (1, 9, 2, 8, 1, 9)]).coalesce(1)
+    plain = embed.embed_texts(df, Failing, prompt="", batch_size=2, dimensions=4)
+    sorted_out = embed.embed_texts(df, Recording, prompt="", batch_size=3, dimensions=4, by_length=True, on_error="raise")
+    as_dict = lambda out: {r.external_id: list(r.embedding) for r in out.collect()}
+    assert as_dict(sorted_out) == as_dict(plain)
+    assert embed.embed_texts(df, Recording, prompt="", batch_size=3, dimensions=4).where("embed_ok").count() == 0
+    # a local session cannot run a stage with resources of its own; the plan asks for them
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(2)).build
+    asked = embed.embed_texts(df, Failing, prompt="", batch_size=2, dimensions=4, profile=profile)
+    plan = asked._jdf.queryExecution().analyzed()
+    assert plan.profile().isDefined() and not plain._jdf.queryExecution().analyzed().profile().isDefined()
+    assert plan.profile().get().getTaskCpus().get() == 2
+
+
 def test_embeddings_are_repeatable_and_stored(spark, tmp_path):
     df = texts(spark, ["one two", "two one", "three"] * 5, platform="'TS'", month="'2024-06'")
     runs = [
