@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,25 +21,40 @@ Encoder = Callable[[Sequence[str]], np.ndarray]
 def hashed_embeddings(
     posts: DataFrame, key: str, text_col: str, prompt: str, dimensions: int, normalize: bool, keep: Sequence[str]
 ) -> DataFrame:
-    """Counts of hashed words, in DataFrame functions. A stand-in where no model is at hand."""
+    """Counts of hashed words. A stand-in where no model is at hand.
+
+    Words are cut in DataFrame functions. They are hashed, once for each different word of an Arrow batch, and
+    counted where they are; nothing is exploded or shuffled.
+    """
     columns = [key, *keep]
-    numbered = posts.where(F.col(text_col).isNotNull()).select(
-        *columns, F.concat(F.lit(prompt), F.col(text_col)).alias("_text"), F.monotonically_increasing_id().alias("_row")
-    )
-    token = numbered.select(*columns, "_row", F.explode_outer(words(F.col("_text"))).alias("_word"))
-    place = (F.conv(F.substring(F.md5("_word"), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    counts = token.groupBy(*columns, "_row", place.alias("_place")).agg(F.count("_word").alias("_n"))
-    norm = F.sqrt(F.sum(F.col("_n") * F.col("_n")))
-    # one entry per dimension at most
-    listed = counts.groupBy(*columns, "_row").agg(
-        norm.alias("_norm"), F.collect_list(F.when(F.col("_n") > 0, F.struct("_place", "_n"))).alias("_list")
-    )
-    scale = F.when(F.lit(normalize) & (F.col("_norm") > 0), F.col("_norm")).otherwise(1.0)
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda d: (F.coalesce(F.element_at(F.map_from_entries("_list"), d), F.lit(0)) / scale).cast("float"),
+    cut = posts.where(F.col(text_col).isNotNull()).select(
+        *columns, words(F.concat(F.lit(prompt), F.col(text_col))).alias("_words")
     )
-    return listed.select(*columns, filled.alias("embedding"), F.lit(True).alias("embed_ok"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column(len(columns))
+            coded = listed.flatten().dictionary_encode()
+            digests = (hashlib.md5(word.encode()).digest() for word in coded.dictionary.to_pylist())
+            places = np.array([int.from_bytes(d[:4], "big") % dimensions for d in digests], dtype=np.int64)
+            rows = np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy())
+            at = rows * dimensions + places[coded.indices.to_numpy()]
+            matrix = np.bincount(at, minlength=len(listed) * dimensions).reshape(len(listed), dimensions)
+            if normalize:
+                norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                matrix = matrix / np.where(norms > 0, norms, 1.0)
+            ends = np.arange(len(listed) + 1, dtype=np.int32) * dimensions
+            vectors = pa.ListArray.from_arrays(ends, pa.array(matrix.astype(np.float32).ravel()))
+            done = pa.array(np.ones(len(listed), dtype=bool))
+            arrays = [*batch.columns[: len(columns)], vectors, done]
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, "embedding", "embed_ok"])
+
+    return cut.mapInArrow(count, _vector_schema(cut.select(*columns)))
+
+
+def _vector_schema(keyed: DataFrame) -> str:
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema]
+    return ", ".join([*fields, "embedding array<float>", "embed_ok boolean"])
 
 
 def embed_texts(
@@ -98,9 +115,7 @@ def embed_texts(
                 yield chunk[columns].assign(embedding=list(vectors), embed_ok=ok)
 
     texts = posts.select(*columns, text_col).where(F.col(text_col).isNotNull())
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*columns).schema]
-    schema = ", ".join([*fields, "embedding array<float>", "embed_ok boolean"])
-    return texts.mapInPandas(run, schema, profile=profile)
+    return texts.mapInPandas(run, _vector_schema(texts.select(*columns)), profile=profile)
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
