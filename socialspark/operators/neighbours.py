@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from socialspark.constants import POST_ID
+from socialspark.operators.projections import near_by_projections
 from socialspark.operators.ranking import top_per_key
 from socialspark.operators.skew import skew_join
 from socialspark.operators.vector_blocks import (
@@ -125,15 +126,26 @@ def knn_cosine(
     key: str = POST_ID,
     column: str = "embedding",
     block_rows: int = BLOCK_ROWS,
+    method: str = "exact",
+    recall: float = 0.95,
 ) -> DataFrame:
     """``(key, rank, neighbour, distance)``: the ``k`` nearest other rows, exact.
 
+    With ``method="projections"`` they are approximate, and found in buckets of random projections; as many tables
+    are used as a sample of the vectors needs to reach ``recall``, see ``near_by_projections``. Where a bounded
+    number of tables does not reach it, the exact search takes over. Neighbours found have exact distances; a
+    row may have fewer than ``k``.
+
     Equal distances are ordered by id. Rows with equal vectors share one
     search. Of all copies of a vector only the ``k + 1`` least ids can ever be
     an answer, so a list never grows with the number of copies.
     """
+    if method not in ("exact", "projections"):
+        raise ValueError(f"unknown method {method!r}")
     grouped = group_vectors(vectors, key, column)
-    near = nearest_nodes(build_blocks(grouped, block_rows), k)
+    near = near_by_projections(grouped, k, recall, block_rows)[0] if method == "projections" else None
+    if near is None:
+        near = nearest_nodes(build_blocks(grouped, block_rows), k)
     least_ids = cut(top_per_key(grouped.members, ["node"], [F.col(key)], k + 1))
     own = least_ids.select("node", F.col(key).alias("neighbour"), F.lit(0.0).alias("distance"))
     others = near.join(

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from socialspark.operators import density, neighbours, pointers
+from socialspark.operators import density, neighbours, pointers, projections
 from socialspark.operators.vector_blocks import build_blocks, group_vectors
 from tests import density_by_hand as by_hand
 
@@ -223,3 +223,38 @@ def test_a_chain_of_ten_thousand_clusters_takes_few_rounds(spark, monkeypatch):
     got = {r.cluster: r.chosen for r in density._select_clusters(table).collect()}
     assert len(rows) == 10_001 and got == _chosen_by_hand(rows)
     assert len(rounds) < 40
+
+
+def test_projections_reach_the_recall_they_measure(spark):
+    # a third of all rows in one small region, many small groups, copies and a zero vector
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(100, 16))
+    rows = [centres[0] + rng.normal(size=16) * 0.01 for _ in range(600)]
+    rows += [centres[i % 100] + rng.normal(size=16) * 0.2 for i in range(1200)] + [centres[3]] * 30 + [np.zeros(16)]
+    points = np.array(rows, dtype=np.float32)
+    table = as_table(spark, points)
+    grouped = group_vectors(table, "id")
+    near, reached = projections.near_by_projections(grouped, 3, 0.95, bucket_rows=128)
+    assert reached >= 0.95
+    exact = {(r.node, r.other): r.distance for r in neighbours.nearest_nodes(build_blocks(grouped), 3).collect()}
+    got = {(r.node, r.other): r.distance for r in near.collect()}
+    assert len(exact.keys() & got.keys()) >= 0.93 * len(exact)  # over all rows, not the sample alone
+    assert all(abs(got[p] - exact[p]) < 1e-9 for p in exact.keys() & got.keys())
+    per_node = {}
+    for node, other in got:
+        assert node != other
+        per_node[node] = per_node.get(node, 0) + 1
+    assert set(per_node.values()) == {3} and len(per_node) == grouped.n_nodes
+    assert projections.near_by_projections(grouped, 3, 1.0, bucket_rows=8, max_tables=4)[0] is None
+
+
+def test_knn_by_projections_falls_back_and_takes_odd_tables(spark, points, table):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    # all rows in one bucket: as exact as the exact search
+    assert rows(neighbours.knn_cosine(table, 4, key="id", method="projections")) == rows(neighbours.knn_cosine(table, 4, key="id"))
+    assert neighbours.knn_cosine(table.where("false"), 4, key="id", method="projections").count() == 0
+    assert neighbours.knn_cosine(table.limit(1), 4, key="id", method="projections").count() == 0
+    with pytest.raises(ValueError, match="unknown method"):
+        neighbours.knn_cosine(table, method="other", key="id")
+    with pytest.raises(ValueError, match="recall"):
+        neighbours.knn_cosine(table, method="projections", recall=0, key="id")
