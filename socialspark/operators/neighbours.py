@@ -16,8 +16,11 @@ from socialspark.operators.skew import skew_join
 from socialspark.operators.vector_blocks import (
     BLOCK_ROWS,
     FARTHEST,
+    TIE,
     Blocks,
+    NearPairs,
     VectorGroups,
+    block_groups,
     block_pairs,
     block_vectors,
     build_blocks,
@@ -28,62 +31,89 @@ from socialspark.operators.vector_blocks import (
 from socialspark.session import cut
 
 _NEIGHBOUR_SCHEMA = "node long, other long, other_size long, distance double"
-
-
-def _nearest_rows(distances, mine, others, other_sizes, k: int) -> pd.DataFrame:
-    """The ``k`` nearest others of each row, by distance, then by node."""
-    by_node = np.argsort(others, kind="stable")
-    distances, others, other_sizes = distances[:, by_node], others[by_node], other_sizes[by_node]
-    k = min(k, distances.shape[1])
-    best = np.argsort(distances, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(mine)), k)
-    cols = best.ravel()
-    value = distances[rows, cols]
-    real = np.isfinite(value)
-    return pd.DataFrame(
-        {
-            "node": mine[rows][real],
-            "other": others[cols][real],
-            "other_size": other_sizes[cols][real],
-            "distance": value[real],
-        }
-    )
+_NOBODY = np.iinfo(np.int64).max
+
+
+class _Nearest:
+    """The ``k`` nearest others found so far of the rows of a block, by distance, then by node."""
+
+    def __init__(self, row, k: int) -> None:
+        self.nodes, self.sizes = np.asarray(row.nodes), np.asarray(row.sizes)
+        n = len(self.nodes)
+        self.vectors, self.every = NearPairs(row.vectors, n), np.arange(n)
+        self.limit = np.array(row.limits, np.float64)
+        self.distance = np.full((n, k), np.inf)
+        self.other, self.size = np.full((n, k), _NOBODY), np.zeros((n, k), np.int64)
+
+    def offer(self, rows: np.ndarray, others: np.ndarray, sizes: np.ndarray, distances: np.ndarray) -> None:
+        near = distances <= self.limit[rows] + TIE
+        rows, others, sizes, distances = rows[near], others[near], sizes[near], distances[near]
+        if not len(rows):
+            return
+        k = self.distance.shape[1]
+        touched = np.unique(rows)
+        rows = np.concatenate([np.repeat(touched, k), rows])
+        distances = np.concatenate([self.distance[touched].ravel(), distances])
+        others = np.concatenate([self.other[touched].ravel(), others])
+        sizes = np.concatenate([self.size[touched].ravel(), sizes])
+        order = np.lexsort((others, distances, rows))
+        pick = order[np.searchsorted(rows[order], touched)[:, None] + np.arange(k)]
+        self.distance[touched], self.other[touched], self.size[touched] = distances[pick], others[pick], sizes[pick]
+        self.limit[touched] = np.minimum(self.limit[touched], distances[pick[:, -1]])
+
+
+def _compare_nearest(k: int):
+    """For the blocks of two groups the ``k`` nearest of each row among the rows of its partners."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        blocks = {row.block: _Nearest(row, k) for row in frame.itertuples(index=False)}
+        for block, partners in zip(frame["block"], frame["partners"], strict=True):
+            a = blocks[block]
+            for partner in sorted(partners):
+                b, same = blocks[partner], partner == block
+                apart = ~np.eye(len(a.nodes), dtype=bool) if same else None
+                mine, theirs, distances = a.vectors.find(
+                    b.vectors, a.every, b.every, a.limit, np.full(len(b.limit), -np.inf) if same else b.limit, apart
+                )
+                a.offer(mine, b.nodes[theirs], b.sizes[theirs], distances)
+                if not same:
+                    b.offer(theirs, a.nodes[mine], a.sizes[mine], distances)
+        nodes = np.concatenate([np.repeat(b.nodes, k) for b in blocks.values()])
+        other, size, distance = (np.concatenate([getattr(b, c).ravel() for b in blocks.values()]) for c in ("other", "size", "distance"))
+        found = pd.DataFrame({"node": nodes, "other": other, "other_size": size, "distance": distance})
+        return found[np.isfinite(distance)]
+
+    return run
 
 
 def nearest_nodes(blocks: Blocks, k: int) -> DataFrame:
     """``(node, other, other_size, distance)``: the ``k`` nearest other nodes.
 
-    A first pass inside each block bounds how far the ``k``-th neighbour can
-    be; the second compares the block with all blocks within that bound.
+    A first pass inside each block bounds how far the ``k``-th neighbour of each
+    row can be; the second compares the block with all blocks within that bound.
     """
 
     def own_reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, row in frame.iterrows():
                 n = len(row["nodes"])
-                reach = FARTHEST
+                limits = np.full(n, FARTHEST)
                 if n > k:
                     vectors = block_vectors(row["vectors"], n)
                     distances = cosine_distances(vectors, vectors)
                     np.fill_diagonal(distances, np.inf)
-                    reach = float(np.sqrt(2.0 * np.partition(distances, k - 1, axis=1)[:, k - 1].max()))
-                yield pd.DataFrame({"block": [row["block"]], "reach": [reach]})
-
-    def kernel(row: pd.Series) -> Iterator[pd.DataFrame]:
-        a, b = np.asarray(row["a_nodes"]), np.asarray(row["b_nodes"])
-        left, right = block_vectors(row["a_vectors"], len(a)), block_vectors(row["b_vectors"], len(b))
-        distances = cosine_distances(left, right)
-        if row["a"] == row["b"]:
-            np.fill_diagonal(distances, np.inf)
-        yield _nearest_rows(distances, a, b, np.asarray(row["b_sizes"]), k)
-        if row["a"] != row["b"]:
-            yield _nearest_rows(distances.T, b, a, np.asarray(row["a_sizes"]), k)
-
-    reach = blocks.table.select("block", "nodes", "vectors").mapInPandas(
-        own_reach, "block long, reach double"
+                    limits = np.partition(distances, k - 1, axis=1)[:, k - 1]
+                reach = float(np.sqrt(2.0 * limits.max()))
+                yield pd.DataFrame({"block": [row["block"]], "reach": [reach], "limits": [limits]})
+
+    reach = cut(
+        blocks.table.select("block", "nodes", "vectors").mapInPandas(
+            own_reach, "block long, reach double, limits array<double>"
+        )
     )
-    payload = blocks.table.select("block", "nodes", "sizes", "vectors")
-    found = compare_blocks(block_pairs(blocks, reach), payload, kernel, _NEIGHBOUR_SCHEMA)
+    payload = blocks.table.select("block", "nodes", "sizes", "vectors").join(reach.select("block", "limits"), "block")
+    pairs = block_pairs(blocks, reach.select("block", "reach"))
+    found = compare_blocks(pairs, block_groups(blocks), payload, _compare_nearest(k), _NEIGHBOUR_SCHEMA)
     return top_per_key(found, ["node"], [F.col("distance"), F.col("other")], k)
 
 

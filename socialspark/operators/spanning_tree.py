@@ -5,7 +5,8 @@ edge, so the number of components at least halves. An upper bound of that
 edge, from the component's own blocks and from the pivots, limits which blocks
 have to be compared. All weights of a round come from one comparison per pair
 of blocks and ties are ordered by node, so the chosen edges cannot form a
-cycle.
+cycle. A component with more than half of all nodes waits for the others to choose it,
+so that the last rounds compare few nodes.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 from socialspark.operators.pointers import follow
 from socialspark.operators.skew import hot_keys, skew_join
 from socialspark.operators.vector_blocks import (
+    TIE,
     Blocks,
+    NearPairs,
     VectorGroups,
+    block_groups,
     block_pairs,
     block_vectors,
     compare_blocks,
@@ -92,8 +96,85 @@ def _component_bounds(blocks: Blocks, contents: DataFrame, pivot_state: dict) ->
     return bounds.groupBy("comp").agg(F.min("weight").alias("bound"))
 
 
-def _outgoing_edges(blocks: Blocks, labels: DataFrame) -> DataFrame:
-    """``(comp, weight, lo, hi, other)``: the lightest edge of every component."""
+class _Part:
+    """A block in a round: its nodes and the places of their components among those of a task."""
+
+    def __init__(self, row, comps: np.ndarray) -> None:
+        self.nodes, self.cores = np.asarray(row.nodes), np.asarray(row.cores, np.float64)
+        self.comps = np.searchsorted(comps, np.asarray(row.comps))
+        self.vectors, self.every = NearPairs(row.vectors, len(self.nodes)), np.arange(len(self.nodes))
+
+
+class _Lightest:
+    """The lightest edge found so far of each component of a task; a limit of minus infinity asks for none."""
+
+    def __init__(self, comps: np.ndarray, limit: np.ndarray) -> None:
+        n = len(comps)
+        self.comps, self.limit = comps, limit
+        self.weight, self.lo, self.hi, self.other = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def limits(self, part: _Part) -> np.ndarray:
+        """How far the nodes of a block search: not at all where their own core distance is beyond the limit."""
+        limit = self.limit[part.comps]
+        return np.where(part.cores <= limit + TIE, limit, -np.inf)
+
+    def offer(self, comp: np.ndarray, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray, other: np.ndarray) -> None:
+        light = weight <= self.limit[comp] + TIE
+        comp, weight, lo, hi, other = comp[light], weight[light], lo[light], hi[light], other[light]
+        if not len(comp):
+            return
+        order = np.lexsort((hi, lo, weight, comp))
+        first = order[np.unique(comp[order], return_index=True)[1]]
+        c, w, x, y = comp[first], weight[first], lo[first], hi[first]
+        old = self.weight[c], self.lo[c], self.hi[c]
+        better = (w < old[0]) | ((w == old[0]) & ((x < old[1]) | ((x == old[1]) & (y < old[2]))))
+        c, at = c[better], first[better]
+        self.weight[c], self.lo[c], self.hi[c], self.other[c] = weight[at], lo[at], hi[at], other[at]
+        self.limit[c] = np.minimum(self.limit[c], weight[at])
+
+
+def _compare_lightest(frame: pd.DataFrame) -> pd.DataFrame:
+    """For the blocks of two groups the lightest edge of each component to a partner's nodes."""
+    every = np.concatenate([np.asarray(c) for c in frame["comps"]])
+    known = np.concatenate([np.array(x, np.float64) for x in frame["limits"]])
+    comps, first = np.unique(every, return_index=True)
+    best = _Lightest(comps, np.where(np.isnan(known[first]), -np.inf, known[first]))
+    parts = {row.block: _Part(row, comps) for row in frame.itertuples(index=False)}
+
+    def search(a: _Part, b: _Part, mine: np.ndarray, theirs: np.ndarray, other_limit: np.ndarray, same: bool) -> None:
+        limit = best.limits(a)[mine]
+        apart = a.comps[mine][:, None] != b.comps[theirs][None, :]
+        if same:
+            apart &= mine[:, None] < theirs[None, :]
+        x, y, distances = a.vectors.find(b.vectors, mine, theirs, limit, other_limit[theirs], apart)
+        weights = np.maximum(distances, np.maximum(a.cores[x], b.cores[y]))
+        u, v = a.nodes[x], b.nodes[y]
+        lo, hi = np.minimum(u, v), np.maximum(u, v)
+        best.offer(a.comps[x], weights, lo, hi, comps[b.comps[y]])
+        best.offer(b.comps[y], weights, lo, hi, comps[a.comps[x]])
+
+    for block, partners in zip(frame["block"], frame["partners"], strict=True):
+        a = parts[block]
+        for partner in sorted(partners):
+            b, same = parts[partner], partner == block
+            asks, asked = np.isfinite(best.limits(a)), np.isfinite(best.limits(b))
+            if same or 2 * asks.sum() > len(asks):
+                if asks.any() or asked.any():
+                    search(a, b, a.every, b.every, best.limits(b), same)
+                continue
+            # few nodes of the block search: they meet all of the partner, the others those that search there
+            if asks.any():
+                search(a, b, np.flatnonzero(asks), b.every, best.limits(b), same)
+            if asked.any():
+                search(a, b, np.flatnonzero(~asks), np.flatnonzero(asked), best.limits(b), same)
+    some = np.isfinite(best.weight)
+    return pd.DataFrame(
+        {"comp": comps[some], "weight": best.weight[some], "lo": best.lo[some], "hi": best.hi[some], "other": best.other[some]}
+    )
+
+
+def _outgoing_edges(blocks: Blocks, groups: DataFrame, labels: DataFrame, waiting: int | None = None) -> DataFrame:
+    """``(comp, weight, lo, hi, other)``: the lightest edge of every component but ``waiting``."""
     state = cut(_block_state(labels))
     contents = blocks.table.select("block", "nodes", "vectors").join(state, "block")
     # One row per pivot.
@@ -102,8 +183,9 @@ def _outgoing_edges(blocks: Blocks, labels: DataFrame) -> DataFrame:
     bounds = _component_bounds(blocks, contents, pivot_state)
 
     # A node whose own core distance exceeds the bound cannot improve on it.
+    searching = F.lit(True) if waiting is None else F.col("comp") != waiting
     active = (
-        labels.groupBy("block", "comp").agg(F.min("core").alias("core"))
+        labels.where(searching).groupBy("block", "comp").agg(F.min("core").alias("core"))
         .join(bounds, "comp")
         .where(F.col("core") <= F.col("bound"))
     )
@@ -119,24 +201,13 @@ def _outgoing_edges(blocks: Blocks, labels: DataFrame) -> DataFrame:
         .where(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)))
         .select("a", "b")
     )
-
-    def kernel(row: pd.Series) -> Iterator[pd.DataFrame]:
-        a, b = np.asarray(row["a_nodes"]), np.asarray(row["b_nodes"])
-        weights = _mutual_reachability(
-            block_vectors(row["a_vectors"], len(a)),
-            block_vectors(row["b_vectors"], len(b)),
-            np.asarray(row["a_cores"]),
-            np.asarray(row["b_cores"]),
-        )
-        a_comps, b_comps = np.asarray(row["a_comps"]), np.asarray(row["b_comps"])
-        if row["a"] == row["b"]:
-            # A matrix product need not be symmetric in its last bits.
-            weights = np.triu(weights) + np.triu(weights, 1).T
-        yield _lightest_edges(weights, a, b, a_comps, b_comps)
-        if row["a"] != row["b"]:
-            yield _lightest_edges(weights.T, b, a, b_comps, a_comps)
-
-    found = compare_blocks(pairs, contents, kernel, EDGE_SCHEMA)
+    limits = (
+        labels.join(bounds, "comp", "left").groupBy("block")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", F.when(searching, F.col("bound")).alias("bound")))).alias("_s"))
+        .select("block", F.col("_s.bound").alias("limits"))
+    )
+    payload = contents.join(limits, "block")
+    found = compare_blocks(pairs, groups, payload, _compare_lightest, EDGE_SCHEMA)
     lightest = found.groupBy("comp").agg(F.min(F.struct("weight", "lo", "hi", "other")).alias("_e"))
     return cut(lightest.select("comp", "_e.*"))
 
@@ -148,14 +219,20 @@ def spanning_tree(grouped: VectorGroups, blocks: Blocks, cores: DataFrame) -> Da
         .join(cores, "node")
         .withColumn("comp", F.col("node"))
     )
-    n_comps, chosen = grouped.n_nodes, []
+    groups = block_groups(blocks)
+    n_comps, chosen, waiting = grouped.n_nodes, [], None
     while n_comps > 1:
-        edges = _outgoing_edges(blocks, labels)
+        edges = _outgoing_edges(blocks, groups, labels, waiting)
         chosen.append(edges.select("weight", "lo", "hi"))
-        # Two components that chose each other: the lesser one is the root.
-        back = edges.select(F.col("comp").alias("other"), F.col("other").alias("_back"))
-        hooks = edges.select("comp", "other").join(back, "other")
-        is_root = (F.col("_back") == F.col("comp")) & (F.col("comp") < F.col("other"))
+        # Two components that chose each other: the lesser one is the root, as is one that waits.
+        ends = edges.select("comp", "other")
+        if waiting is not None:
+            ends = ends.unionByName(
+                labels.sparkSession.createDataFrame([(waiting, waiting)], "comp long, other long")
+            )
+        back = ends.select(F.col("comp").alias("other"), F.col("other").alias("_back"))
+        hooks = ends.join(back, "other")
+        is_root = (F.col("_back") == F.col("comp")) & (F.col("comp") <= F.col("other"))
         roots = follow(
             hooks.select(
                 F.col("comp").alias("node"),
@@ -168,6 +245,8 @@ def spanning_tree(grouped: VectorGroups, blocks: Blocks, cores: DataFrame) -> Da
         moved = skew_join(labels, roots.withColumnRenamed("node", "comp"), ["comp"], hot)
         labels = cut(moved.drop("comp").withColumnRenamed("root", "comp"))
         n_comps = roots.where("node = root").count()
+        largest = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > grouped.n_nodes / 2).first()
+        waiting = largest["comp"] if largest else None
     if not chosen:
         return labels.sparkSession.createDataFrame([], "weight double, lo long, hi long")
     return reduce(DataFrame.unionByName, chosen).distinct()

@@ -11,6 +11,10 @@ best of each row; pairs of vectors never become rows.
 
 A cell that holds a third of all vectors is many blocks, because the range
 exchange that forms blocks splits it by radius and node.
+
+Blocks are dealt into a fixed number of groups of like size, and a task compares two groups. So a block is
+sent once per group, not once per partner, and a task answers once for each of its
+rows. Only where a group would pass ``GROUP_BLOCKS`` blocks are there more groups.
 """
 
 from __future__ import annotations
@@ -32,7 +36,11 @@ from socialspark.session import cut
 
 BLOCK_ROWS = 1024
 MAX_PIVOTS = 512
-PARTNERS_PER_TASK = 64
+#: Groups of blocks, and blocks of a group; a task holds two groups.
+GROUPS = 16
+GROUP_BLOCKS = 64
+#: Cosine distances known beforehand may differ from those compared with them in the last of their rounded digits.
+TIE = 1e-11
 SLACK = 1e-6  # on Euclidean bounds; rounding errors are far smaller
 FARTHEST = 2.0  # no two unit vectors are farther apart
 
@@ -186,36 +194,73 @@ def block_pairs(blocks: Blocks, reach: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _attach(pairs: DataFrame, payload: DataFrame, side: str, other: str) -> DataFrame:
-    """Join block contents to pairs; a block with many partners is spread out."""
-    tasks = F.ceil(F.count(F.lit(1)) / PARTNERS_PER_TASK).cast("int")
-    counts = pairs.groupBy(side).agg(tasks.alias("_tasks"))
-    spread = pairs.join(counts, side).withColumn("_task", F.pmod(F.hash(other), F.col("_tasks")))
-    copies = (
-        payload.withColumnsRenamed({c: f"{side}_{c}" for c in payload.columns if c != "block"})
-        .withColumnRenamed("block", side)
-        .join(counts, side)
-        .withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)))
-    )
-    return spread.drop("_tasks").join(copies.drop("_tasks"), [side, "_task"]).drop("_task")
+def block_groups(blocks: Blocks, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
+    """``(block, group)``: neighbouring shells in ``GROUPS`` runs of like length, or more that none is too long."""
+    order = ["cell", "r_min", "block"]
+    numbered = number_rows(blocks.table.select(*order), order, "_number")
+    n = blocks.table.count()
+    groups = max(min(GROUPS, n), math.ceil(n / group_blocks))
+    return cut(numbered.select("block", F.floor(F.col("_number") * groups / max(n, 1)).cast("int").alias("group")))
 
 
 def compare_blocks(
     pairs: DataFrame,
+    groups: DataFrame,
     payload: DataFrame,
-    kernel: Callable[[pd.Series], Iterator[pd.DataFrame]],
+    kernel: Callable[[pd.DataFrame], pd.DataFrame],
     schema: str,
 ) -> DataFrame:
-    """Run ``kernel`` on every pair of blocks.
+    """Run ``kernel`` on every pair of groups that holds a pair ``(a, b)`` of blocks.
 
-    The kernel sees one row with columns ``a``, ``b`` and the payload of both
-    blocks prefixed ``a_`` and ``b_``.
+    The kernel sees the payload of the blocks of both groups, a row each; ``partners`` are the blocks each is to
+    be compared with, so that every pair occurs once.
     """
-    joined = _attach(_attach(cut(pairs), payload, "a", "b"), payload, "b", "a")
+    of_a = groups.select(F.col("block").alias("a"), F.col("group").alias("_ga"))
+    of_b = groups.select(F.col("block").alias("b"), F.col("group").alias("_gb"))
+    placed = cut(
+        pairs.join(of_a, "a").join(of_b, "b")
+        .select("a", "b", F.least("_ga", "_gb").alias("_x"), F.greatest("_ga", "_gb").alias("_y"))
+    )
+    ends = placed.select("_x", "_y", F.col("a").alias("block"), F.col("b").alias("partner")).unionByName(
+        placed.select("_x", "_y", F.col("b").alias("block"), F.lit(None).cast("long").alias("partner"))
+    )
+    # at most 2 * GROUP_BLOCKS partners
+    wanted = ends.groupBy("block", "_x", "_y").agg(F.collect_list("partner").alias("partners"))
+    return payload.join(wanted, "block").groupBy("_x", "_y").applyInPandas(
+        lambda frame: kernel(frame.sort_values("block", ignore_index=True)), schema
+    )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                yield from kernel(row)
 
-    return joined.mapInPandas(run, schema)
+class NearPairs:
+    """The pairs of rows of two matrices of unit vectors that may be near, and their distances.
+
+    A product in single precision rules out most pairs; the others are measured in double precision.
+    """
+
+    def __init__(self, raw: bytes, n: int) -> None:
+        self.full = block_vectors(raw, n)
+        self.rough = self.full.astype(np.float32)
+
+    def find(
+        self, other: NearPairs, mine: np.ndarray, theirs: np.ndarray, limit: np.ndarray, other_limit: np.ndarray, apart=None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``mine`` and ``theirs`` at most one of both limits apart, and their distances.
+
+        A limit of minus infinity asks for nothing. ``apart`` is a mask of the pairs in question.
+        """
+        slack = TIE + 2.4e-7 * (self.full.shape[1] + 4)  # more than the rounding errors of a product
+        least = (1.0 - slack - limit).astype(np.float32), (1.0 - slack - other_limit).astype(np.float32)
+        near = self.rough[mine] @ other.rough[theirs].T
+        near = near >= (np.minimum(least[0][:, None], least[1][None, :]) if np.isfinite(other_limit).any() else least[0][:, None])
+        if apart is not None:
+            near &= apart
+        rows, cols = np.nonzero(near)
+        if 8 * len(rows) > near.size:
+            distances = cosine_distances(self.full[mine], other.full[theirs])[rows, cols]
+        else:
+            products = [
+                np.einsum("ij,ij->i", self.full[mine[rows[at : at + 65_536]]], other.full[theirs[cols[at : at + 65_536]]])
+                for at in range(0, len(rows), 65_536)
+            ]
+            distances = np.round(np.maximum(1.0 - np.concatenate(products or [np.zeros(0)]), 0.0), 12)
+        return mine[rows], theirs[cols], distances

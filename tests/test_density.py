@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from socialspark.operators import density, neighbours, pointers, projections
+from socialspark.operators import density, neighbours, pointers, projections, vector_blocks
 from socialspark.operators.vector_blocks import build_blocks, group_vectors
 from tests import density_by_hand as by_hand
 
@@ -258,3 +258,20 @@ def test_knn_by_projections_falls_back_and_takes_odd_tables(spark, points, table
         neighbours.knn_cosine(table, method="other", key="id")
     with pytest.raises(ValueError, match="recall"):
         neighbours.knn_cosine(table, method="projections", recall=0, key="id")
+
+
+def test_a_row_is_answered_once_a_group_of_blocks(spark, monkeypatch):
+    """Blocks are compared in a fixed number of groups, so answers and copies of blocks do not grow with the square of the rows."""
+    points = np.random.default_rng(23).normal(size=(1200, 24)).astype(np.float32)
+    grouped = group_vectors(as_table(spark, points), "id")
+    blocks = build_blocks(grouped, block_rows=16)
+    assert blocks.table.count() > 3 * vector_blocks.GROUPS
+    real, answers = neighbours.top_per_key, []
+    monkeypatch.setattr(neighbours, "top_per_key", lambda df, *rest: answers.append(df.count()) or real(df, *rest))
+    near = neighbours.nearest_nodes(blocks, 2).collect()
+    assert answers[0] <= 2 * grouped.n_nodes * vector_blocks.GROUPS
+    d = by_hand.cosine_matrix(points)
+    np.fill_diagonal(d, np.inf)
+    ids = {r.node: r.id for r in grouped.members.collect()}
+    got = {(ids[r.node], ids[r.other]) for r in near}
+    assert got == {(i, int(j)) for i in range(len(points)) for j in np.argsort(d[i])[:2]}
