@@ -33,17 +33,20 @@ PATIENCE = 10
 #: Rounds of seeding.
 SEED_ROUNDS = 3
 _ROWS = 4096
+#: Distances from rows to centres that a task holds at once, and centres whose sums travel in one row.
+_GAPS = 1 << 21
+_CENTRES = 16
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def _points(column: pa.Array) -> Iterator[np.ndarray]:
-    """Vectors of an Arrow column as matrices of a few thousand rows."""
+def _points(column: pa.Array, rows: int = _ROWS) -> Iterator[np.ndarray]:
+    """Vectors of an Arrow column as matrices of ``rows`` rows, a few thousand."""
     flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-    for first in range(0, len(flat), _ROWS):
-        yield flat[first : first + _ROWS]
+    for first in range(0, len(flat), rows):
+        yield flat[first : first + rows]
 
 
 class _Centres:
@@ -56,7 +59,8 @@ class _Centres:
 
     def gaps(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each model the nearest centre of every point, and the squared distance to it."""
-        gap = self.square - 2.0 * x @ self.all.T
+        gap = (-2.0 * x) @ self.all.T
+        gap += self.square
         square = (x * x).sum(axis=1)
         at, rows = 0, np.arange(len(x))
         for size in self.sizes:
@@ -71,38 +75,44 @@ def _sums(rows: DataFrame, models: Sequence[np.ndarray]) -> list[tuple[np.ndarra
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast([np.asarray(m) for m in models])  # bounded by starts and centres
 
+    every, dims = sum(len(m) for m in models), len(models[0][0])
+
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = _Centres(sent.value)
-        total = np.zeros(len(centres.all))
-        cost, sums = np.zeros(len(centres.all)), np.zeros_like(centres.all)
+        found = np.zeros((len(centres.all), 2 + dims))  # rows, sum and cost of each centre
+        at_once = max(64, min(_ROWS, _GAPS // len(found)))
+        own = np.zeros((at_once, len(found)))
         for batch in batches:
-            for x in _points(batch.column(0)):
-                at = 0
+            for x in _points(batch.column(0), at_once):
+                at, each, places = 0, np.arange(len(x)), []
                 for size, (near, far) in zip(centres.sizes, centres.gaps(x), strict=True):
-                    counts = np.bincount(near, minlength=size)
-                    used = np.flatnonzero(counts)
-                    order = np.argsort(near, kind="stable")
-                    sums[at + used] += np.add.reduceat(x[order], (np.cumsum(counts) - counts)[used])
-                    total[at : at + size] += counts
-                    cost[at : at + size] += np.bincount(near, far, size)
+                    places.append(at + near)
+                    own[each, places[-1]] = 1.0
+                    found[at : at + size, -1] += np.bincount(near, far, size)
                     at += size
-        some = np.flatnonzero(total)
-        vectors = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * sums.shape[1], pa.array(sums[some].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some]), vectors, pa.array(cost[some])], ["at", "n", "s", "cost"])
-
-    found = (
-        rows.select("v").mapInArrow(add_up, "at long, n double, s array<double>, cost double")
-        .groupBy("at")
-        .agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"), F.sum("cost").alias("cost"))
-        .toArrow()  # a row per centre
-    )
+                found[:, :-1] += own[: len(x)].T @ np.hstack([np.ones((len(x), 1)), x])
+                for place in places:
+                    own[each, place] = 0.0
+        parts = range(0, len(found), _CENTRES)
+        sums = [found[at : at + _CENTRES].tobytes() for at in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(sums, pa.binary())], ["at", "sums"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(sums)
+                total[at] = total[at] + part if at in total else part
+        arrays = [pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["at", "sums"])
+
+    schema = "at long, sums binary"
+    found = rows.select("v").mapInArrow(add_up, schema).repartition("at").mapInArrow(merge, schema).collect()  # a row per 16 centres
     sent.unpersist()
-    every = sum(len(m) for m in models)
-    n, cost, sums = np.zeros(every), np.zeros(every), np.zeros((every, len(models[0][0])))
-    if len(found):
-        at = found["at"].to_numpy()
-        n[at], cost[at] = found["n"].to_numpy(), found["cost"].to_numpy()
-        sums[at] = found["s"].combine_chunks().flatten().to_numpy().reshape(len(at), -1)
+    table = np.zeros((every, 2 + dims))
+    for at, sums in found:
+        table[at : at + _CENTRES] = np.frombuffer(sums).reshape(-1, 2 + dims)
+    n, cost, sums = table[:, 0], table[:, -1], table[:, 1:-1]
     cuts = np.cumsum([len(m) for m in models])[:-1]
     return list(zip(np.split(n, cuts), np.split(sums, cuts), np.split(cost, cuts), strict=True))
 

@@ -274,3 +274,23 @@ def test_unknown_methods_and_empty_tables(spark, vectors):
     with pytest.raises(ValueError, match="unknown method"):
         clusters.fit_kmeans(vectors, [2], method="other")
     assert clusters.fit_kmeans(vectors.limit(0), [2], method="mini-batch")[2][1] == 0.0
+
+
+def test_a_pass_sends_a_row_per_sixteen_centres(spark, monkeypatch):
+    """The sums of all models of a pass are those of each row's nearest centre, and few rows carry them."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(300, 4))
+    models = [points[:k].copy() for k in (2, 3, 30)]
+    rows = spark.createDataFrame([(p.tolist(),) for p in points], "v array<double>").repartition(5)
+    kind, sent = type(rows), []
+    real = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: sent.append(real(df)) or sent[-1])
+    found = clusters._sums(rows, models)
+    assert [len(x) for x in sent] == [3]  # 35 centres
+    for centres, (n, sums, cost) in zip(models, found, strict=True):
+        far = ((points[:, None] - centres[None]) ** 2).sum(axis=2)
+        own = np.eye(len(centres))[far.argmin(axis=1)]
+        assert np.array_equal(n, own.sum(axis=0))
+        assert np.allclose(sums, own.T @ points)
+        assert np.allclose(cost, own.T @ far.min(axis=1))
+    assert [n.sum() for n, _, _ in clusters._sums(rows.where("false"), models)] == [0, 0, 0]
