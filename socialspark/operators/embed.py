@@ -16,6 +16,19 @@ from socialspark.constants import CLEAN_TEXT, EMBEDDING_DIMENSIONS, EMBEDDING_PR
 from socialspark.functions.text import words
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
+#: Words, and numbers of their vectors, that are counted at once.
+WORDS_AT_ONCE = 1 << 17
+NUMBERS_AT_ONCE = 1 << 18
+
+
+def _runs(ends: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows, ``rows`` at most, with ``WORDS_AT_ONCE`` words at most or a row alone; ``ends`` counts words."""
+    first = 0
+    while first < len(ends) - 1:
+        fits = int(np.searchsorted(ends, ends[first] + WORDS_AT_ONCE, side="right")) - 1
+        last = min(max(fits, first + 1), first + rows, len(ends) - 1)
+        yield first, last
+        first = last
 
 
 def hashed_embeddings(
@@ -24,7 +37,7 @@ def hashed_embeddings(
     """Counts of hashed words. A stand-in where no model is at hand.
 
     Words are cut in DataFrame functions. They are hashed, once for each different word of an Arrow batch, and
-    counted where they are; nothing is exploded or shuffled.
+    counted where they are, a bounded number at a time; nothing is exploded or shuffled.
     """
     columns = [key, *keep]
     cut = posts.where(F.col(text_col).isNotNull()).select(
@@ -37,17 +50,20 @@ def hashed_embeddings(
             coded = listed.flatten().dictionary_encode()
             digests = (hashlib.md5(word.encode()).digest() for word in coded.dictionary.to_pylist())
             places = np.array([int.from_bytes(d[:4], "big") % dimensions for d in digests], dtype=np.int64)
-            rows = np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy())
-            at = rows * dimensions + places[coded.indices.to_numpy()]
-            matrix = np.bincount(at, minlength=len(listed) * dimensions).reshape(len(listed), dimensions)
-            if normalize:
-                norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-                matrix = matrix / np.where(norms > 0, norms, 1.0)
-            ends = np.arange(len(listed) + 1, dtype=np.int32) * dimensions
-            vectors = pa.ListArray.from_arrays(ends, pa.array(matrix.astype(np.float32).ravel()))
-            done = pa.array(np.ones(len(listed), dtype=bool))
-            arrays = [*batch.columns[: len(columns)], vectors, done]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, "embedding", "embed_ok"])
+            codes = coded.indices.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy())])
+            for first, last in _runs(ends, max(1, NUMBERS_AT_ONCE // dimensions)):
+                n = last - first
+                rows = np.repeat(np.arange(n), np.diff(ends[first : last + 1]))
+                at = rows * dimensions + places[codes[ends[first] : ends[last]]]
+                matrix = np.bincount(at, minlength=n * dimensions).reshape(n, dimensions)
+                if normalize:
+                    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                    matrix = matrix / np.where(norms > 0, norms, 1.0)
+                vectors = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * dimensions, pa.array(matrix.astype(np.float32).ravel()))
+                own = [column.slice(first, n) for column in batch.columns[: len(columns)]]
+                arrays = [*own, vectors, pa.array(np.ones(n, dtype=bool))]
+                yield pa.RecordBatch.from_arrays(arrays, [*columns, "embedding", "embed_ok"])
 
     return cut.mapInArrow(count, _vector_schema(cut.select(*columns)))
 

@@ -294,3 +294,13 @@ def test_a_pass_sends_a_row_per_sixteen_centres(spark, monkeypatch):
         assert np.allclose(sums, own.T @ points)
         assert np.allclose(cost, own.T @ far.min(axis=1))
     assert [n.sum() for n, _, _ in clusters._sums(rows.where("false"), models)] == [0, 0, 0]
+
+
+def test_words_of_a_batch_are_counted_in_bounded_runs():
+    sizes = np.array([0, 5, embed.WORDS_AT_ONCE, 1, 3 * embed.WORDS_AT_ONCE, 0, 0, 2, *[1] * 50])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    runs = list(embed._runs(ends, 20))
+    assert [row for first, last in runs for row in range(first, last)] == list(range(len(sizes)))
+    assert all(last - first <= 20 for first, last in runs)
+    assert all(last - first == 1 or ends[last] - ends[first] <= embed.WORDS_AT_ONCE for first, last in runs)
+    assert list(embed._runs(np.array([0]), 20)) == []
