@@ -119,3 +119,13 @@ def test_long_texts_together_keep_their_places():
         alone.append([np.full(len(parts[0]), i), *parts[1:]])
     for got, *want in zip(both, *alone):
         assert (got == np.concatenate(want)).all()
+
+
+def test_texts_of_a_batch_are_hashed_in_small_pieces():
+    """The arrays of a piece take about a hundred times its bytes."""
+    from socialspark.llm.suffix_dedup import anchors
+
+    text = bytes(random.Random(1).randbytes(100_000))
+    parts = list(anchors([text] * 16, 400, 96))
+    assert len(parts) >= 5
+    assert len({tuple(sorted(part[1][part[0] == i].tolist())) for part in parts for i in set(part[0].tolist())}) == 1
