@@ -20,6 +20,9 @@ from socialspark.session import cut
 
 #: Languages less likely than this reject a document.
 LEAST_SCORE = 0.5
+#: A passage is a repeated string of more than so many words, or of `suffix_dedup.LENGTH` bytes. Strings are matched
+#: from so many bytes on, less than 51 words of prose take, by grams of so many bytes.
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 50, 240, 48
 #: Weights of the domains after mixing; no document is repeated for them.
 TARGETS = {"good": 0.97, "poor": 0.025, "toxic": 0.005}
 
@@ -42,8 +45,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out long strings that occur more than once; documents of which nothing is left go."""
-    found = suffix_dedup.remove_repeats(docs, keep=tuple(docs.columns), as_text=True, in_struct=True)
+    """Cut out passages that occur more than once; documents of which nothing is left go."""
+    found = suffix_dedup.remove_repeats(
+        docs,
+        keep=tuple(docs.columns),
+        length=PASSAGE_BYTES,
+        gram=PASSAGE_GRAM,
+        as_text=True,
+        in_struct=True,
+        words=PASSAGE_WORDS,
+        long=suffix_dedup.LENGTH,
+    )
     changed = F.col("n_removed") > 0
     new = {
         "text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")),

@@ -125,3 +125,21 @@ def test_repeated_ids_and_clashing_columns(spark, tables):
     texts = [r.text for r in kept["near_duplicates"]]
     assert names.count(0) == 3 and 1 not in names and 2 not in names  # copies of 1 and 2 under a smaller id
     assert names.count(None) == 2 and len(set(texts)) == len(texts)  # the copy of 1 goes, 5 and 6 have no other
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    """60 words of 340 bytes repeat and go; 45 words of 300 bytes stay; so do documents without repeats."""
+    r = random.Random(12)
+
+    def text(n, size):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(size)) for _ in range(n))
+
+    long, short = text(60, 5)[:340], text(45, 6)[:300]
+    assert len(long.split()) > 50 and len(long) < LENGTH and len(short.split()) < 50
+    texts = [f"{text(40, 6)}\n{p}\n{text(40, 6)}" for p in (long, long, long, short, short, text(60, 5))]
+    docs = spark.createDataFrame([(i, t, "bb", "src", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r for r in pipeline.remove_repeated_passages(spark, docs, "").collect()}
+    for i in range(3):
+        assert long[:100] not in left[i].text and long[-100:] not in left[i].text
+        assert len(left[i].text) >= len(texts[i]) - len(long) - 10 and left[i].n_chars == len(left[i].text)
+    assert [left[i].text for i in (3, 4, 5)] == texts[3:]
