@@ -33,8 +33,17 @@ def texts_of(column) -> list[str | None]:
 
 #: What counts as a word wherever texts are cut into words.
 WORD = "[\\p{L}\\p{M}]+"
+_GAP = "[^\\p{L}\\p{M}]+"
 
 
 def words_of(text: Column) -> Column:
     """The lower-case words of a text, in order; null for a null text."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def spaced_words(text: Column) -> Column:
+    """The words of ``words_of`` as one string, a space between two; null if there are none.
+
+    In a row and on its way to Python this is one value, not one for each word.
+    """
+    return F.nullif(F.trim(F.regexp_replace(F.lower(text), _GAP, " ")), F.lit(""))

@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from socialspark.llm.common import words_of
-from socialspark.llm.words import Letters, distinct_words, in_chunks, parts_of, places_in
+from socialspark.llm.common import spaced_words, words_of
+from socialspark.llm.words import Letters, distinct_words, in_chunks, parts_of, places_in, split_words
+from socialspark.session import use_small_batches
 
 DOCS_PER_LANG = 4000
 WORDS_PER_LANG = 30_000
@@ -144,19 +145,19 @@ def predict(
     With ``keep=None`` all columns of the row are in the struct ``row`` instead.
     """
     plain = {"languages": model.languages, "hashes": model.hashes, "logs": model.logs}
-    sent = docs.sparkSession.sparkContext.broadcast(plain)  # bounded, see fit
+    sent = use_small_batches(docs.sparkSession).sparkContext.broadcast(plain)  # bounded, see fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LanguageModel(**sent.value)
         for batch in (part for whole in batches for part in parts_of(whole)):
-            words, places, starts = distinct_words(batch.column(1))
+            words, places, starts = distinct_words(split_words(batch.column(1)))
             lettered = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
             langs, scores = _best(model, model.rows(words), places, starts, lettered)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     text = F.col(text_col)
     row = F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row")
-    rows = docs.select(row, words_of(text).alias("words"), text.rlike("\\p{L}").alias("lettered"))
+    rows = docs.select(row, spaced_words(text).alias("words"), text.rlike("\\p{L}").alias("lettered"))
     names = ["row", "lang_pred", "score"]
     schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     found = rows.mapInArrow(run, schema)

@@ -9,9 +9,10 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from socialspark import session
 from socialspark.llm import context_tree, language_id, packing, toxicity
-from socialspark.llm.common import fold
-from socialspark.llm.words import Letters
+from socialspark.llm.common import fold, spaced_words, words_of
+from socialspark.llm.words import Letters, distinct_words, parts_of, split_words
 
 
 def tree_by_hand(train, depth):
@@ -186,6 +187,40 @@ def test_languages(spark):
     assert set(language_id.predict(docs, empty).toPandas()["lang_pred"]) == {"und"}
 
 
+def test_texts_reach_the_workers_in_batches_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('der und das ', 800) as text", "'de' as lang")
+    model = language_id.fit(docs.limit(5))
+
+    def bounded(batch):
+        assert batch.nbytes < 2 * session.BATCH_BYTES
+        return [batch]
+
+    monkeypatch.setattr(language_id, "parts_of", bounded)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    assert language_id.predict(docs, model, keep=None).where("lang_pred = 'de'").count() == 3000
+    spark.conf.set(key, "1m")
+    session.use_small_batches(spark)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+
+def test_words_in_one_string_are_the_words(spark):
+    """Over more rows than one part has, with rows that have no word."""
+    r = random.Random(3)
+    letters = "aZé\u0301\xa0 \u3000字ßİ\U0001F600\U00010400\u0345 \t\n.,'-09ﬀ"
+    texts = [None, "", " ", "12"] * 600 + ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    r.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(1)
+    found = rows.select(words_of(F.col("text")).alias("words"), spaced_words(F.col("text")).alias("spaced")).toArrow()
+    batch = found.combine_chunks().to_batches()[0]
+    parts = list(parts_of(batch))
+    assert len(parts) > 3
+    for part in parts:
+        (words, places, starts), got = distinct_words(part.column(0)), distinct_words(split_words(part.column(1)))
+        assert words == got[0] and (places == got[1]).all() and (starts == got[2]).all()
+
+
 def test_unseen_words_fall_back_to_shorter_grams():
     def hashed(k, *grams):
         return Letters(list(grams)).spans(k)[0] if grams else np.zeros(0, np.uint64)
