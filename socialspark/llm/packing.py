@@ -20,6 +20,9 @@ the input are ignored.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -36,14 +39,103 @@ CAPACITY = 4096
 WINDOW_TOKENS = 4_000_000
 WIDTH = 1024
 END_ID = 2
-#: Words whose ids a worker remembers; a full memory is emptied.
+#: Units whose ids a worker remembers; a full memory is emptied.
 REMEMBERED = 300_000
 
 #: Punctuation that stays one piece, whatever letters stand before it.
 TAIL = ".,;:!?"
-#: Plain words encoded together.
+#: Plain words or pieces encoded together.
 LINE = 400
 
+#: How a tokenizer's file says that it lowers texts and cuts them at white space, around digits and between letters and others.
+CUTS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+GAP, LETTER, DIGIT, OTHER, ODD = range(5)
+#: What the byte-level alphabet writes for bytes that are no visible character of Latin-1.
+_SPELT = dict(zip([*range(0x21), *range(0x7F, 0xA1), 0xAD], range(256, 324), strict=True))
+
+
+def byte_kinds(odd: str | None) -> np.ndarray:
+    """The kind of each byte; those of the characters ``odd`` are odd, if None all but gaps.
+
+    The two bytes of a letter from U+00C0 to U+00FF are letters if the second follows the first, see ``units_of``.
+    """
+    kinds = np.full(256, ODD, np.uint8)
+    if odd is not None:
+        kinds[0x21:0x7F] = OTHER
+        for first, last, kind in (("0", "9", DIGIT), ("A", "Z", LETTER), ("a", "z", LETTER)):
+            kinds[ord(first) : ord(last) + 1] = kind
+        kinds[0xC3] = LETTER
+        kinds[[ord(c) for c in odd if c.isascii()]] = ODD
+    kinds[[0x20, 0x0A]] = GAP
+    return kinds
+
+
+def units_of(texts: list[str | None], kinds: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The units of all texts in a row, and how many there are up to the end of each text.
+
+    Words, cut at spaces and line feeds, are units as they are if they have an odd byte. Others are lowered and cut
+    into runs of letters, single digits and runs of others.
+    """
+    whole = pa.array(["" if t is None else t for t in texts], pa.large_string())
+    bounds = np.frombuffer(whole.buffers()[1], np.int64)[: len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+    kind = kinds[data]
+    lowered = data.copy()
+    lowered[(data >= 0x41) & (data <= 0x5A)] += 0x20
+    if kinds[0xC3] == LETTER:
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        value = data[second]
+        kind[second[(value != 0x97) & (value != 0xB7)]] = LETTER
+        lowered[second[value < 0x9F]] += 0x20
+    solid = kind != GAP
+    begins = np.zeros(len(data) + 1, bool)  # where a text begins
+    begins[bounds] = True
+    begins = begins[:-1]
+
+    def starts_of(run: np.ndarray) -> np.ndarray:
+        """Where a text begins or the kind differs from the one before, gaps aside."""
+        starts = begins.copy()
+        starts[1:] |= run[1:] != run[:-1]
+        return starts & solid
+
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        first = np.flatnonzero(starts_of(solid))
+        stops = np.zeros(len(data) + 1, bool)
+        stops[1:] = solid
+        stops[1:-1] &= begins[1:] | ~solid[1:]
+        last = np.flatnonzero(stops)
+        word = np.unique(np.searchsorted(first, odd, side="right") - 1)
+        turns = np.zeros(len(data) + 1, np.int8)
+        turns[first[word]] += 1
+        turns[last[word]] -= 1
+        inside = np.cumsum(turns[:-1], dtype=np.int8).astype(bool)
+        kind[inside] = ODD
+        lowered[inside] = data[inside]
+    starts = starts_of(kind)
+    digits = np.flatnonzero(kind == DIGIT)
+    starts[digits] = True
+    offsets = np.append(np.flatnonzero(starts[solid]), np.count_nonzero(solid)).astype(np.int64)
+    units = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(lowered[solid]))
+    return units, np.searchsorted(np.flatnonzero(starts), bounds[1:])
+
 
 def plain_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which words are letters and a tail of plain punctuation, as the tokenizer composes and lowers them.
@@ -63,7 +155,7 @@ def plain_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Codes(dict):
-    """Numbers of words; a new word gets the next one and is noted in ``new``."""
+    """Numbers of units; a new unit gets the next one and is noted in ``new``."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -76,16 +168,19 @@ class _Codes(dict):
 
 
 class WordTokenizer:
-    """Ids of whole texts, tokenizing each distinct word once.
+    """Ids of whole texts, tokenizing each distinct unit once.
 
     Right for tokenizers that never join characters across a space, as those that
     split at white space before the merges and drop it. Texts are cut at spaces
     and line feeds only; whatever else counts as white space is the tokenizer's to
-    decide.
+    decide. If its file says ``CUTS``, words of the commonest characters are cut into the pieces that it
+    makes of them, lowered, and these need its merges only; words with an apostrophe or the
+    first character of an added token stay whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self._tokenizer = Tokenizer.from_file(path)
         suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
@@ -97,6 +192,16 @@ class WordTokenizer:
             self._bytes = np.zeros(len(self._ends), np.int64)
             for token, i in vocabulary.items():
                 self._bytes[i] = len(token.removesuffix(suffix))  # a character stands for a byte
+        said = json.loads(self._tokenizer.to_str())
+        added = said["added_tokens"]
+        if suffix and all(said[k] == v for k, v in CUTS.items()) and all(x["content"][0].isascii() and not x["normalized"] for x in added):
+            self._merges = Tokenizer(self._tokenizer.model)
+            self._merges.pre_tokenizer = WhitespaceSplit()
+            odd = "'" + "".join(x["content"][0] for x in added)
+            self._plain = re.compile(f"(?:(?![{re.escape(odd)}])[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff])*").fullmatch
+        else:
+            self._merges = odd = None
+        self._kinds = byte_kinds(odd)
         self._clear()
 
     def _clear(self) -> None:
@@ -140,6 +245,30 @@ class WordTokenizer:
         parts.append(np.fromiter(chain.from_iterable(found), np.uint32, int(told.sum())))
         return np.concatenate(parts), starts, sizes
 
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_encode``, for pieces that need the merges only."""
+        spelt = [p if p.isascii() else p.encode().decode("latin-1").translate(_SPELT) for p in pieces]
+        lengths = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        parts, held, other = [], 0, []
+        lines = [slice(k, k + LINE) for k in range(0, len(pieces), LINE)]
+        found = self._merges.encode_batch_fast([" ".join(spelt[line]) for line in lines], add_special_tokens=False)
+        for line, got in zip(lines, found, strict=True):
+            flat = np.array(got.ids, np.int64)
+            told = self._told_apart(np.ones(len(lengths[line]), np.int64), lengths[line], flat)
+            if told is None:
+                other += range(len(pieces))[line]
+                continue
+            sizes[line] = told
+            starts[line] = held + np.cumsum(told) - told
+            parts.append(flat.astype(np.uint32))
+            held += len(flat)
+        if other:
+            flat, at, told = self._encode([pieces[i] for i in other])
+            sizes[other], starts[other] = told, held + at
+            parts.append(flat)
+        return np.concatenate(parts), starts, sizes
+
     def _told_apart(self, pieces: np.ndarray, spelt: np.ndarray, flat: np.ndarray) -> np.ndarray | None:
         """How many of the ids in ``flat`` each word of a line has; None unless they fit the words.
 
@@ -154,38 +283,50 @@ class WordTokenizer:
         bytes_so_far = np.cumsum(self._bytes[flat])[stops - 1]
         return np.diff(stops, prepend=0) if (bytes_so_far == np.cumsum(spelt)).all() else None
 
-    def _learn(self, words: list[str]) -> None:
-        flat, starts, sizes = self._encode(words)
-        at, last = self._known, self._known + len(words)
+    def _learn(self, units: list[str]) -> None:
+        """Notes the ids of new units, which have the next numbers."""
+        plain = np.zeros(len(units), bool)
+        if self._merges:
+            plain[:] = [self._plain(u) is not None for u in units]
+        own, whole = np.flatnonzero(plain), np.flatnonzero(~plain)
+        at, last = self._known, self._known + len(units)
         if last > len(self._start):
             self._start, self._size = (np.resize(x, 2 * last) for x in (self._start, self._size))
-        if self._held + len(flat) > len(self._ids):
-            self._ids = np.resize(self._ids, 2 * (self._held + len(flat)))
-        self._start[at:last] = self._held + starts
-        self._size[at:last] = sizes
-        self._ids[self._held : self._held + len(flat)] = flat
-        self._known, self._held = last, self._held + len(flat)
+        for which, encode in ((own, self._encode_pieces), (whole, self._encode)):
+            if not len(which):
+                continue
+            flat, starts, sizes = encode([units[i] for i in which.tolist()])
+            if self._held + len(flat) > len(self._ids):
+                self._ids = np.resize(self._ids, 2 * (self._held + len(flat)))
+            self._start[at + which] = self._held + starts
+            self._size[at + which] = sizes
+            self._ids[self._held : self._held + len(flat)] = flat
+            self._held += len(flat)
+        self._known = last
 
     def encode(self, texts: list[str | None], at_once: int = 512) -> Iterator[np.ndarray]:
         """The ids of each text, without special tokens."""
         for first in range(0, len(texts), at_once):
             if self._known > REMEMBERED:
                 self._clear()
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[first : first + at_once]]
-            words = list(chain.from_iterable(split))
-            codes = np.fromiter(map(self._code.__getitem__, words), np.int32, len(words))
+            units, ends = units_of(texts[first : first + at_once], self._kinds)
+            units = units.dictionary_encode()
+            distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+            codes = np.fromiter(map(self._code.__getitem__, distinct), np.int64, len(distinct))
             if self._code.new:
                 self._learn(self._code.new)
                 self._code.new = []
+            codes = codes[units.indices.to_numpy()]
             sizes = self._size[codes]
-            ends = np.cumsum(sizes)
-            place = np.repeat(self._start[codes] - ends + sizes, sizes)
-            place += np.arange(ends[-1])
-            yield from np.split(self._ids[place], ends[np.cumsum([len(x) for x in split])[:-1] - 1])
+            stops = np.append(0, np.cumsum(sizes))
+            place = np.repeat(self._start[codes] - stops[:-1], sizes)
+            place += np.arange(stops[-1])
+            yield from np.split(self._ids[place], stops[ends[:-1]])
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker, so that its later tasks know the words of the earlier ones."""
+    """One for each Python worker, so that its later tasks know the units of the earlier ones."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the work
     memory = worker_memory()
     if ("packing", path) not in memory:
         memory["packing", path] = WordTokenizer(path)

@@ -337,6 +337,41 @@ def test_words_that_decompose_do_not_shift_others():
         assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_that_differ_in_case_or_punctuation_share_their_merges():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["übermäßig, Übermäßig! ÜBERMÄßIG übermäßig", "(übermäßig)12 ÜBERMÄßIG,\nübermäßig!21", None, ""]
+    words = packing.WordTokenizer(path)
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert list(ids) == tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert words._known == len(["übermäßig", ",", "!", "(", ")", "1", "2"])
+
+
+def test_units_of_any_text_give_the_ids_of_the_tokenizer(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    with open(path) as file:
+        said = json.load(file)
+    cased = str(tmp_path / "cased.json")
+    with open(cased, "w") as file:
+        json.dump(said | {"normalizer": None}, file)
+    r = random.Random(8)
+    letters = [*"abeiosTUVZ  \n.,!'()-<|>_09", *"ÀÖ×ØÞßàö÷øþÿ", *"œŒİıſKΣςЖ日ªº²½", *"\x00\x01\x1c\x1f\x7f\t\r\x85\xa0\xad\u2028\u3000\u0301\u0308\u0338\U0001f600"]
+    for some in (letters, letters[:27], letters[:39], [*"aÉ ", "\u0301"], [*"xS9'", "'s", "'re", "<|endoftext|>", " "]):
+        texts = ["".join(r.choice(some) for _ in range(r.randint(0, 60))) for _ in range(400)]
+        for file in (path, cased):
+            words, tokenizer = packing.WordTokenizer(file), Tokenizer.from_file(file)
+            for text, ids in zip(texts, words.encode(texts, at_once=150), strict=True):
+                assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_lines_that_do_not_fit_are_encoded_by_word(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
