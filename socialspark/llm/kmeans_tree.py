@@ -278,9 +278,10 @@ def kmeans_tree_search(
     routed = routed.select("key", "vec", F.explode("leaves").alias("leaf"))
     members = blocks(placed, ["leaf"], ["vec", "ids"], F.xxhash64(F.element_at("ids", 1)), BLOCK)
     wanted = blocks(routed, ["leaf"], ["key", "vec"], F.xxhash64("key"), QUERIES).select("leaf", F.col("block").alias("asked"))
-    met = members.join(wanted, "leaf").select("block", "asked").mapInArrow(look, f"key long, best {_BEST_SQL}")
-    found = distinct.join(merge(met, "key", k), "key").select("vec", "best")
-    return expand(asked, found, "vec", k).select(
+    # Spark takes what Python and explode give for as small as what they read, and would broadcast it; it grows with the queries.
+    met = members.join(wanted.hint("merge"), "leaf").select("block", "asked").mapInArrow(look, f"key long, best {_BEST_SQL}")
+    found = distinct.join(merge(met, "key", k).hint("merge"), "key").select("vec", "best")
+    return expand(asked, found.hint("merge"), "vec", k).select(
         "query_id", "rank", F.col("near.id").alias("vec_id"), (-F.col("near.far")).alias("score")
     )
 

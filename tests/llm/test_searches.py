@@ -72,6 +72,20 @@ def test_tree_search_recall_order_and_ties(spark):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+def test_tree_search_does_not_broadcast_what_grows_with_the_queries(spark, tmp_path):
+    r = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(600, 24)))], "vec_id long, embedding array<double>")
+    rows.write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows"))
+    most = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")  # counts per leaf fit in, queries by leaf do not
+    try:
+        found = kmeans_tree_search(table, table, k=3, leaf=20, sample=300, visits=10_000)
+        assert found.count() == 3 * 600
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", most)
+
+
 def test_tree_search_of_everything_is_exact(spark):
     rows = vectors(seed=4)
     table = frame(spark, rows)
