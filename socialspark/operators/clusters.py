@@ -32,10 +32,14 @@ BATCH_SIZE = 2048
 PATIENCE = 10
 #: Rounds of seeding.
 SEED_ROUNDS = 3
+#: Rows of a task of a pass at most.
+TASK_ROWS = 1 << 15
 _ROWS = 4096
 #: Distances from rows to centres that a task holds at once, and centres whose sums travel in one row.
-_GAPS = 1 << 21
+_GAPS = 1 << 18
 _CENTRES = 16
+#: Share of a vector's square that counts as rounding in a squared distance.
+_ROUNDING = 1e-13
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -49,6 +53,12 @@ def _points(column: pa.Array, rows: int = _ROWS) -> Iterator[np.ndarray]:
         yield flat[first : first + rows]
 
 
+def _squared(gap: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Squared distances from products; what rounding alone may give is none, so that copies of a centre cost nothing."""
+    far = gap + square
+    return np.where(far > _ROUNDING * square, far, 0.0)
+
+
 class _Centres:
     """The centres of several models, compared with points in one product."""
 
@@ -66,10 +76,58 @@ class _Centres:
         for size in self.sizes:
             own = gap[:, at : at + size]
             near = own.argmin(axis=1)
-            yield near, np.maximum(square + own[rows, near], 0.0)
+            yield near, _squared(own[rows, near], square)
             at += size
 
 
+class _Adder:
+    """Rows, sums and costs of the centres of several models, for points added a matrix at a time.
+
+    Models of one size are compared with the points in one product and summed in another, a column for each point, so that
+    the work between them is done for all of these models at once. Costs are added up by model; a centre's share of them
+    follows from its sums.
+    """
+
+    def __init__(self, models: Sequence[np.ndarray]) -> None:
+        starts = np.cumsum([0, *map(len, models)])
+        self.found = np.zeros((starts[-1], 2 + len(models[0][0])))  # rows, sum and cost of each centre
+        self.groups = []
+        for size in sorted({len(m) for m in models}):
+            own = [i for i, m in enumerate(models) if len(m) == size]
+            centres = np.concatenate([models[i] for i in own])
+            places = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in own])
+            self.groups.append((len(own), size, np.column_stack([(centres * centres).sum(axis=1), -2.0 * centres]), places))
+        self.at_once = max(64, min(_ROWS, _GAPS // max(n * size for n, size, _, _ in self.groups)))
+        self.totals = [np.zeros((len(places), self.found.shape[1])) for *_, places in self.groups]
+        self.costs = [np.zeros(n) for n, *_ in self.groups]
+
+    def add(self, x: np.ndarray) -> None:
+        square = (x * x).sum(axis=1)
+        wide = np.column_stack([np.ones(len(x)), x, square])
+        across = np.ascontiguousarray(wide[:, :-1].T)
+        for (n, size, centres, _), total, cost in zip(self.groups, self.totals, self.costs, strict=True):
+            gap = (centres @ across).reshape(n, size, len(x))
+            least = gap.min(axis=1)
+            own = (gap == least[:, None, :]).reshape(n * size, len(x)).astype(np.float64)
+            sums = own @ wide
+            if sums[:, 0].sum() != n * len(x):  # a point as near to a second centre belongs to the first
+                near = gap.argmin(axis=1) + size * np.arange(n)[:, None]
+                own[:] = 0.0
+                own[near, np.arange(len(x))] = 1.0
+                sums = own @ wide
+            total += sums
+            cost += _squared(least, square).sum(axis=1)
+
+    def result(self) -> np.ndarray:
+        for (n, size, centres, places), total, cost in zip(self.groups, self.totals, self.costs, strict=True):
+            each = np.maximum((centres * total[:, :-1]).sum(axis=1) + total[:, -1], 0.0).reshape(n, size)
+            whole = each.sum(axis=1)
+            each[whole == 0, 0], whole[whole == 0] = 1.0, 1.0
+            self.found[places, :-1] = total[:, :-1]
+            self.found[places, -1] = (each * (cost / whole)[:, None]).ravel()
+        return self.found
+
+
 def _sums(rows: DataFrame, models: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """One pass: for each model the rows, sums and costs of its centres, which is all that reaches the driver."""
     spark = rows.sparkSession
@@ -78,21 +136,11 @@ def _sums(rows: DataFrame, models: Sequence[np.ndarray]) -> list[tuple[np.ndarra
     every, dims = sum(len(m) for m in models), len(models[0][0])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = _Centres(sent.value)
-        found = np.zeros((len(centres.all), 2 + dims))  # rows, sum and cost of each centre
-        at_once = max(64, min(_ROWS, _GAPS // len(found)))
-        own = np.zeros((at_once, len(found)))
+        adder = _Adder(sent.value)
         for batch in batches:
-            for x in _points(batch.column(0), at_once):
-                at, each, places = 0, np.arange(len(x)), []
-                for size, (near, far) in zip(centres.sizes, centres.gaps(x), strict=True):
-                    places.append(at + near)
-                    own[each, places[-1]] = 1.0
-                    found[at : at + size, -1] += np.bincount(near, far, size)
-                    at += size
-                found[:, :-1] += own[: len(x)].T @ np.hstack([np.ones((len(x), 1)), x])
-                for place in places:
-                    own[each, place] = 0.0
+            for x in _points(batch.column(0), adder.at_once):
+                adder.add(x)
+        found = adder.result()
         parts = range(0, len(found), _CENTRES)
         sums = [found[at : at + _CENTRES].tobytes() for at in parts]
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(sums, pa.binary())], ["at", "sums"])
@@ -209,13 +257,12 @@ def fit_kmeans(
     if method not in ("full", "mini-batch"):
         raise ValueError(f"unknown method {method}")
     rows = usable(vectors, column).select(key, F.col(column).cast("array<double>").alias("v"))
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # few files: every pass would leave cores idle
-        rows = rows.repartition(cores, key)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     n = rows.count()
     if not n:
         return {k: (np.zeros((0, 0)), 0.0) for k in ks}
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    # Equal shares, as many for every core: with the files' own partitions a pass would leave cores idle.
+    rows = rows.repartition(cores * -(-n // (cores * TASK_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
     starts = 1 if initial is not None else n_init
     centres = {(ks[0], 0): np.asarray(initial, float)} if initial is not None else seed_centres(rows, ks, key, seed, n_init)
     if method == "full":

@@ -270,6 +270,46 @@ def test_seeds_come_from_all_rows(spark):
     assert all(c[:, 0].max() > 800 for c in centres.values())
 
 
+def test_all_models_of_a_size_are_compared_together():
+    """Rows, sums and costs as one point at a time gives them; of centres equally near the first has the point."""
+    r = np.random.default_rng(9)
+    points = r.normal(size=(700, 5))
+    models = [r.normal(size=(k, 5)) for k in (4, 1, 3, 4, 3)]
+    models[2] = np.repeat(points[:1], 3, axis=0)
+    adder = clusters._Adder(models)
+    assert len(adder.groups) == 3
+    for part in (points[:300], points[300:]):
+        adder.add(part)
+    at, found = 0, adder.result()
+    for centres in models:
+        own = found[at : at + len(centres)]
+        at += len(centres)
+        far = ((points[:, None] - centres) ** 2).sum(-1)
+        near = far.argmin(axis=1) if len(np.unique(centres, axis=0)) > 1 else np.zeros(len(points), int)
+        assert own[:, 0].tolist() == np.bincount(near, minlength=len(centres)).tolist()
+        assert np.allclose(own[:, 1:-1], np.eye(len(centres))[near].T @ points)
+        assert np.allclose(own[:, -1], np.eye(len(centres))[near].T @ far.min(axis=1))
+
+
+def test_passes_give_every_core_an_equal_share(spark, monkeypatch):
+    shares = []
+    real = clusters._sums
+
+    def noted(rows, models):
+        if not shares:
+            shares.extend(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
+        return real(rows, models)
+
+    r = np.random.default_rng(10)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(400, 4)))]
+    vectors = spark.createDataFrame(rows, f"{POST_ID} long, embedding array<double>").repartition(11)
+    monkeypatch.setattr(clusters, "_sums", noted)
+    monkeypatch.setattr(clusters, "TASK_ROWS", 30)
+    clusters.fit_kmeans(vectors, [3], n_init=1, max_iter=2)
+    assert len(shares) == 2 * spark.sparkContext.defaultParallelism and max(shares) - min(shares) <= 11
+    assert clusters.fit_kmeans(vectors.limit(2), [2], n_init=1)[2][1] == pytest.approx(0.0, abs=1e-9)
+
+
 def test_unknown_methods_and_empty_tables(spark, vectors):
     with pytest.raises(ValueError, match="unknown method"):
         clusters.fit_kmeans(vectors, [2], method="other")
